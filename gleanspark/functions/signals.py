@@ -2,49 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanspark.config import EPSILON
 
 
-def softmax(scores: Sequence[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    grown = [F.exp(s - top) for s in scores]
-    total = sum(grown[1:], grown[0])
-    return [g / total for g in grown]
+def softmax(scores: list[str]) -> list[Column]:
+    """Class probabilities from the columns named ``scores``."""
+    top = f"greatest({', '.join(scores)})" if len(scores) > 1 else scores[0]
+    total = " + ".join(f"exp({s} - {top})" for s in scores)
+    return [F.expr(f"exp({s} - {top}) / ({total})") for s in scores]
 
 
-def first_argmax(values: Column) -> Column:
-    """Zero-based place of the largest element, the first one on ties."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+def first_argmax(values: str) -> Column:
+    """Zero-based place of the largest element of an array, the first one on ties."""
+    return F.expr(f"CAST(array_position({values}, array_max({values})) - 1 AS INT)")
 
 
-def uncertainty(probs: Column) -> Column:
+def uncertainty(probs: str = "probs") -> Column:
     """Entropy over its maximum, not clamped; one class has nothing to divide by."""
-    entropy = -F.aggregate(
-        probs, F.lit(0.0), lambda total, p: total + p * F.ln(p + F.lit(EPSILON))
-    )
-    classes = F.size(probs)
-    return F.when(classes > 1, entropy / F.ln(classes.cast("double"))).otherwise(entropy)
+    entropy = f"-aggregate({probs}, 0D, (total, p) -> total + p * ln(p + {EPSILON!r}D))"
+    return F.expr(f"IF(size({probs}) > 1, {entropy} / ln(size({probs})), {entropy})")
 
 
-def verifier_confidence(probs: Column, label: Column) -> Column:
+def verifier_confidence(probs: str = "probs", label: str = "label") -> Column:
     """Probability of the claimed label; a label outside the classes fails the job."""
-    valid = label.isNotNull() & (label >= 0) & (label < F.size(probs))
-    complaint = F.concat(
-        F.lit("label outside the classes: "), F.coalesce(label.cast("string"), F.lit("NULL"))
+    complaint = f"concat('label outside the classes: ', coalesce(string({label}), 'NULL'))"
+    return F.expr(
+        f"CASE WHEN {label} BETWEEN 0 AND size({probs}) - 1 THEN get({probs}, {label}) "
+        f"ELSE double(raise_error({complaint})) END"
     )
-    return F.when(valid, F.get(probs, label)).otherwise(F.raise_error(complaint).cast("double"))
 
 
-def context(uncertainty: Column, novelty: Column, verifier: Column) -> Column:
+def context() -> Column:
     """The context vector in its fixed order."""
-    return F.array(uncertainty, novelty, verifier)
+    return F.array("uncertainty", "novelty", "verifier")
 
 
-def context_weight(uncertainty: Column, novelty: Column, verifier: Column) -> Column:
+def context_weight() -> Column:
     """Mean of the context vector."""
-    return (uncertainty + novelty + verifier) / F.lit(3.0)
+    return F.expr("(uncertainty + novelty + verifier) / 3D")

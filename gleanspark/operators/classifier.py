@@ -44,10 +44,10 @@ class BayesModel:
 
     def weights(self) -> DataFrame:
         """Log likelihood of each known word in each class."""
-        return self.counts.filter(F.col("token").isNotNull()).select(
+        return self.counts.filter("token IS NOT NULL").selectExpr(
             "token",
             *[
-                F.ln((F.col(f"n_{c}") + 1) / F.lit(float(total + self.vocabulary))).alias(f"w_{c}")
+                f"ln((n_{c} + 1) / {float(total + self.vocabulary)!r}D) AS w_{c}"
                 for c, total in enumerate(self.word_counts)
             ],
         )
@@ -55,15 +55,14 @@ class BayesModel:
 
 def word_counts(docs: DataFrame, num_classes: int) -> DataFrame:
     """Counts per (word, class) of ``docs(label, tokens)``, plus the NULL row."""
-    valid = F.col("label").isNotNull() & F.col("label").between(0, num_classes - 1)
-    checked = F.when(valid, F.col("label")).otherwise(
-        F.raise_error(F.lit(f"label outside 0..{num_classes - 1}")).cast("int")
+    checked = (
+        f"CASE WHEN label BETWEEN 0 AND {num_classes - 1} THEN label "
+        f"ELSE int(raise_error('label outside 0..{num_classes - 1}')) END AS label"
     )
-    marked = F.concat(F.col("tokens"), F.array(F.lit(None).cast("string")))
     return (
-        docs.select(checked.alias("label"), F.explode(marked).alias("token"))
+        docs.selectExpr(checked, "explode(concat(tokens, array(string(NULL)))) AS token")
         .groupBy("token")
-        .agg(*[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in range(num_classes)])
+        .agg(*[F.expr(f"count_if(label = {c}) AS n_{c}") for c in range(num_classes)])
     )
 
 
@@ -73,19 +72,18 @@ def add_counts(*tables: DataFrame) -> DataFrame:
     for table in tables[1:]:
         union = union.unionByName(table)
     columns = [c for c in union.columns if c != "token"]
-    return union.groupBy("token").agg(*[F.sum(c).alias(c) for c in columns])
+    return union.groupBy("token").agg(*[F.expr(f"sum({c}) AS {c}") for c in columns])
 
 
 def model_of(counts: DataFrame) -> BayesModel:
     """Wrap a written count table; reads one row of totals."""
     classes = sum(c.startswith("n_") for c in counts.columns)
-    is_word = F.col("token").isNotNull()
-    row = counts.agg(
-        F.count("token").alias("vocabulary"),
-        F.coalesce(F.sum(F.octet_length("token") + 8 * classes), F.lit(0)).alias("size_bytes"),
+    row = counts.selectExpr(
+        "count(token) AS vocabulary",
+        f"coalesce(sum(octet_length(token) + {8 * classes}), 0) AS size_bytes",
         *[
-            F.coalesce(F.sum(F.when(want, F.col(f"n_{c}"))), F.lit(0)).alias(f"{name}_{c}")
-            for name, want in (("words", is_word), ("docs", ~is_word))
+            f"coalesce(sum(n_{c}) FILTER (WHERE token IS {is_word}), 0) AS {name}_{c}"
+            for name, is_word in (("words", "NOT NULL"), ("docs", "NULL"))
             for c in range(classes)
         ],
     ).first()
@@ -138,22 +136,23 @@ def class_scores(
         .agg(
             *[F.max(c).alias(c) for c in carry],
             F.count("w_0").alias("_known"),
-            *[F.sum(f"w_{c}").alias(f"_w_{c}") for c in classes],
+            *[F.expr(f"sum(w_{c}) AS _w_{c}") for c in classes],
         )
     )
-    mean = lambda c: F.when(F.col("_known") > 0, F.col(f"_w_{c}") / F.col("_known")).otherwise(0.0)
-    return summed.select(
-        id_col, *carry, *[(F.lit(priors[c]) + mean(c)).alias(f"z_{c}") for c in classes]
+    return summed.selectExpr(
+        id_col,
+        *carry,
+        *[f"{priors[c]!r}D + IF(_known > 0, _w_{c} / _known, 0D) AS z_{c}" for c in classes],
     )
 
 
 def probabilities(scored: DataFrame) -> DataFrame:
     """Replace the scores by ``probs`` (index = class) and ``prediction``."""
     scores = [c for c in scored.columns if c.startswith("z_")]
-    rounded = F.array(*[F.round(z, TIE_PLACES) for z in scores])
+    rounded = f"array({', '.join(f'round({z}, {TIE_PLACES})' for z in scores)})"
     return scored.select(
         *[c for c in scored.columns if c not in scores],
-        F.array(*softmax([F.col(z) for z in scores])).alias("probs"),
+        F.array(*softmax(scores)).alias("probs"),
         first_argmax(rounded).alias("prediction"),
     )
 

@@ -31,10 +31,30 @@ def class_f1(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def macro_f1(predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Unweighted mean of the class F1s of ``predicted(label, prediction)``."""
-    per_class = class_f1(confusion(predicted, by), by)
-    return per_class.groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+def macro_f1(
+    predicted: DataFrame, by: Sequence[str] = (), num_classes: int | None = None
+) -> DataFrame:
+    """Unweighted mean of the class F1s of ``predicted(label, prediction)``.
+
+    Knowing that the classes are 0 … num_classes - 1 lets one aggregation count them all.
+    """
+    if num_classes is None:
+        per_class = class_f1(confusion(predicted, by), by)
+        return per_class.groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+    tallies = {
+        f"_{name}_{c}": f"count_if({side} = {c})"
+        for c in range(num_classes)
+        for name, side in (("label", "label"), ("pred", "prediction"))
+    } | {
+        f"_hit_{c}": f"count_if(label = {c} AND prediction = {c})" for c in range(num_classes)
+    }
+    counted = predicted.groupBy(*by).agg(*[F.expr(f"{e} AS {n}") for n, e in tallies.items()])
+    # tp / (tp + (fp + fn) / 2) is 2 tp over the rows labelled plus the rows predicted; the
+    # quotient is NULL for a class seen in neither, which leaves it out of the mean.
+    f1 = [f"try_divide(2 * _hit_{c}, _label_{c} + _pred_{c})" for c in range(num_classes)]
+    total = " + ".join(f"coalesce({x}, 0D)" for x in f1)
+    seen = " + ".join(f"int({x} IS NOT NULL)" for x in f1)
+    return counted.select(*by, F.expr(f"try_divide({total}, {seen}) AS macro_f1"))
 
 
 def accepted_counts(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -20,20 +20,20 @@ STATE_COLUMNS = tuple(f"{name}_{arm}" for arm in ARMS for name in STATE)
 
 def _tallies(arm: int) -> dict[str, Column]:
     """What has to be summed over a log to know the state of ``arm``."""
-    pulled, won = F.col("arm") == arm, F.col("reward") > 0
     return {
-        f"_n_{arm}": F.when(pulled, 1).otherwise(0).cast("bigint"),
-        f"_sum_{arm}": F.when(pulled, F.col("reward")).otherwise(0),
-        f"_won_{arm}": F.when(pulled & won, 1).otherwise(0).cast("bigint"),
+        f"_n_{arm}": F.expr(f"IF(arm = {arm}, 1L, 0L)"),
+        f"_sum_{arm}": F.expr(f"IF(arm = {arm}, reward, 0)"),
+        f"_won_{arm}": F.expr(f"IF(arm = {arm} AND reward > 0, 1L, 0L)"),
     }
 
 
 def arm_state(arm: int) -> list[Column]:
     """Pulls, mean reward, and the two Beta parameters, from the sums of :func:`_tallies`."""
-    n, total, won = (F.col(f"_{name}_{arm}") for name in ("n", "sum", "won"))
-    mean = F.when(n > 0, total.cast("double") / n).otherwise(0.0)
+    n, total, won = f"_n_{arm}", f"_sum_{arm}", f"_won_{arm}"
+    mean = f"IF({n} > 0, double({total}) / {n}, 0D)"
     return [
-        c.alias(f"{name}_{arm}") for name, c in zip(STATE, (n, mean, won + 1, n - won + 1))
+        F.expr(f"{expr} AS {name}_{arm}")
+        for name, expr in zip(STATE, (n, mean, f"{won} + 1", f"{n} - {won} + 1"))
     ]
 
 

@@ -50,6 +50,7 @@ class SelectionRun:
     ):
         self.spark, self.config = spark, config
         self.policy = policy or policy_of(config)
+        self._held = None
         self.folder = (folder or fresh_path(spark, "run")).rstrip("/")
         self.real = written_once(
             spark,
@@ -109,22 +110,33 @@ class SelectionRun:
         return self.rounds.agg(F.max("iteration")).first()[0]
 
     def _model(self, model_round: int) -> classifier.BayesModel:
-        return classifier.model_of(self.spark.read.parquet(self._path("models", model_round)))
+        if self._held is None or self._held[0] != model_round:
+            counts = self.spark.read.parquet(self._path("models", model_round))
+            self._held = model_round, classifier.model_of(counts)
+        return self._held[1]
+
+    def _write_model(self, model_round: int, counts: DataFrame) -> classifier.BayesModel:
+        model = classifier.model_of(write_table(counts, self._path("models", model_round)))
+        self._held = model_round, model
+        return model
 
     def _log(self, iteration: int, **values) -> dict:
         row = {
             "iteration": iteration, "n_batch": 0, "n_accepted": 0, "curated_total": 0,
             "reward": None, "arm": None, "cutoff": None, "model_round": iteration, **values,
         }
-        one = self.spark.createDataFrame([row], ITERATION_SCHEMA).drop("iteration")
-        write_table(one.coalesce(1), self._path("rounds", iteration))
+        fields = [f.split() for f in ITERATION_SCHEMA.split(", ") if not f.startswith("iteration")]
+        one = self.spark.range(0, 1, 1, 1).select(
+            *[F.lit(row[name]).cast(kind).alias(name) for name, kind in fields]
+        )
+        write_table(one, self._path("rounds", iteration))
         return row
 
     # Steps.
 
     def _first_fit(self) -> None:
         counts = classifier.word_counts(self.train, self.config.num_classes)
-        model = classifier.model_of(write_table(counts, self._path("models", 0)))
+        model = self._write_model(0, counts)
         self._log(0, val_f1=held_out_f1(self.real, model, ("val",))["val"])
 
     def stage(self, pool: DataFrame) -> DataFrame:
@@ -181,8 +193,7 @@ class SelectionRun:
         else:
             kept = batch.join(accepted.select("cand_id"), "cand_id", "left_semi")
             added = classifier.word_counts(kept, self.config.num_classes)
-            counts = classifier.add_counts(model.counts, added)
-            model = classifier.model_of(write_table(counts, self._path("models", iteration)))
+            model = self._write_model(iteration, classifier.add_counts(model.counts, added))
             values["val_f1"] = held_out_f1(self.real, model, ("val",))["val"]
         return self._log(iteration, reward=values["val_f1"] - last["val_f1"], **values)
 

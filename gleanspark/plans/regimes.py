@@ -18,7 +18,8 @@ def held_out_f1(real: DataFrame, model: BayesModel, splits: tuple[str, ...] = HE
     """Macro F1 per split of ``real(id, label, tokens, split)``, in one job."""
     rows = real.filter(F.col("split").isin(*splits))
     predicted = predict(rows, model, "id", ("label", "split"))
-    found = {r["split"]: r["macro_f1"] for r in macro_f1(predicted, ["split"]).collect()}
+    scores = macro_f1(predicted, ["split"], model.num_classes).collect()
+    found = {r["split"]: r["macro_f1"] for r in scores}
     # A split without rows has no F1; it is reported as 0 rather than left out.
     return {split: found.get(split, 0.0) for split in splits}
 

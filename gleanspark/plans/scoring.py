@@ -37,12 +37,12 @@ def with_novelty(
 def with_signals(candidates: DataFrame, model: BayesModel, carry: tuple[str, ...] = ()) -> DataFrame:
     """Signals and context weight of ``candidates(cand_id, label, novelty, tokens)``."""
     predicted = predict(candidates, model, "cand_id", ("label", "novelty", *carry))
-    u, n, v = (F.col(name) for name in ("uncertainty", "novelty", "verifier"))
-    return (
-        predicted.withColumn("uncertainty", signals.uncertainty(F.col("probs")))
-        .withColumn("verifier", signals.verifier_confidence(F.col("probs"), F.col("label")))
-        .withColumn("context", signals.context(u, n, v))
-        .withColumn("weight", signals.context_weight(u, n, v))
+    return predicted.select(
+        "*",
+        signals.uncertainty().alias("uncertainty"),
+        signals.verifier_confidence().alias("verifier"),
+    ).select(
+        "*", signals.context().alias("context"), signals.context_weight().alias("weight")
     )
 
 
