@@ -74,12 +74,10 @@ class TrustedSet:
             F.col(id_col).cast("bigint").alias("real_id"),
             as_doubles(F.col(vector_col)).alias("real_vector"),
         )
-        size = self.rows.agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.size("real_vector")).alias("dim")
-        ).first()
-        if not size["n"]:
+        self.count, self.block_bytes = self.rows.count(), block_bytes
+        if not self.count:
             raise ValueError("novelty needs at least one trusted row")
-        self.count, self.dim, self.block_bytes = size["n"], size["dim"], block_bytes
+        self.dim = self.rows.select(F.size("real_vector")).first()[0]
         self.shared = None
         if self.count * self.dim * 8 <= broadcast_bytes:
             table = self.rows.toArrow().combine_chunks().sort_by("real_id")

@@ -8,6 +8,7 @@ their chunk only.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from gleanspark.functions.hashing import HEX_DIGITS, draw_bits, uniform
 
 CHUNK_BITS = 16
 CHUNKS = 1 << CHUNK_BITS
+MIN_CHUNK_ROWS = 10_000
 
 
 def numbered(
@@ -101,9 +103,11 @@ def batch_of(t: str, batch_size: int) -> Column:
     return (F.floor((F.col(t) - 1) / F.lit(batch_size)) + 1).cast("int")
 
 
-def first_in_order(
-    df: DataFrame, order_col: str, n: int, chunk_width: int, out: str = "place"
-) -> DataFrame:
-    """The first ``n`` rows by a unique whole number ``order_col``, numbered from 1."""
-    chunk = F.floor(F.col(order_col) / F.lit(chunk_width))
-    return numbered(df, chunk, [F.col(order_col)], out, n)
+def first_in_order(df: DataFrame, order_col: str, n: int, out: str = "place") -> DataFrame:
+    """The first ``n`` rows by a unique clock ``order_col`` (from 1), numbered from 1.
+
+    ``df`` is read three times, so it should be a written table.
+    """
+    top = df.agg(F.max(order_col)).first()[0] or 0
+    width = max(MIN_CHUNK_ROWS, ceil(top / CHUNKS))
+    return numbered(df, F.floor(F.col(order_col) / F.lit(width)), [F.col(order_col)], out, n)

@@ -455,7 +455,13 @@ def statements() -> dict[str, str]:
             "max(sim) OVER (PARTITION BY vec_id) AS top FROM sims) QUALIFY row_number() OVER "
             "(PARTITION BY vec_id ORDER BY round(sim, 9) DESC, real_id) = 1",
         ),
-        "hashed_embedding": with_ctes(DOCS + BUCKETS, "SELECT id, bucket, n FROM buckets"),
+        "hashed_embedding": with_ctes(
+            DOCS + BUCKETS,
+            "SELECT id, " + ", ".join(
+                f"coalesce(sum({term}), 0)::DOUBLE AS {name}" for name, term in (
+                    ("n_words", "n"), ("squares", "n * n"), ("moment", "n * (bucket + 1)"),
+                    ("second_moment", "n * (bucket + 1) * (bucket + 1)"))
+            ) + " FROM docs LEFT JOIN buckets USING (id) GROUP BY id"),
         "own_embedding":
             "SELECT doc_id, length(text)::DOUBLE AS n_chars, "
             "(length(text) - length(replace(text, ' ', '')))::DOUBLE AS n_spaces FROM documents",
@@ -487,14 +493,13 @@ def statements() -> dict[str, str]:
         "reward_delta": with_ctes(
             USER_LOG, "SELECT user_id, iteration, arm, reward::DOUBLE AS reward FROM user_log"),
         "policy_state": with_ctes(
-            USER_ARMS, f"SELECT user_id, arm, pulls, {rounded('mean')} FROM user_arms"),
+            USER_ARMS, "SELECT user_id, arm, pulls, mean FROM user_arms"),
         "beta_state": with_ctes(USER_ARMS, "SELECT user_id, arm, alpha, beta FROM user_arms"),
         "policy_state_running": with_ctes(
             USER_LOG,
-            "SELECT user_id, iteration, pulls_0, alpha_0, beta_0, pulls_1, alpha_1, beta_1, "
-            + rounded("mean_0", "mean_1") + " FROM (SELECT user_id, iteration, "
+            "SELECT user_id, iteration, "
             + ", ".join(arm_state(a, BEFORE.replace("ORDER", "PARTITION BY user_id ORDER")) for a in (0, 1))
-            + " FROM user_log)"),
+            + " FROM user_log"),
         "ucb_replay": with_ctes(REPLAY, f"SELECT {REPLAYED} FROM ucb"),
         "thompson_replay": with_ctes(REPLAY, f"SELECT {REPLAYED} FROM thompson"),
         "own_policy": with_ctes(

@@ -16,7 +16,7 @@ from gleanspark.operators.metrics import accepted_counts
 from gleanspark.operators.ordering import first_in_order, in_batches
 from gleanspark.operators.policy import Policy, make_policy, state_literals
 from gleanspark.operators.rewards import state_wide
-from gleanspark.plans.regimes import held_out_f1, regime_table
+from gleanspark.plans.regimes import compare_regimes, validation_f1
 from gleanspark.plans.scoring import trusted_set, with_novelty, with_signals, with_tokens
 from gleanspark.storage import fresh_path, is_complete, write_table, written_once
 
@@ -28,8 +28,6 @@ DECISION_SCHEMA = (
     "cand_id bigint, t bigint, label int, uncertainty double, novelty double, "
     "verifier double, weight double, action int"
 )
-# Rows of the clock ranked by one task when a round is cut at the target.
-CUT_CHUNK = 1_000_000
 
 
 def policy_of(config: SelectionConfig) -> Policy:
@@ -137,7 +135,7 @@ class SelectionRun:
     def _first_fit(self) -> None:
         counts = classifier.word_counts(self.train, self.config.num_classes)
         model = self._write_model(0, counts)
-        self._log(0, val_f1=held_out_f1(self.real, model, ("val",))["val"])
+        self._log(0, val_f1=validation_f1(self.real, model))
 
     def stage(self, pool: DataFrame) -> DataFrame:
         """Order ``pool(cand_id, text, label)`` and score its novelty, once for all rounds."""
@@ -178,7 +176,7 @@ class SelectionRun:
         accepted, cutoff = decided.filter("action = 1"), None
         room = self.config.target_size - last["curated_total"]
         if seen["n_accepted"] > room:
-            cutoff = first_in_order(accepted, "t", room, CUT_CHUNK).agg(F.max("t")).first()[0]
+            cutoff = first_in_order(accepted, "t", room).agg(F.max("t")).first()[0]
             accepted = accepted.filter(F.col("t") <= cutoff)
         values = {
             "n_batch": seen["n_batch"],
@@ -194,7 +192,7 @@ class SelectionRun:
             kept = batch.join(accepted.select("cand_id"), "cand_id", "left_semi")
             added = classifier.word_counts(kept, self.config.num_classes)
             model = self._write_model(iteration, classifier.add_counts(model.counts, added))
-            values["val_f1"] = held_out_f1(self.real, model, ("val",))["val"]
+            values["val_f1"] = validation_f1(self.real, model)
         return self._log(iteration, reward=values["val_f1"] - last["val_f1"], **values)
 
     def run(self, pool: DataFrame) -> "SelectionRun":
@@ -214,17 +212,13 @@ class SelectionRun:
 
     def regimes(self) -> DataFrame:
         """``regime, val_f1, test_f1``: trusted rows only, with the whole pool, with the curated."""
-        first, last = self._model(0), self._round(self._last_round())
+        curated = self._model(self._round(self._last_round())["model_round"])
+        first = self._model(0)
         whole = classifier.add_counts(
             first.counts, classifier.word_counts(self.pool, self.config.num_classes)
         )
         naive = classifier.model_of(write_table(whole, f"{self.folder}/naive_model"))
-        score = lambda model: {f"{k}_f1": v for k, v in held_out_f1(self.real, model).items()}
-        return regime_table(
-            self.spark,
-            {
-                "real_only": score(first),
-                "naive_augmentation": score(naive),
-                "bandit_guided": score(self._model(last["model_round"])),
-            },
+        return compare_regimes(
+            self.real,
+            {"real_only": first, "naive_augmentation": naive, "bandit_guided": curated},
         )

@@ -11,30 +11,31 @@ from gleanspark.operators.classifier import BayesModel, fit, predict
 from gleanspark.operators.metrics import macro_f1
 from gleanspark.sources.labelled import union_all
 
-HELD_OUT = ("val", "test")
+def validation_f1(real: DataFrame, model: BayesModel) -> float:
+    """Macro F1 on the validation rows of ``real(id, label, tokens, split)``; 0 without rows."""
+    predicted = predict(real.filter("split = 'val'"), model, "id", ("label",))
+    found = macro_f1(predicted, (), model.num_classes).first()
+    return 0.0 if found["macro_f1"] is None else found["macro_f1"]
 
 
-def held_out_f1(real: DataFrame, model: BayesModel, splits: tuple[str, ...] = HELD_OUT) -> dict:
-    """Macro F1 per split of ``real(id, label, tokens, split)``, in one job."""
-    rows = real.filter(F.col("split").isin(*splits))
-    predicted = predict(rows, model, "id", ("label", "split"))
-    scores = macro_f1(predicted, ["split"], model.num_classes).collect()
-    found = {r["split"]: r["macro_f1"] for r in scores}
-    # A split without rows has no F1; it is reported as 0 rather than left out.
-    return {split: found.get(split, 0.0) for split in splits}
-
-
-def train_and_evaluate(
-    real: DataFrame, num_classes: int, extra: DataFrame | None = None
-) -> dict[str, float]:
-    """Fit on the train split plus ``extra(label, tokens)``; ``val_f1`` and ``test_f1``."""
+def fit_with(real: DataFrame, num_classes: int, extra: DataFrame | None = None) -> BayesModel:
+    """Fit on the train split plus ``extra(label, tokens)``, always from scratch."""
     train = real.filter("split = 'train'").select("label", "tokens")
     more = None if extra is None else extra.select("label", "tokens")
-    scores = held_out_f1(real, fit(union_all(train, more), num_classes))
-    return {f"{split}_f1": value for split, value in scores.items()}
-
-
-def regime_table(spark, scores: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """``regime, val_f1, test_f1`` with a row per training regime."""
-    rows = [(name, float(s["val_f1"]), float(s["test_f1"])) for name, s in scores.items()]
-    return spark.createDataFrame(rows, "regime string, val_f1 double, test_f1 double")
+    return fit(union_all(train, more), num_classes)
+
+
+def compare_regimes(real: DataFrame, models: Mapping[str, BayesModel]) -> DataFrame:
+    """``regime, val_f1, test_f1``: each model on the held-out rows, all in one plan."""
+    held_out = real.filter("split IN ('val', 'test')")
+    predicted = [
+        predict(held_out, model, "id", ("label", "split")).withColumn("regime", F.lit(name))
+        for name, model in models.items()
+    ]
+    num_classes = next(iter(models.values())).num_classes
+    scores = macro_f1(union_all(*predicted), ["regime", "split"], num_classes)
+    # A split without rows has no F1; it is reported as 0 rather than left out.
+    of = lambda split: F.expr(
+        f"coalesce(max(macro_f1) FILTER (WHERE split = '{split}'), 0D) AS {split}_f1"
+    )
+    return scores.groupBy("regime").agg(of("val"), of("test"))

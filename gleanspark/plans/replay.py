@@ -6,25 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.operators.policy import Policy, state_columns
-from gleanspark.operators.rewards import ARMS, STATE_COLUMNS, all_tallies, arm_state
+from gleanspark.operators.prefix import in_segments
+from gleanspark.operators.rewards import (
+    ARMS, STATE_COLUMNS, all_tallies, arm_state, state_before_each,
+)
 
-# A run has a handful of rounds; a log longer than this is joined by shuffle.
-BROADCAST_ROUNDS = 100_000
+# A run has a handful of rounds: up to this many fit one task and one broadcast.
+SHORT_LOG = 100_000
 
 
 def state_per_round(log: DataFrame) -> DataFrame:
     """State before each round of a single run's log, a row per round."""
+    if log.limit(SHORT_LOG + 1).count() > SHORT_LOG:
+        states = state_before_each(in_segments(log, [], ["iteration"]), [])
+        return states.select("iteration", *STATE_COLUMNS)
     before = Window.orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.coalesce(F.sum(e).over(before), F.lit(0)).alias(n) for n, e in all_tallies().items()]
-    return log.select("iteration", *sums).select("iteration", *[c for a in ARMS for c in arm_state(a)])
+    states = log.select("iteration", *sums).select(
+        "iteration", *[c for a in ARMS for c in arm_state(a)]
+    )
+    return F.broadcast(states)
 
 
 def replay(candidates: DataFrame, log: DataFrame, policy: Policy) -> DataFrame:
     """Decide ``candidates(cand_id, t, batch_no, weight)``; rounds not in the log are left out."""
-    states = state_per_round(log).withColumnRenamed("iteration", "batch_no")
-    if log.limit(BROADCAST_ROUNDS + 1).count() <= BROADCAST_ROUNDS:
-        states = F.broadcast(states)
-    joined = candidates.join(states, "batch_no")
+    states = state_per_round(log)
+    joined = candidates.join(states, candidates["batch_no"] == states["iteration"]).drop("iteration")
     args = state_columns(), F.col("t"), F.col("weight"), F.col("cand_id")
     reject, accept = policy.boosted(*args)
     return joined.select(

@@ -47,8 +47,12 @@ def with_signals(candidates: DataFrame, model: BayesModel, carry: tuple[str, ...
 
 
 def score_candidates(
-    candidates: DataFrame, model: BayesModel, trusted: TrustedSet, config: SelectionConfig
+    candidates: DataFrame,
+    model: BayesModel,
+    trusted: TrustedSet,
+    config: SelectionConfig,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Score ``candidates(cand_id, text, label)`` in one chain with a single narrow shuffle."""
     ready = with_novelty(with_tokens(candidates, config), trusted, config)
-    return with_signals(ready, model)
+    return with_signals(ready, model, carry)

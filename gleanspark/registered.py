@@ -15,21 +15,21 @@ from gleanspark.functions.text import tokens
 from gleanspark.functions.vectors import as_doubles, l2_normalise
 from gleanspark.operators import metrics, ordering, prefix, rewards
 from gleanspark.operators.classifier import fit, mean_loss, predict
-from gleanspark.operators.embedding import embed_with, word_buckets
+from gleanspark.operators.embedding import embed_with
 from gleanspark.operators.logistic import fit_logistic, predict_logistic
 from gleanspark.operators.novelty import novelty
 from gleanspark.operators.policy import Policy, make_policy
 from gleanspark.plans import report
 from gleanspark.plans.loop import SelectionRun
-from gleanspark.plans.regimes import regime_table, train_and_evaluate
+from gleanspark.plans.regimes import compare_regimes, fit_with
 from gleanspark.plans.replay import replay
 from gleanspark.plans.scoring import score_candidates as scored_candidates
-from gleanspark.plans.scoring import trusted_set, with_tokens
+from gleanspark.plans.scoring import trusted_set, with_tokens, with_vectors
 from gleanspark.sources import pools, results
 from gleanspark.sources.labelled import attach_labels, labelled, union_all
 from gleanspark.sources.templates import generated_pool
 from gleanspark.sources.templates import template_pool as templates
-from gleanspark.storage import fresh_path
+from gleanspark.storage import fresh_path, materialize, spread
 from gleanspark.streaming.arrivals import arriving_pool, run_stream
 
 SEED = 42
@@ -60,7 +60,8 @@ def language_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.lit(len(LANGUAGES) - 1)
     for place, code in reversed(list(enumerate(LANGUAGES[:-1]))):
         number = F.when(F.col("lang") == code, F.lit(place)).otherwise(number)
-    documents = table(spark, sf_dir, "documents").withColumn("label", number)
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    documents = documents.withColumn("label", number)
     return ordering.band_splits(labelled(documents, "doc_id", "text", "label"), "id", SHARES, "pool", SEED)
 
 
@@ -97,20 +98,25 @@ def language_model(spark: SparkSession, sf_dir: str):
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, label, split_no, probs, prediction`` for every document."""
+    """``id, label, split, probs, prediction`` for every document."""
     return predict(
         tokenised(spark, sf_dir), language_model(spark, sf_dir), "id", ("label", "split")
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, batch_rows: int | None = None) -> DataFrame:
+    """Every candidate with its signals; with ``batch_rows`` also its clock and batch."""
     task, config = language_task(spark, sf_dir), settings()
-    train = with_tokens(task.filter("split = 'train'"), config)
+    train = materialize(with_tokens(task.filter("split = 'train'"), config).drop("text"), "train")
+    candidates, carry = candidate_part(task), ()
+    if batch_rows is not None:
+        candidates, carry = ordering.in_batches(candidates, "cand_id", batch_rows, SEED), ("t", "batch_no")
     return scored_candidates(
-        candidate_part(task),
+        candidates,
         fit(train, config.num_classes),
         trusted_set(train.select("id", "tokens"), config),
         config,
+        carry,
     )
 
 
@@ -163,9 +169,9 @@ def daily_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cand_id, t, batch_no, weight``: all candidates, a thirtieth of them per day."""
-    weights = scored(spark, sf_dir).select("cand_id", "weight")
     rows = candidate_part(language_task(spark, sf_dir)).count()
-    return ordering.in_batches(weights, "cand_id", max(1, ceil(rows / 30)), SEED)
+    found = scored(spark, sf_dir, max(1, ceil(rows / 30)))
+    return found.select("cand_id", "t", "batch_no", "weight")
 
 
 def selection(spark: SparkSession, sf_dir: str) -> SelectionRun:
@@ -276,11 +282,16 @@ def nearest_real(spark, sf_dir):
 
 
 def hashed_embedding(spark, sf_dir):
-    """Word counts per bucket, empty buckets left out."""
-    buckets = tokenised(spark, sf_dir).select(
-        "id", F.explode(word_buckets(F.col("tokens"), settings().embedding_dim)).alias("bucket")
+    """Sums that tell one vector of word counts per bucket from another."""
+    vectors = with_vectors(tokenised(spark, sf_dir), settings()).select("id", "vector")
+    total = lambda term: f"aggregate(transform(vector, (x, i) -> {term}), 0D, (a, x) -> a + x)"
+    return vectors.selectExpr(
+        "id",
+        f"{total('x')} AS n_words",
+        f"{total('x * x')} AS squares",
+        f"{total('x * (i + 1)')} AS moment",
+        f"{total('x * (i + 1) * (i + 1)')} AS second_moment",
     )
-    return buckets.groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def own_embedding(spark, sf_dir):
@@ -374,11 +385,11 @@ def regime_baselines(spark, sf_dir):
     task = language_task(spark, sf_dir)
     real = with_tokens(trusted_part(task), settings())
     pool = with_tokens(candidate_part(task), settings())
-    scores = {
-        "real_only": train_and_evaluate(real, len(LANGUAGES)),
-        "naive_augmentation": train_and_evaluate(real, len(LANGUAGES), pool),
+    models = {
+        "real_only": fit_with(real, len(LANGUAGES)),
+        "naive_augmentation": fit_with(real, len(LANGUAGES), pool),
     }
-    return regime_table(spark, scores).select("regime", *rounded("val_f1", "test_f1"))
+    return compare_regimes(real, models).select("regime", *rounded("val_f1", "test_f1"))
 
 
 # Reward log and policy.
@@ -390,7 +401,7 @@ def reward_delta(spark, sf_dir):
 
 def policy_state(spark, sf_dir):
     by_arm = rewards.state_by_arm(user_rewards(spark, sf_dir), ["user_id"])
-    return by_arm.select("user_id", "arm", "pulls", *rounded("mean"))
+    return by_arm.select("user_id", "arm", "pulls", "mean")
 
 
 def beta_state(spark, sf_dir):
@@ -402,7 +413,7 @@ def policy_state_running(spark, sf_dir):
     log = prefix.in_segments(user_rewards(spark, sf_dir), ["user_id"], ["iteration"])
     state = rewards.state_before_each(log, ["user_id"])
     kept = ("pulls_0", "alpha_0", "beta_0", "pulls_1", "alpha_1", "beta_1")
-    return state.select("user_id", "iteration", *kept, *rounded("mean_0", "mean_1"))
+    return state.select("user_id", "iteration", *kept, "mean_0", "mean_1")
 
 
 def replayed(spark, sf_dir, policy: Policy) -> DataFrame:
@@ -447,8 +458,8 @@ def accept_capped(spark, sf_dir):
     """The first accepted candidates up to the target, in the order they were seen."""
     decided = replayed(spark, sf_dir, make_policy("thompson", seed=SEED))
     target = int(candidate_part(language_task(spark, sf_dir)).count() * TARGET_SHARE)
-    accepted = decided.filter("action = 1").select("cand_id", "t", "batch_no")
-    return ordering.first_in_order(accepted, "t", target, 100_000, "place")
+    accepted = materialize(decided.filter("action = 1").select("cand_id", "t", "batch_no"), "accepted")
+    return ordering.first_in_order(accepted, "t", target)
 
 
 # The loop and its reports.

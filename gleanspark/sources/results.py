@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The names and shape of the result document.
 SCORES = "struct<val_f1: double, test_f1: double>"
 RESULT_SCHEMA = (
     f"baseline_real_only {SCORES}, naive_augmentation {SCORES}, "

@@ -42,6 +42,16 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal a plain file scan out to all cores if it has fewer partitions than there are cores.
+
+    Work that is heavy per row would otherwise wait for the few large row groups of a small
+    table. A large table has more partitions than cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True when a committed table lies at ``path``."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
