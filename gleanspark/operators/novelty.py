@@ -33,6 +33,8 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def nearest(queries: np.ndarray, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Largest similarity per query, and the first row reaching it."""
+    if queries.shape[1] != trusted.shape[1]:
+        raise ValueError("every embedding needs the same length")
     best = np.full(len(queries), -np.inf)
     exact = np.full(len(queries), -np.inf)
     where = np.zeros(len(queries), dtype="int64")

@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from gleanspark.storage import materialize
 
 
-def in_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Write ``df`` cut into ranges of (keys, order); ``segment`` names the range."""
-    ranged = df.repartitionByRange(*keys, *order)
+def in_segments(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int | None = None
+) -> DataFrame:
+    """Write ``df`` cut into ranges of (keys, order); ``segment`` names the range.
+
+    Unless told how many, Spark takes its shuffle partitions and joins small ones.
+    """
+    count = () if segments is None else (segments,)
+    ranged = df.repartitionByRange(*count, *keys, *order)
     return materialize(ranged.withColumn("segment", F.spark_partition_id()), "segments")
 
 

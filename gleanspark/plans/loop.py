@@ -20,6 +20,11 @@ from gleanspark.plans.regimes import compare_regimes, validation_f1
 from gleanspark.plans.scoring import trusted_set, with_novelty, with_signals, with_tokens
 from gleanspark.storage import fresh_path, is_complete, write_table, written_once
 
+REAL_SCHEMA = "id bigint, label int, split string, tokens array<string>"
+STAGED_SCHEMA = (
+    "cand_id bigint, text string, label int, t bigint, tokens array<string>, novelty double, "
+    "batch_no int"
+)
 ITERATION_SCHEMA = (
     "iteration int, n_batch bigint, n_accepted bigint, curated_total bigint, val_f1 double, "
     "reward double, arm int, cutoff bigint, model_round int"
@@ -53,6 +58,7 @@ class SelectionRun:
         self.real = written_once(
             spark,
             f"{self.folder}/real",
+            REAL_SCHEMA,
             lambda: with_tokens(real, config).select("id", "label", "split", "tokens"),
         )
         self.train = self.real.filter("split = 'train'")
@@ -89,7 +95,7 @@ class SelectionRun:
 
     @property
     def pool(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/pool")
+        return self.spark.read.schema(STAGED_SCHEMA).parquet(f"{self.folder}/pool")
 
     def curated(self) -> DataFrame:
         """The accepted rows with their texts."""
@@ -149,7 +155,7 @@ class SelectionRun:
             )
             return with_novelty(with_tokens(ordered, self.config), self.trusted, self.config)
 
-        return written_once(self.spark, f"{self.folder}/pool", build, "batch_no")
+        return written_once(self.spark, f"{self.folder}/pool", STAGED_SCHEMA, build, "batch_no")
 
     def finished(self, last) -> bool:
         return last["curated_total"] >= self.config.target_size

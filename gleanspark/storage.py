@@ -61,10 +61,11 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 def written_once(
     spark: SparkSession,
     path: str,
+    schema: str,
     build: Callable[[], DataFrame],
     partition_by: str | None = None,
 ) -> DataFrame:
     """The table at ``path``, built only if an earlier attempt did not finish it."""
-    if is_complete(spark, path):
-        return spark.read.parquet(path)
-    return write_table(build(), path, partition_by)
+    if not is_complete(spark, path):
+        write_table(build(), path, partition_by)
+    return spark.read.schema(schema).parquet(path)
