@@ -52,8 +52,7 @@ def running(
         df.groupBy("segment", *keys)
         .agg(*totals, *lasts)
         .select(
-            "segment",
-            *keys,
+            *[F.col(c).alias(f"_of_{c}") for c in ("segment", *keys)],
             F.row_number().over(by_segment).alias("_nth"),
             *[F.sum(n).over(earlier_segments).alias(f"_carry_{n}") for n in sums],
             *[F.lag(n).over(by_segment).alias(f"_carry_{n}") for n in previous],
@@ -67,7 +66,9 @@ def running(
         *[F.sum(e).over(earlier).alias(f"_local_{n}") for n, e in sums.items()],
         *[F.lag(e).over(place).alias(f"_local_{n}") for n, e in previous.items()],
     )
-    joined = local.join(F.broadcast(carries), ["segment", *keys], "left")
+    # Rows without a run key are a run of their own, so keys are matched with NULL equal to NULL.
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("segment", *keys)]
+    joined = local.join(F.broadcast(carries), same, "left")
     zero = F.lit(0)
     return joined.select(
         *df.columns,

@@ -98,9 +98,10 @@ class SelectionRun:
         return self.spark.read.schema(STAGED_SCHEMA).parquet(f"{self.folder}/pool")
 
     def curated(self) -> DataFrame:
-        """The accepted rows with their texts."""
-        kept = self.decisions.filter("kept").select("cand_id", "iteration", "t")
-        return kept.join(self.pool.select("cand_id", "text", "label"), "cand_id")
+        """The accepted rows with their texts; batches that were not played are not read."""
+        kept = self.decisions.filter("kept").selectExpr("cand_id", "iteration AS batch_no", "t")
+        texts = self.pool.select("cand_id", "batch_no", "text", "label")
+        return kept.join(texts, ["cand_id", "batch_no"]).withColumnRenamed("batch_no", "iteration")
 
     # Single numbers.
 

@@ -22,26 +22,24 @@ def result_document(iterations: DataFrame, regimes: DataFrame) -> DataFrame:
     ordered = lambda column: F.transform(
         F.array_sort(F.collect_list(step(column))), lambda s: s["value"]
     )
-    rounds = iterations.agg(
-        ordered("val_f1").alias("val_f1_history"),
-        ordered("reward").alias("reward_history"),
-        F.coalesce(F.max("curated_total"), F.lit(0).cast("bigint")).alias("curated_pool_size"),
-    )
-    of = lambda regime, column: F.max(F.when(F.col("regime") == regime, F.col(column)))
+    of = lambda regime, column: F.max(F.when(F.col("regime") == regime, F.col(f"regime_{column}")))
     pair = lambda regime: F.struct(
         of(regime, "val_f1").alias("val_f1"), of(regime, "test_f1").alias("test_f1")
     )
-    scores = regimes.agg(
+    scores = regimes.select(
+        "regime", F.col("val_f1").alias("regime_val_f1"), F.col("test_f1").alias("regime_test_f1")
+    )
+    rounds = iterations.select("iteration", "val_f1", "reward", "curated_total")
+    # Round rows and regime rows are folded together, each aggregate skipping the other kind.
+    return rounds.unionByName(scores, allowMissingColumns=True).agg(
         pair("real_only").alias("baseline_real_only"),
         pair("naive_augmentation").alias("naive_augmentation"),
-        of("bandit_guided", "test_f1").alias("test_f1"),
-    )
-    # Both sides are aggregates without keys: one row each, so the join is on a constant.
-    one = F.lit(1).alias("_one")
-    both = scores.select("*", one).join(rounds.select("*", one), "_one")
-    histories = ["val_f1_history", "reward_history", "curated_pool_size", "test_f1"]
-    return both.select(
-        "baseline_real_only", "naive_augmentation", F.struct(*histories).alias("bandit_guided")
+        F.struct(
+            ordered("val_f1").alias("val_f1_history"),
+            ordered("reward").alias("reward_history"),
+            F.coalesce(F.max("curated_total"), F.lit(0).cast("bigint")).alias("curated_pool_size"),
+            of("bandit_guided", "test_f1").alias("test_f1"),
+        ).alias("bandit_guided"),
     )
 
 
