@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.functions.hashing import HEX_DIGITS
+# Hex digits of a word's hash that choose its bucket: enough for any sensible dimension.
+WORD_DIGITS = 7
 
 
 def word_buckets(tokens: Column, dim: int) -> Column:
     """The bucket of each word: its hash modulo ``dim``."""
-    bits = lambda word: F.conv(F.substring(F.md5(word), 1, HEX_DIGITS), 16, 10).cast("bigint")
+    bits = lambda word: F.conv(F.substring(F.md5(word), 1, WORD_DIGITS), 16, 10).cast("bigint")
     return F.transform(tokens, lambda w: F.pmod(bits(w), F.lit(dim)).cast("int"))
 
 

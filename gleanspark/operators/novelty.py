@@ -23,30 +23,31 @@ BROADCAST_BYTES = 200 << 20
 BLOCK_BYTES = 64 << 20
 # Trusted rows multiplied at a time, which bounds the memory of one batch.
 TILE_ROWS = 4096
-# Neighbours this close to each other count as tied; the smallest id wins.
-TIE_PLACES = 9
+# Neighbours this close to the nearest count as tied with it; the smallest id wins.
+TIE = 1e-9
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + EPSILON)
 
 
-def nearest(queries: np.ndarray, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Largest similarity per query, and the first row reaching it."""
+def nearest(
+    queries: np.ndarray, trusted: np.ndarray, places: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Largest similarity per query, and if asked for the first row reaching it."""
     if queries.shape[1] != trusted.shape[1]:
         raise ValueError("every embedding needs the same length")
     best = np.full(len(queries), -np.inf)
-    exact = np.full(len(queries), -np.inf)
     where = np.zeros(len(queries), dtype="int64")
     for start in range(0, len(trusted), TILE_ROWS):
         similarity = queries @ trusted[start : start + TILE_ROWS].T
-        exact = np.maximum(exact, similarity.max(axis=1))
-        similarity = np.round(similarity, TIE_PLACES)
-        place = similarity.argmax(axis=1)
-        value = similarity[np.arange(len(queries)), place]
-        closer = value > best
-        best[closer], where[closer] = value[closer], place[closer] + start
-    return exact, where
+        top = similarity.max(axis=1)
+        if places:
+            closer = top > best + TIE
+            reached = similarity[closer] >= top[closer, None] - TIE
+            where[closer] = reached.argmax(axis=1) + start
+        best = np.maximum(best, top)
+    return best, where
 
 
 def stack(vectors: pa.Array) -> np.ndarray:
@@ -87,8 +88,11 @@ class TrustedSet:
             ids = table["real_id"].to_numpy()
             self.shared = trusted.sparkSession.sparkContext.broadcast((ids, matrix))
 
-    def neighbour(self, vector: Column) -> Column:
-        """struct<similarity, real_id> of the nearest trusted row; needs the broadcast matrix."""
+    def neighbour(self, vector: Column, with_id: bool) -> Column:
+        """struct<similarity, real_id> of the nearest trusted row; needs the broadcast matrix.
+
+        Without ``with_id`` the id is left NULL, which saves a pass over the similarities.
+        """
         shared = self.shared
 
         @F.arrow_udf("struct<similarity: double, real_id: bigint>")
@@ -97,24 +101,26 @@ class TrustedSet:
             queries = stack(vectors)
             if not len(queries):
                 queries = np.zeros((0, trusted.shape[1]))
-            similarity, place = nearest(unit_rows(queries), trusted)
+            similarity, place = nearest(unit_rows(queries), trusted, with_id)
+            found = pa.array(ids[place]) if with_id else pa.nulls(len(place), pa.int64())
             return pa.StructArray.from_arrays(
-                [pa.array(similarity), pa.array(ids[place])], ["similarity", "real_id"]
+                [pa.array(similarity), found], ["similarity", "real_id"]
             )
 
         return look_up(as_doubles(vector))
 
-    def score(self, candidates: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-        """Add ``novelty`` and ``nearest_id`` to the candidates."""
+    def score(
+        self, candidates: DataFrame, id_col: str, vector_col: str, with_id: bool = False
+    ) -> DataFrame:
+        """Add ``novelty``, and if asked for ``nearest_id``, to the candidates."""
         if self.shared is not None:
-            found = candidates.withColumn("_near", self.neighbour(F.col(vector_col)))
+            found = candidates.withColumn("_near", self.neighbour(F.col(vector_col), with_id))
         else:
             found = candidates.join(self._by_blocks(candidates, id_col, vector_col), id_col)
-        return found.select(
-            *candidates.columns,
-            clip_unit(F.lit(1.0) - F.col("_near.similarity")).alias("novelty"),
-            F.col("_near.real_id").alias("nearest_id"),
-        )
+        added = [clip_unit(F.lit(1.0) - F.col("_near.similarity")).alias("novelty")]
+        if with_id:
+            added.append(F.col("_near.real_id").alias("nearest_id"))
+        return found.select(*candidates.columns, *added)
 
     def _by_blocks(self, candidates: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         per_block = max(1, self.block_bytes // (8 * self.dim))
@@ -142,7 +148,7 @@ class TrustedSet:
             reals = reals.sort_values("real_id")
             trusted = unit_rows(np.stack(reals["real_vector"].to_numpy()))
             queries = unit_rows(np.stack(cands["vector"].to_numpy()))
-            similarity, place = nearest(queries, trusted)
+            similarity, place = nearest(queries, trusted, True)
             found = (cands["cand_id"], similarity, reals["real_id"].to_numpy()[place])
             return pd.DataFrame(dict(zip(columns, found)))
 
@@ -150,7 +156,7 @@ class TrustedSet:
         schema = f"cand_id {id_type}, similarity double, real_id bigint"
         keys = ["block", "real_block"]
         met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
-        closest = F.struct(F.round("similarity", TIE_PLACES), -F.col("real_id"))
+        closest = F.struct(F.round("similarity", 9), -F.col("real_id"))
         return met.groupBy(F.col("cand_id").alias(id_col)).agg(
             F.struct(
                 F.max("similarity").alias("similarity"),
@@ -165,8 +171,9 @@ def novelty(
     id_col: str,
     vector_col: str,
     trusted_id: str | None = None,
+    with_id: bool = False,
     **options,
 ) -> DataFrame:
-    """1 - largest cosine to a trusted row, clipped to [0, 1], with that row's id."""
+    """1 - largest cosine to a trusted row, clipped to [0, 1]; if asked for, with that row's id."""
     known = TrustedSet(trusted, trusted_id or id_col, vector_col, **options)
-    return known.score(candidates, id_col, vector_col)
+    return known.score(candidates, id_col, vector_col, with_id)

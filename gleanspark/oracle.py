@@ -143,7 +143,7 @@ PREDICTED: Ctes = MODEL + [
 PROBS = each("round(prob_#, 6) AS p_#")
 
 # The hashed embedding and the novelty of pool rows against train rows.
-BUCKET = f"(('0x' || substr(md5(token), 1, 13))::BIGINT % 64)::INTEGER"
+BUCKET = "(('0x' || substr(md5(token), 1, 7))::BIGINT % 64)::INTEGER"
 BUCKETS: Ctes = [("buckets", f"SELECT id, {BUCKET} AS bucket, count(*) AS n FROM words GROUP BY ALL")]
 TEXT_NOVELTY: Ctes = BUCKETS + [
     ("norms", "SELECT id, sqrt(sum(n * n)) + 1e-9 AS norm FROM buckets GROUP BY id"),
@@ -452,8 +452,8 @@ def statements() -> dict[str, str]:
             VECTORS,
             "SELECT vec_id, real_id AS nearest_id, "
             "round(1 - greatest(0, least(1, 1 - top)), 6)::DOUBLE AS similarity FROM (SELECT *, "
-            "max(sim) OVER (PARTITION BY vec_id) AS top FROM sims) QUALIFY row_number() OVER "
-            "(PARTITION BY vec_id ORDER BY round(sim, 9) DESC, real_id) = 1",
+            "max(sim) OVER (PARTITION BY vec_id) AS top FROM sims) WHERE sim >= top - 1e-9 "
+            "QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY real_id) = 1",
         ),
         "hashed_embedding": with_ctes(
             DOCS + BUCKETS,

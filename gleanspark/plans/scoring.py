@@ -31,7 +31,7 @@ def with_novelty(
 ) -> DataFrame:
     """Add ``novelty`` to ``candidates(cand_id, tokens, …)``. It never depends on the model."""
     scored = trusted.score(with_vectors(candidates, config), "cand_id", "vector")
-    return scored.drop("vector", "nearest_id")
+    return scored.drop("vector")
 
 
 def with_signals(candidates: DataFrame, model: BayesModel, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -277,7 +277,7 @@ def novelty_by_blocks(spark, sf_dir):
 
 
 def nearest_real(spark, sf_dir):
-    found = novelty(*vector_parts(spark, sf_dir), "vec_id", "embedding")
+    found = novelty(*vector_parts(spark, sf_dir), "vec_id", "embedding", with_id=True)
     return found.select("vec_id", "nearest_id", F.round(1 - F.col("novelty"), PLACES).alias("similarity"))
 
 

@@ -52,14 +52,14 @@ def words(text):
     return re.findall(r"[a-z0-9]+", text.lower())[:128]
 
 
-def bits(text):
-    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+def bits(text, digits=13):
+    return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
 
 
 def vector(text):
     v = np.zeros(CONFIG.embedding_dim)
     for w in words(text):
-        v[bits(w) % CONFIG.embedding_dim] += 1
+        v[bits(w, 7) % CONFIG.embedding_dim] += 1
     return v / (np.linalg.norm(v) + 1e-9)
 
 

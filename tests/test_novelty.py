@@ -13,7 +13,7 @@ SCHEMA = "id bigint, v array<double>"
 def score(spark, cands, reals, **options):
     left = spark.createDataFrame(list(enumerate(cands)), SCHEMA)
     right = spark.createDataFrame(list(enumerate(reals)), SCHEMA)
-    rows = novelty(left, right, "id", "v", **options).orderBy("id").collect()
+    rows = novelty(left, right, "id", "v", with_id=True, **options).orderBy("id").collect()
     return [r["novelty"] for r in rows], [r["nearest_id"] for r in rows]
 
 
