@@ -13,9 +13,10 @@ WORD = r"[\p{L}\p{N}]+"
 def tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """The first ``max_tokens`` lower-case words of ``text``; no words for NULL.
 
-    The leading stretch holding those words is cut out first, so the tail of a long
-    text is never split into an array only to be thrown away.
+    The leading stretch holding those words is cut out first, so the tail of a long text is
+    neither lowered nor split. It keeps one word more, because the lower case of a letter can
+    depend on what follows, and a lowered word can fall apart into several.
     """
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    stretch = r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,%d}+" % max_tokens
-    return F.regexp_extract_all(F.regexp_extract(lowered, stretch, 0), F.lit(WORD), F.lit(0))
+    stretch = r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,%d}+" % (max_tokens + 1)
+    lowered = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), stretch, 0))
+    return F.slice(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), 1, max_tokens)
