@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import decontaminate, language, mixing, pii, simhash
+from gleanspark.llm import decontaminate, language, lm, mixing, pii, quality, search, simhash, urls, warc
 from gleanspark.llm.common import share_of, table
 
 
@@ -15,14 +15,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality(docs, labels, share_of(F.col("doc"), 3) == 1)
+
+
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.filter("doc_id % 50 = 0")
+    queries = asked.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    return search.search(docs, queries)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = share_of(F.col("doc_id"), 5) == 0
@@ -35,6 +55,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, items)
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.log_probabilities(docs, share_of(F.col("doc"), 10) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op4_pii, op6_mixture, op8_language, op9_decontamination)
+    f.__name__: f for f in (
+        op1_simhash, op2_quality, op3_search, op4_pii, op5_warc, op6_mixture, op7_urls, op8_language,
+        op9_decontamination, op10_lm,
+    )
 }
