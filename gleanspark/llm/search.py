@@ -139,7 +139,7 @@ class Shard:
         return np.bincount(owner, self.by_text[at] * self.weight[self.word[at]], len(texts))
 
     def top(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Texts and scores of the k best texts with any of ``words``, and those that tie."""
+        """The k best texts with any of ``words``, and their scores."""
         size = self.list_start[words + 1] - self.list_start[words]
         words, size = words[size > 0], size[size > 0]
         self.weight[words] = 1.0
@@ -171,28 +171,25 @@ class Shard:
         more = np.bincount(self.block[at], self.block_max[at], self.n_blocks)
         texts = texts[sums + more[texts // BLOCK_TEXTS] >= threshold - SLACK]
         scores = np.round(self.full(texts), DIGITS)
-        if len(scores) > k:
-            kept = scores >= np.partition(scores, -k)[-k]
-            texts, scores = texts[kept], scores[kept]
-        return texts, scores
+        best = np.lexsort((self.docs[texts], ~self.has_id[texts], -scores))[:k]
+        return texts[best], scores[best]
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[list, list[np.ndarray], dict[bytes, int]]]:
-    """(ids, word numbers of each, numbers of words) for blocks of queries(query, text).
+def query_blocks(texts: DataFrame) -> Iterator[tuple[list[str], list[np.ndarray], dict[bytes, int]]]:
+    """(keys, word numbers of each, numbers of words) for blocks of ``texts(key, text)``.
 
     A block holds about ``QUERY_WORDS`` words; no more than one block is on the driver.
     """
-    plain = queries.distinct()
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = size // (4 * QUERY_WORDS) + 1
     for number in range(count):
-        part = plain.filter(F.pmod(F.xxhash64("query", "text"), F.lit(count)) == number).toArrow()
+        part = texts.filter(F.pmod(F.xxhash64("key"), F.lit(count)) == number).toArrow()
         wanted: dict[bytes, int] = {}
-        ids, words = part["query"].to_pylist(), []
+        keys, words = part["key"].to_pylist(), []
         for text in utf8(part["text"].combine_chunks()):
             distinct = dict.fromkeys(words_of(text))
             words.append(np.array([wanted.setdefault(w, len(wanted)) for w in distinct], np.int64))
-        yield ids, words, wanted
+        yield keys, words, wanted
 
 
 def search(
@@ -203,16 +200,19 @@ def search(
 
     A query is the set of its words, however often it has them. Rows without any of them are not
     returned, so a query without words has no result. Equal scores (to nine digits) rank by id,
-    NULL last. Rows of ``docs`` that repeat rank one after the other; a query that repeats counts
-    once.
+    NULL last. Rows of ``docs`` that repeat rank one after the other. Queries of equal text are
+    searched once; each of them gets the result, a query that repeats gets it once.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    asked = queries.select(F.col(query_id).cast("bigint").alias("query"), F.col(query_text).alias("text"))
+    asked = queries.select(
+        F.col(query_id).cast("bigint").alias("query"), F.coalesce(query_text, F.lit("")).alias("text")
+    ).withColumn("key", F.md5("text"))
+    texts = materialize(asked.groupBy("key").agg(F.first("text").alias("text")), "search-texts")
     shards = materialize(index(plain), "search-index")
     n_texts, n_words = shards.agg(F.coalesce(F.sum("n_texts"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     mean_length, best = n_words / max(1, n_texts), None
-    for ids, words, wanted in query_blocks(asked):
+    for keys, words, wanted in query_blocks(texts):
         numbers = spark.sparkContext.broadcast(wanted)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,28 +225,29 @@ def search(
         n = np.zeros(len(wanted))
         n[counted["word"].to_numpy()] = counted["n"].to_numpy()
         idf = np.log(1 + (n_texts - n + 0.5) / (n + 0.5))
-        given = spark.sparkContext.broadcast((ids, words, idf))
+        given = spark.sparkContext.broadcast((keys, words, idf))
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, words, idf = given.value
+            keys, words, idf = given.value
             for batch in batches:
                 for row in batch.to_pylist():
                     shard = Shard(row, numbers.value)
                     shard.prepare(idf, mean_length)
-                    found = {"query": [], "doc": [], "score": []}
-                    for query, its in zip(ids, words):
+                    found = {"key": [], "doc": [], "score": []}
+                    for key, its in zip(keys, words):
                         texts, scores = shard.top(its, k)
-                        found["query"] += [query] * len(texts)
+                        found["key"] += [key] * len(texts)
                         found["doc"] += [d if h else None for d, h in zip(shard.docs[texts].tolist(), shard.has_id[texts])]
                         found["score"] += scores.tolist()
                     yield pa.RecordBatch.from_pydict({
-                        "query": pa.array(found["query"], pa.int64()), "doc": pa.array(found["doc"], pa.int64()),
+                        "key": pa.array(found["key"], pa.string()), "doc": pa.array(found["doc"], pa.int64()),
                         "score": pa.array(found["score"], pa.float64()),
                     })
 
-        met = shards.mapInArrow(meet, "query bigint, doc bigint, score double")
+        met = shards.mapInArrow(meet, "key string, doc bigint, score double")
         part = materialize(met, "search-met")
         best = part if best is None else best.unionByName(part)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc").isNull(), "doc")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), F.col("doc").isNull(), "doc")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias(query_id), "rank", F.col("doc").alias(id_col), "score")
+    found = asked.select("query", "key").distinct().join(materialize(ranked, "search-ranked"), "key")
+    return found.select(F.col("query").alias(query_id), "rank", F.col("doc").alias(id_col), "score")
