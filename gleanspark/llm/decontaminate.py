@@ -2,7 +2,9 @@
 
 An item of length m may differ in k = share * m edits. It is cut into k + 1 pieces; where the item
 occurs with at most k edits, one piece is left whole. All pieces are searched at once, every
-hit opens a stretch in which the item may lie, and Myers' bit-parallel distance decides.
+hit opens a stretch in which the item may lie. An edit touches at most q of the item's q-grams, so
+a stretch that lacks too many of them is left out; for the others Myers' bit-parallel distance
+decides.
 
 The items are taken in blocks of bounded size, each block in one pass over the texts, so what is
 sent to the executors does not grow with the benchmark.
@@ -22,6 +24,7 @@ from gleanspark.llm.common import map_rows
 
 ERROR_SHARE = 0.1
 BLOCK_BYTES = 1 << 20
+GRAM = 4
 
 
 def plain(text: str | None) -> str:
@@ -77,7 +80,8 @@ class ItemIndex:
                 places[letter] |= 1 << at
             for offset, piece in pieces(text, budget):
                 found[piece].append((len(self.items), offset))
-            self.items.append((item_id, text, budget, dict(places)))
+            grams = [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+            self.items.append((item_id, text, budget, dict(places), grams))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -91,7 +95,7 @@ class ItemIndex:
         stretches: dict[int, list[list[int]]] = {}
         for last, (size, where) in self.automaton.iter(text):
             for number, offset in where:
-                _, item, budget, _ = self.items[number]
+                _, item, budget, _, _ = self.items[number]
                 low = last + 1 - size - offset - budget
                 high = low + len(item) + 2 * budget
                 known = stretches.setdefault(number, [])
@@ -101,11 +105,15 @@ class ItemIndex:
                 else:
                     known.append([low, high])
         for number in sorted(stretches):
-            item_id, item, budget, places = self.items[number]
+            item_id, item, budget, places, grams = self.items[number]
+            needed = len(grams) - GRAM * budget
             best, end = budget + 1, 0
             for low, high in stretches[number]:
                 low = max(low, 0)
-                edits, at = distance_in(places, len(item), text[low:high])
+                stretch = text[low:high]
+                if sum(map(stretch.__contains__, grams)) < needed:
+                    continue
+                edits, at = distance_in(places, len(item), stretch)
                 if edits < best:
                     best, end = edits, low + at
             if best <= budget:
