@@ -25,13 +25,16 @@ EMBEDDING_DIM = 64
 
 @dataclass(frozen=True)
 class SelectionConfig:
-    """``batch_size`` should grow with the pool: rounds stay few, not rows per round."""
+    """``batch_size`` should grow with the pool: rounds stay few, not rows per round.
+
+    Whole texts are read unless ``max_tokens`` limits the words of each.
+    """
 
     num_classes: int = NUM_CLASSES
     target_size: int = TARGET_SIZE
     batch_size: int = BATCH_SIZE
     max_rounds: int = MAX_ROUNDS
-    max_tokens: int = MAX_TOKENS
+    max_tokens: int | None = None
     embedding_dim: int = EMBEDDING_DIM
     policy: str = "ucb"
     ucb_alpha: float = UCB_ALPHA

@@ -110,7 +110,9 @@ def with_weights(
         return words.join(F.broadcast(weights), "token", "left")
     salt = F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
     copies = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return words.withColumn("_salt", salt).join(copies, ["token", "_salt"], "left").drop("_salt")
+    # Without the hint a model just over the limit could be broadcast after all, salts and all.
+    salted = words.withColumn("_salt", salt).join(copies.hint("merge"), ["token", "_salt"], "left")
+    return salted.drop("_salt")
 
 
 def class_scores(

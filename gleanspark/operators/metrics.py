@@ -36,7 +36,8 @@ def macro_f1(
 ) -> DataFrame:
     """Unweighted mean of the class F1s of ``predicted(label, prediction)``.
 
-    Knowing that the classes are 0 … num_classes - 1 lets one aggregation count them all.
+    Knowing that the classes are 0 … num_classes - 1 lets one aggregation count them all; a label
+    or prediction outside them is an error then.
     """
     if num_classes is None:
         per_class = class_f1(confusion(predicted, by), by)
@@ -48,7 +49,12 @@ def macro_f1(
     } | {
         f"_hit_{c}": f"count_if(label = {c} AND prediction = {c})" for c in range(num_classes)
     }
-    counted = predicted.groupBy(*by).agg(*[F.expr(f"{e} AS {n}") for n, e in tallies.items()])
+    known = lambda c: (
+        f"CASE WHEN {c} BETWEEN 0 AND {num_classes - 1} THEN {c} "
+        f"ELSE int(raise_error('{c} outside 0..{num_classes - 1}')) END AS {c}"
+    )
+    checked = predicted.select(*by, F.expr(known("label")), F.expr(known("prediction")))
+    counted = checked.groupBy(*by).agg(*[F.expr(f"{e} AS {n}") for n, e in tallies.items()])
     # tp / (tp + (fp + fn) / 2) is 2 tp over the rows labelled plus the rows predicted; the
     # quotient is NULL for a class seen in neither, which leaves it out of the mean.
     f1 = [f"try_divide(2 * _hit_{c}, _label_{c} + _pred_{c})" for c in range(num_classes)]

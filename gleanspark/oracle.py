@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gleanspark.config import MAX_TOKENS
 from gleanspark.registered import (
     BATCH_ROWS, FLIPPED, LANGUAGES, PLACES, ROUNDS, SAMPLE_ROWS, SEED, SHARES, SPLIT_SIZES,
     TARGET_SHARE,
@@ -40,7 +41,7 @@ def quoted(text: str) -> str:
 # Inputs derived from the tables.
 
 LABEL = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END::INTEGER"
-WORD_LIST = "list_slice(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), 1, 128)"
+WORD_LIST = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 
 
 def bands() -> str:
@@ -467,7 +468,8 @@ def statements() -> dict[str, str]:
             "(length(text) - length(replace(text, ' ', '')))::DOUBLE AS n_spaces FROM documents",
         "tokenise_truncate": with_ctes(
             DOCS,
-            "SELECT id AS doc_id, len(tokens)::INTEGER AS n_tokens, array_to_string(tokens, ' ') AS words FROM docs",
+            "SELECT id AS doc_id, len(cut)::INTEGER AS n_tokens, array_to_string(cut, ' ') AS words "
+            f"FROM (SELECT id, list_slice(tokens, 1, {MAX_TOKENS}) AS cut FROM docs)",
         ),
         "nb_model": with_ctes(MODEL, f"SELECT token, {each('n_#')} FROM counts"),
         "nb_probabilities": probabilities,

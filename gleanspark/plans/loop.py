@@ -224,7 +224,11 @@ class SelectionRun:
         whole = classifier.add_counts(
             first.counts, classifier.word_counts(self.pool, self.config.num_classes)
         )
-        naive = classifier.model_of(write_table(whole, f"{self.folder}/naive_model"))
+        # The pool of a run does not change, and an earlier result may still read the model.
+        path = f"{self.folder}/naive_model"
+        if not is_complete(self.spark, path):
+            write_table(whole, path)
+        naive = classifier.model_of(self.spark.read.schema(whole.schema).parquet(path))
         return compare_regimes(
             self.real,
             {"real_only": first, "naive_augmentation": naive, "bandit_guided": curated},

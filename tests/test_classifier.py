@@ -122,3 +122,8 @@ def test_round_arm_is_accept_once_anything_was_accepted(spark):
     found = metrics.accepted_counts(spark.createDataFrame(rows, "batch_no int, action int"), ["batch_no"])
     assert sorted(tuple(r) for r in found.collect()) == [(1, 3, 1, 1), (2, 1, 0, 0)]
     assert tuple(metrics.accepted_counts(spark.createDataFrame([], "action int")).first()) == (0, 0, 0)
+
+
+def test_macro_f1_refuses_labels_outside_the_classes(spark):
+    with pytest.raises(Exception, match="outside 0..1"):
+        metrics.macro_f1(predictions(spark, [(0, 0), (2, 0)]), num_classes=2).first()

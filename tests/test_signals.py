@@ -86,7 +86,11 @@ WORDY = "Ab, cd! " * 300
     ],
 )
 def test_tokens(values, line, expected):
-    assert values([(line,)], "line string", text.tokens(F.col("line"))) == [(expected,)]
+    assert values([(line,)], "line string", text.tokens(F.col("line"), 128)) == [(expected,)]
+
+
+def test_tokens_of_the_whole_text_by_default(values):
+    assert values([(WORDY,)], "line string", text.tokens(F.col("line"))) == [(["ab", "cd"] * 300,)]
 
 
 def test_tokens_equal_cutting_the_whole_list(spark):
@@ -96,7 +100,7 @@ def test_tokens_equal_cutting_the_whole_list(spark):
            for tail in ("", "'Α", ".", " Α", "'1Α")]
     documents = documents.unionByName(spark.createDataFrame(odd, "text string"))
     whole = r"slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0), 1, 128)"
-    both = documents.select(text.tokens(F.col("text")).alias("a"), F.expr(whole).alias("b"))
+    both = documents.select(text.tokens(F.col("text"), 128).alias("a"), F.expr(whole).alias("b"))
     assert both.filter("a <> b").count() == 0
 
 
