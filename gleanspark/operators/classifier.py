@@ -127,9 +127,9 @@ def class_scores(
 
     ``carry`` names further columns of fixed width to keep. The likelihood is divided by the
     number of known words, which keeps the probabilities from saturating; a document with no
-    known word is scored by the priors.
+    known word is scored by the priors. An id that several documents share is an error.
     """
-    words = docs.select(id_col, *carry, F.explode_outer("tokens").alias("token"))
+    words = docs.select(id_col, *carry, F.posexplode_outer("tokens").alias("_place", "token"))
     priors = model.priors()
     classes = range(model.num_classes)
     summed = (
@@ -137,11 +137,14 @@ def class_scores(
         .groupBy(id_col)
         .agg(
             *[F.max(c).alias(c) for c in carry],
+            F.count_if(F.coalesce("_place", F.lit(0)) == 0).alias("_docs"),
             F.count("w_0").alias("_known"),
             *[F.expr(f"sum(w_{c}) AS _w_{c}") for c in classes],
         )
     )
-    return summed.selectExpr(
+    merged = "bigint(raise_error('several documents have the same id'))"
+    checked = summed.withColumn("_known", F.expr(f"IF(_docs = 1, _known, {merged})"))
+    return checked.selectExpr(
         id_col,
         *carry,
         *[f"{priors[c]!r}D + IF(_known > 0, _w_{c} / _known, 0D) AS z_{c}" for c in classes],

@@ -20,7 +20,8 @@ from gleanspark.operators.rewards import ARMS, STATE_COLUMNS
 class Policy(ABC):
     """A rule that turns state, clock, context weight and row id into 0 or 1.
 
-    Own policies implement :meth:`arm_scores`, or :meth:`action` as a whole.
+    Own policies implement :meth:`arm_scores`, and where they differ :meth:`boosted` or
+    :meth:`choose`.
     """
 
     @abstractmethod
@@ -39,8 +40,10 @@ class Policy(ABC):
     def action(
         self, state: Mapping[str, Column], t: Column, weight: Column, row_id: Column
     ) -> Column:
-        """1 to accept; a tie rejects."""
-        reject, accept = self.boosted(state, t, weight, row_id)
+        return self.choose(t, *self.boosted(state, t, weight, row_id))
+
+    def choose(self, t: Column, reject: Column, accept: Column) -> Column:
+        """1 to accept, from the boosted scores; a tie rejects."""
         return F.when(accept > reject, 1).otherwise(0)
 
 
@@ -57,9 +60,9 @@ class UpperConfidence(Policy):
 
         return score(0), score(1)
 
-    def action(self, state, t, weight, row_id):
+    def choose(self, t, reject, accept):
         opening = (t - 1).cast("int")
-        return F.when(t <= len(ARMS), opening).otherwise(super().action(state, t, weight, row_id))
+        return F.when(t <= len(ARMS), opening).otherwise(super().choose(t, reject, accept))
 
 
 class PosteriorSampling(Policy):

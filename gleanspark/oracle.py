@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gleanspark.config import MAX_TOKENS
 from gleanspark.registered import (
-    BATCH_ROWS, FLIPPED, LANGUAGES, PLACES, ROUNDS, SAMPLE_ROWS, SEED, SHARES, SPLIT_SIZES,
+    BATCH_ROWS, FLIPPED, LANGUAGES, LOG_ENDS, PLACES, ROUNDS, SAMPLE_ROWS, SEED, SHARES, SPLIT_SIZES,
     TARGET_SHARE,
 )
 from gleanspark.sources.templates import NEGATIVE_TEMPLATES, POSITIVE_TEMPLATES, WORDS
@@ -200,6 +200,14 @@ NOVELTY = with_ctes(
     "SELECT vec_id, round(greatest(0, least(1, 1 - max(sim))), 6)::DOUBLE AS novelty FROM sims GROUP BY vec_id",
 )
 
+NEAREST = with_ctes(
+    VECTORS,
+    "SELECT vec_id, real_id AS nearest_id, "
+    "round(1 - greatest(0, least(1, 1 - top)), 6)::DOUBLE AS similarity FROM (SELECT *, "
+    "max(sim) OVER (PARTITION BY vec_id) AS top FROM sims) WHERE sim >= top - 1e-9 "
+    "QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY real_id) = 1",
+)
+
 # Reward logs.
 USER_LOG: Ctes = [
     (
@@ -224,7 +232,7 @@ USER_ARMS: Ctes = USER_LOG + [
 DAYS: Ctes = [
     (
         "days",
-        "SELECT day(ts)::INTEGER AS iteration, CASE WHEN count(*) FILTER (event_type IN ('purchase', 'signup')) "
+        "SELECT (ts::DATE - (SELECT min(ts)::DATE FROM events) + 1)::INTEGER AS iteration, CASE WHEN count(*) FILTER (event_type IN ('purchase', 'signup')) "
         "> count(*) FILTER (event_type IN ('error', 'click')) THEN 1 ELSE 0 END AS arm, "
         "sum(round(value * 100)::BIGINT)::DOUBLE / 100 / count(*) - 50 AS reward FROM events GROUP BY 1",
     )
@@ -271,6 +279,16 @@ REPLAY: Ctes = SCORED + STATES + [
               "(SELECT greatest(1, ceil(n / 30.0)) FROM pool_size)"),
     ),
     ("play", "SELECT * FROM timed JOIN states USING (batch_no)"),
+    (
+        "open_states",
+        f"SELECT batch_no, {arm_state(0, '')}, {arm_state(1, '')} FROM (SELECT DISTINCT batch_no FROM timed) "
+        f"LEFT JOIN days ON iteration < batch_no AND iteration <= {LOG_ENDS} GROUP BY batch_no",
+    ),
+    (
+        "open_ucb",
+        f"SELECT *, {UCB_ACTION} FROM (SELECT *, {UCB[0]} AS reject_score, "
+        f"({UCB[1]}) * (1 + weight) AS accept_score FROM timed JOIN open_states USING (batch_no))",
+    ),
     (
         "ucb",
         f"SELECT *, {UCB_ACTION} FROM (SELECT *, {UCB[0]} AS reject_score, "
@@ -449,13 +467,8 @@ def statements() -> dict[str, str]:
         ),
         "novelty_score": NOVELTY,
         "novelty_by_blocks": NOVELTY,
-        "nearest_real": with_ctes(
-            VECTORS,
-            "SELECT vec_id, real_id AS nearest_id, "
-            "round(1 - greatest(0, least(1, 1 - top)), 6)::DOUBLE AS similarity FROM (SELECT *, "
-            "max(sim) OVER (PARTITION BY vec_id) AS top FROM sims) WHERE sim >= top - 1e-9 "
-            "QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY real_id) = 1",
-        ),
+        "nearest_real": NEAREST,
+        "nearest_real_by_blocks": NEAREST,
         "hashed_embedding": with_ctes(
             DOCS + BUCKETS,
             "SELECT id, " + ", ".join(
@@ -474,6 +487,14 @@ def statements() -> dict[str, str]:
         "nb_model": with_ctes(MODEL, f"SELECT token, {each('n_#')} FROM counts"),
         "nb_probabilities": probabilities,
         "nb_probabilities_shuffled": probabilities,
+        "union_scored": with_ctes(
+            MODEL + [
+                ("both_sources", "SELECT 'documents:' || id AS id, tokens FROM docs UNION ALL "
+                 f"SELECT 'benchmark:' || item_id, {WORD_LIST} FROM benchmark"),
+                ("both_words", "SELECT id, unnest(tokens) AS token FROM both_sources"),
+                *predictions("m", "both_sources", "both_words", "both_pred"),
+            ],
+            f"SELECT id AS key, {PROBS} FROM both_pred"),
         "predict_argmax": with_ctes(
             PREDICTED, "SELECT id, label, split, prediction FROM pred JOIN docs USING (id)"),
         "train_loss": with_ctes(
@@ -504,6 +525,7 @@ def statements() -> dict[str, str]:
             + " FROM user_log"),
         "ucb_replay": with_ctes(REPLAY, f"SELECT {REPLAYED} FROM ucb"),
         "thompson_replay": with_ctes(REPLAY, f"SELECT {REPLAYED} FROM thompson"),
+        "replay_open_batch": with_ctes(REPLAY, f"SELECT {REPLAYED} FROM open_ucb"),
         "own_policy": with_ctes(
             REPLAY,
             "SELECT cand_id, batch_no, CASE WHEN weight > 0.5 THEN 1 ELSE 0 END::INTEGER AS action FROM play"),

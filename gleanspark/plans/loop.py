@@ -18,6 +18,7 @@ from gleanspark.operators.policy import Policy, make_policy, state_literals
 from gleanspark.operators.rewards import state_wide
 from gleanspark.plans.regimes import compare_regimes, validation_f1
 from gleanspark.plans.scoring import trusted_set, with_novelty, with_signals, with_tokens
+from gleanspark.sources.labelled import unique
 from gleanspark.storage import fresh_path, is_complete, write_table, written_once
 
 REAL_SCHEMA = "id bigint, label int, split string, tokens array<string>"
@@ -59,7 +60,9 @@ class SelectionRun:
             spark,
             f"{self.folder}/real",
             REAL_SCHEMA,
-            lambda: with_tokens(real, config).select("id", "label", "split", "tokens"),
+            lambda: with_tokens(unique(real, "id"), config).select(
+                "id", "label", "split", "tokens"
+            ),
         )
         self.train = self.real.filter("split = 'train'")
         self.trusted = trusted_set(self.train.select("id", "tokens"), config)
@@ -84,14 +87,20 @@ class SelectionRun:
 
     @property
     def decisions(self) -> DataFrame:
-        """Every decision of every round, with ``kept`` for rows inside the target."""
-        if not self._last_round():
+        """Every decision of every finished round, with ``kept`` for rows inside the target."""
+        last = self._last_round()
+        if not last:
             return self.spark.createDataFrame([], f"{DECISION_SCHEMA}, iteration int, kept boolean")
         cutoff = self.rounds.agg(F.min("cutoff")).first()[0]
         kept = F.col("action") == 1
         if cutoff is not None:
             kept = kept & (F.col("t") <= cutoff)
-        return self._table("decisions", DECISION_SCHEMA).withColumn("kept", kept)
+        finished = self._table("decisions", DECISION_SCHEMA).filter(F.col("iteration") <= last)
+        return finished.withColumn("kept", kept)
+
+    def undecided(self) -> int:
+        """Staged candidates that no round has decided: behind the target or the last round."""
+        return self.pool.count() - self.rounds.agg(F.sum("n_batch")).first()[0]
 
     @property
     def pool(self) -> DataFrame:
@@ -149,7 +158,7 @@ class SelectionRun:
 
         def build() -> DataFrame:
             ordered = in_batches(
-                pool.select("cand_id", "text", "label"),
+                unique(pool.select("cand_id", "text", "label"), "cand_id"),
                 "cand_id",
                 self.config.batch_size,
                 self.config.seed,

@@ -1,42 +1,45 @@
-"""Recompute every decision of a run from its reward log, in one job."""
+"""Recompute every decision of a run from its reward log."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.operators.policy import Policy, state_columns
-from gleanspark.operators.prefix import in_segments
-from gleanspark.operators.rewards import (
-    ARMS, STATE_COLUMNS, all_tallies, arm_state, state_before_each,
-)
-
-# A run has a handful of rounds: up to this many fit one task and one broadcast.
-SHORT_LOG = 100_000
-
-
-def state_per_round(log: DataFrame) -> DataFrame:
-    """State before each round of a single run's log, a row per round."""
-    if log.limit(SHORT_LOG + 1).count() > SHORT_LOG:
-        states = state_before_each(in_segments(log, [], ["iteration"]), [])
-        return states.select("iteration", *STATE_COLUMNS)
-    before = Window.orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
-    sums = [F.coalesce(F.sum(e).over(before), F.lit(0)).alias(n) for n, e in all_tallies().items()]
-    states = log.select("iteration", *sums).select(
-        "iteration", *[c for a in ARMS for c in arm_state(a)]
+from gleanspark.operators.prefix import in_segments, running
+from gleanspark.operators.rewards import ARMS, all_tallies, arm_state
+from gleanspark.storage import materialize
+
+
+def state_before(batches: DataFrame, log: DataFrame) -> DataFrame:
+    """``batch_no`` and the state after all rounds of a single run's log before that batch.
+
+    The batches are put among the rounds as rows that add nothing, so a log of any length is
+    worked on in segments, and a batch without a round of its own has a state as well.
+    """
+    rounds = log.select(F.col("iteration").cast("bigint").alias("iteration"), "arm", "reward")
+    asked = batches.select(F.col("batch_no").cast("bigint").alias("iteration")).distinct()
+    marked = rounds.withColumn("played", F.lit(1)).unionByName(
+        asked.withColumn("played", F.lit(0)), allowMissingColumns=True
     )
-    return F.broadcast(states)
+    order = ["iteration", "played"]
+    summed = running(in_segments(marked, [], order), [], order, sums=all_tallies())
+    states = summed.filter("played = 0").withColumnRenamed("iteration", "batch_no")
+    return states.select("batch_no", *[c for a in ARMS for c in arm_state(a)])
 
 
 def replay(candidates: DataFrame, log: DataFrame, policy: Policy) -> DataFrame:
-    """Decide ``candidates(cand_id, t, batch_no, weight)``; rounds not in the log are left out."""
-    states = state_per_round(log)
-    joined = candidates.join(states, candidates["batch_no"] == states["iteration"]).drop("iteration")
+    """Decide ``candidates(cand_id, t, batch_no, weight)`` from ``log(iteration, arm, reward)``.
+
+    A batch is decided by the rounds before it, whether or not it has been played itself; a row
+    without a batch number is left out.
+    """
+    candidates = materialize(candidates.filter("batch_no IS NOT NULL"), "candidates")
+    joined = candidates.join(state_before(candidates, log), "batch_no")
     args = state_columns(), F.col("t"), F.col("weight"), F.col("cand_id")
     reject, accept = policy.boosted(*args)
-    return joined.select(
-        *candidates.columns,
-        reject.alias("reject_score"),
-        accept.alias("accept_score"),
-        policy.action(*args).alias("action"),
-    ).drop(*STATE_COLUMNS)
+    scores = joined.select(
+        *candidates.columns, reject.alias("reject_score"), accept.alias("accept_score")
+    )
+    action = policy.choose(F.col("t"), F.col("reject_score"), F.col("accept_score"))
+    return scores.withColumn("action", action)

@@ -30,7 +30,7 @@ def with_novelty(
     candidates: DataFrame, trusted: TrustedSet, config: SelectionConfig
 ) -> DataFrame:
     """Add ``novelty`` to ``candidates(cand_id, tokens, …)``. It never depends on the model."""
-    scored = trusted.score(with_vectors(candidates, config), "cand_id", "vector")
+    scored = trusted.score(with_vectors(candidates, config), "vector")
     return scored.drop("vector")
 
 

@@ -26,7 +26,7 @@ from gleanspark.plans.replay import replay
 from gleanspark.plans.scoring import score_candidates as scored_candidates
 from gleanspark.plans.scoring import trusted_set, with_tokens, with_vectors
 from gleanspark.sources import pools, results
-from gleanspark.sources.labelled import attach_labels, labelled, union_all
+from gleanspark.sources.labelled import attach_labels, labelled, union_all, union_keyed
 from gleanspark.sources.templates import generated_pool
 from gleanspark.sources.templates import template_pool as templates
 from gleanspark.storage import fresh_path, materialize, spread
@@ -41,6 +41,7 @@ TARGET_SHARE = 0.3
 SAMPLE_ROWS = 300
 SPLIT_SIZES = {"train": 500, "val": 200, "test": 200}
 BATCH_ROWS = 50
+LOG_ENDS = 15
 PLACES = 6
 
 
@@ -156,15 +157,15 @@ def daily_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.count_if(F.col("event_type").isin("error", "click"))
     # Whole cents are summed, so the mean does not depend on the order of the rows.
     cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
-    days = (
-        table(spark, sf_dir, "events")
-        .groupBy(F.dayofmonth("ts").alias("iteration"))
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    first = events.agg(F.min("day")).first()[0]
+    return (
+        events.groupBy((F.date_diff("day", F.lit(first)) + 1).alias("iteration"))
         .agg(
             F.when(good > bad, 1).otherwise(0).alias("arm"),
             (cents.cast("double") / 100 / F.count(F.lit(1)) - 50).alias("reward"),
         )
     )
-    return days
 
 
 def replay_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +278,15 @@ def novelty_by_blocks(spark, sf_dir):
 
 
 def nearest_real(spark, sf_dir):
-    found = novelty(*vector_parts(spark, sf_dir), "vec_id", "embedding", with_id=True)
+    return nearest_ids(spark, sf_dir)
+
+
+def nearest_real_by_blocks(spark, sf_dir):
+    return nearest_ids(spark, sf_dir, broadcast_bytes=0)
+
+
+def nearest_ids(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    found = novelty(*vector_parts(spark, sf_dir), "vec_id", "embedding", with_id=True, **options)
     return found.select("vec_id", "nearest_id", F.round(1 - F.col("novelty"), PLACES).alias("similarity"))
 
 
@@ -331,6 +340,16 @@ def nb_probabilities_shuffled(spark, sf_dir):
     return found.select("id", *probability_columns())
 
 
+def union_scored(spark, sf_dir):
+    """Two sources whose ids collide, scored together."""
+    documents = language_task(spark, sf_dir).select("id", "text", "label")
+    passages = table(spark, sf_dir, "benchmark").withColumn("label", F.lit(0))
+    passages = labelled(passages, "item_id", "text", "label")
+    rows = union_keyed({"documents": documents, "benchmark": passages})
+    found = predict(with_tokens(rows, settings()), language_model(spark, sf_dir), "key")
+    return found.select("key", *probability_columns())
+
+
 def predict_argmax(spark, sf_dir):
     return predicted(spark, sf_dir).select("id", "label", "split", "prediction")
 
@@ -432,6 +451,14 @@ def thompson_replay(spark, sf_dir):
     )
 
 
+def replay_open_batch(spark, sf_dir):
+    """The log ends halfway: what follows is decided by all that is known."""
+    log = daily_log(spark, sf_dir).filter(F.col("iteration") <= LOG_ENDS)
+    return replay(replay_candidates(spark, sf_dir), log, make_policy("ucb")).select(
+        "cand_id", "t", "batch_no", "action", *rounded("reject_score", "accept_score")
+    )
+
+
 class WeightAbove(Policy):
     """A policy of one's own: accept what reaches a fixed context weight."""
 
@@ -530,14 +557,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         load_labelled, union_sources, pool_lines, pool_reuse, template_pool, own_generator,
         seeded_sample, fixed_splits, split_sizes, band_splits, batch_assign,
-        l2_normalised, novelty_score, novelty_by_blocks, nearest_real,
+        l2_normalised, novelty_score, novelty_by_blocks, nearest_real, nearest_real_by_blocks,
         hashed_embedding, own_embedding,
         tokenise_truncate, nb_model, nb_probabilities, nb_probabilities_shuffled,
-        predict_argmax, train_loss, lr_probabilities,
+        union_scored, predict_argmax, train_loss, lr_probabilities,
         uncertainty, verifier_confidence, score_candidates,
         confusion, class_f1, macro_f1, regime_baselines,
         reward_delta, policy_state, beta_state, policy_state_running,
-        ucb_replay, thompson_replay, own_policy, round_arms, accept_capped,
+        ucb_replay, thompson_replay, replay_open_batch, own_policy, round_arms, accept_capped,
         closed_loop, decision_log, curated_rows, regime_comparison, regime_curve,
         regime_summary, result_document, stream_loop,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,18 @@ def union_all(*parts: DataFrame | None) -> DataFrame:
     for part in given[1:]:
         union = union.unionByName(part)
     return union
+
+
+def union_keyed(parts: Mapping[str, DataFrame], id_col: str = "id") -> DataFrame:
+    """Union of named sources whose ids may collide: ``key`` is the source and the id."""
+    key = lambda name: F.concat(F.lit(f"{name}:"), F.col(id_col).cast("string"))
+    return union_all(*[part.withColumn("key", key(name)) for name, part in parts.items()])
+
+
+def unique(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` as it is, or an error if rows share an id or have none."""
+    repeated = F.col("count") > 1
+    bad = df.groupBy(id_col).count().filter(repeated | F.col(id_col).isNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"{id_col} {bad[0][0]} does not name one row; see union_keyed")
+    return df

@@ -127,3 +127,9 @@ def test_round_arm_is_accept_once_anything_was_accepted(spark):
 def test_macro_f1_refuses_labels_outside_the_classes(spark):
     with pytest.raises(Exception, match="outside 0..1"):
         metrics.macro_f1(predictions(spark, [(0, 0), (2, 0)]), num_classes=2).first()
+
+
+def test_rows_that_share_an_id_are_not_merged(spark):
+    docs = spark.createDataFrame([(5, 0, ["a"]), (5, 1, ["b"])], "id bigint, label int, tokens array<string>")
+    with pytest.raises(Exception, match="same id"):
+        classifier.predict(docs, classifier.fit(docs, 2), "id").collect()

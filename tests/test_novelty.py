@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -52,6 +54,37 @@ def test_equals_brute_force_in_blocks_and_tiles(spark, monkeypatch, options):
     assert set(nearest[:30]) == {0}
 
 
+def test_repeated_and_missing_ids_keep_their_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 1.0]), (None, [1.0, 1.0])]
+    reals = spark.createDataFrame([(7, [2.0, 0.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0])], SCHEMA)
+    ways = [
+        novelty(spark.createDataFrame(rows, SCHEMA), reals, "id", "v", with_id=True, **options)
+        for options in ({}, {"broadcast_bytes": 0, "block_bytes": 16})
+    ]
+    broadcast, blocks = [
+        sorted((str(r["id"]), round(r["novelty"], 8), r["nearest_id"]) for r in way.collect()) for way in ways
+    ]
+    assert broadcast == blocks
+    assert broadcast == [("1", 0.0, 3), ("1", 1.0, 3), ("None", 0.29289322, 3), ("None", 0.29289322, 3)]
+
+
+def test_ties_are_measured_from_the_largest_similarity(spark):
+    angle = lambda sim: [float(sim), float(np.sqrt(1 - sim * sim))]
+    reals = [angle(0.9 - 1.6e-9), angle(0.9 - 0.8e-9), angle(0.9)]
+    for options in ({}, {"broadcast_bytes": 0, "block_bytes": 16}):
+        assert score(spark, [[1.0, 0.0]], reals, **options)[1] == [1]
+
+
+def test_tiles_on_both_sides_bound_the_memory():
+    rng = np.random.default_rng(3)
+    queries, trusted = rng.normal(size=(16384, 64)), rng.normal(size=(4096, 64))
+    tracemalloc.start()
+    module.first_reaching(queries, trusted, module.largest(queries, trusted))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * module.TILE_ROWS**2 * 8
+
+
 def test_no_trusted_rows(spark):
     with pytest.raises(ValueError, match="at least one trusted row"):
         score(spark, [[1.0]], [])

@@ -47,10 +47,9 @@ LOG = [(1, 1, 0.05), (2, 0, -0.01), (3, 1, 0.02), (4, 1, -0.03), (5, 0, 0.0)]
 LOG_SCHEMA = "iteration int, arm int, reward double"
 
 
-@pytest.mark.parametrize("short", [100, 0])
-def test_running_state(spark, monkeypatch, short):
-    monkeypatch.setattr(replays, "SHORT_LOG", short)
-    states = replays.state_per_round(spark.createDataFrame(LOG, LOG_SCHEMA)).orderBy("iteration")
+def test_running_state(spark):
+    log = spark.createDataFrame(LOG, LOG_SCHEMA)
+    states = replays.state_before(log.selectExpr("iteration AS batch_no"), log).orderBy("batch_no")
     found = [(r["pulls_1"], r["mean_1"], r["alpha_1"], r["beta_1"]) for r in states.collect()]
     expected = [(0, 0, 1, 1), (1, 0.05, 2, 1), (1, 0.05, 2, 1), (2, 0.035, 3, 1), (3, 0.0133333333, 3, 2)]
     assert found == [pytest.approx(e, abs=1e-9) for e in expected]
@@ -103,11 +102,14 @@ def test_replay_equals_the_sequential_rule(spark):
     assert [r["action"] for r in found] == sequential_ucb(rows, LOG, 0.7)
 
 
-def test_rounds_missing_from_the_log_are_left_out(spark):
-    candidates = spark.createDataFrame([(1, 1, 1, 0.5), (2, 2, 9, 0.5)],
-                                       "cand_id bigint, t bigint, batch_no int, weight double")
-    log = spark.createDataFrame(LOG, LOG_SCHEMA)
-    assert replay(candidates, log, policies.UpperConfidence()).count() == 1
+def test_open_batches_take_the_last_known_state(spark):
+    schema = "cand_id bigint, t bigint, batch_no int, weight double"
+    rows = [(1, 40, 1, 0.5), (2, 50, 4, 0.5), (3, 50, 9, 0.5), (4, 50, 20, 0.5)]
+    log = spark.createDataFrame([r for r in LOG if r[0] <= 3], LOG_SCHEMA)
+    found = replay(spark.createDataFrame(rows, schema), log, policies.UpperConfidence())
+    scores = {r["cand_id"]: (r["reject_score"], r["accept_score"]) for r in found.collect()}
+    assert set(scores) == {1, 2, 3, 4}
+    assert scores[2] == scores[3] == scores[4] != scores[1]
 
 
 @pytest.mark.parametrize("a, b", [(1, 1), (3, 2), (8, 14)])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanspark.sources import pools, results
-from gleanspark.sources.labelled import read_labelled, union_all
+from gleanspark.sources.labelled import read_labelled, union_all, union_keyed, unique
 from gleanspark.sources.templates import generated_pool, template_pool
 
 ROWS = [(0, 'He said "no"\nand left', 0), (1, "Éçole", 1), (2, "Éçole", 1)]
@@ -109,3 +109,13 @@ def test_result_document_round_trip(spark, tmp_path):
             "test_f1": 0.55,
         },
     }
+
+
+def test_colliding_ids_get_a_key_and_repeated_ones_are_refused(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, text string")
+    right = spark.createDataFrame([(1, "c")], "id bigint, text string")
+    both = union_keyed({"left": left, "right": right})
+    assert {r["key"]: r["text"] for r in both.collect()} == {"left:1": "a", "left:2": "b", "right:1": "c"}
+    assert unique(both, "key").count() == 3
+    with pytest.raises(ValueError, match="does not name one row"):
+        unique(both, "id")
