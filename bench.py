@@ -21,6 +21,8 @@ HEADLINE = (
     "hashed_embedding",
     "novelty_score",
     "novelty_by_blocks",
+    "nearest_real",
+    "nearest_real_by_blocks",
     "nb_model",
     "nb_probabilities",
     "nb_probabilities_shuffled",
@@ -31,6 +33,7 @@ HEADLINE = (
     "policy_state_running",
     "ucb_replay",
     "thompson_replay",
+    "replay_open_batch",
     "accept_capped",
     "closed_loop",
 )
