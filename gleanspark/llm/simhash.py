@@ -300,22 +300,16 @@ def components(
     )
 
 
-def deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE
+def one_per_root(
+    printed: DataFrame, rows: DataFrame, rooted: DataFrame, id_col: str, own: str
 ) -> DataFrame:
-    """One row of each component: that with the smallest id, NULL last; all columns as they are.
+    """The rows of ``printed`` with the smallest id of each root, NULL last, without the column ``own``.
 
-    Of rows that agree in id and fingerprint, any one stays. Only the rows to drop travel to the
-    texts.
+    ``own`` is the fingerprint of a row, ``rows(doc, fp)`` holds all of them and ``rooted(fp, root)``
+    their roots. Of rows that agree in id and fingerprint, any one stays. Only the rows to drop travel
+    to the texts.
     """
-    own = "__fp"
-    printed = with_fingerprint(docs, text_col, own)
-    rows = materialize(
-        with_fingerprint(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), keep=["doc"]),
-        "dedup-prints",
-    )
-    prints = materialize(rows.select("fp").distinct(), "dedup-distinct")
-    rooted = materialize(roots(prints), "dedup-roots")
+    rooted = materialize(rooted, "dedup-roots")
     copies = rows.groupBy("doc", "fp").count()
     met = materialize(copies.join(rooted, "fp"), "dedup-copies")
     place = F.struct(F.col("doc").isNull(), "doc", "fp")
@@ -330,3 +324,17 @@ def deduplicated(
         repeated = kept.join(many, same, "left_semi").dropDuplicates([id_col, own])
         kept = kept.join(many, same, "left_anti").unionByName(repeated)
     return kept.drop(own)
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE
+) -> DataFrame:
+    """One row of each component: that with the smallest id, NULL last; all columns as they are."""
+    own = "__fp"
+    printed = with_fingerprint(docs, text_col, own)
+    rows = materialize(
+        with_fingerprint(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), keep=["doc"]),
+        "dedup-prints",
+    )
+    prints = materialize(rows.select("fp").distinct(), "dedup-distinct")
+    return one_per_root(printed, rows, roots(prints, distance), id_col, own)
