@@ -233,8 +233,8 @@ class SelectionRun:
         whole = classifier.add_counts(
             first.counts, classifier.word_counts(self.pool, self.config.num_classes)
         )
-        # The pool of a run does not change, and an earlier result may still read the model.
-        path = f"{self.folder}/naive_model"
+        # A pool only grows, by what a stream adds, and an earlier result may still read its model.
+        path = f"{self.folder}/naive_model/rows={self.pool.count()}"
         if not is_complete(self.spark, path):
             write_table(whole, path)
         naive = classifier.model_of(self.spark.read.schema(whole.schema).parquet(path))

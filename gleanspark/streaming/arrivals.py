@@ -9,7 +9,7 @@ from gleanspark.operators.ordering import shuffled
 from gleanspark.plans.loop import SelectionRun
 from gleanspark.plans.scoring import with_novelty, with_tokens
 from gleanspark.sources.pools import POOL_SCHEMA
-from gleanspark.storage import write_table
+from gleanspark.storage import is_complete, write_table
 
 
 def arriving_pool(spark: SparkSession, path: str, files_per_round: int = 1) -> DataFrame:
@@ -18,27 +18,37 @@ def arriving_pool(spark: SparkSession, path: str, files_per_round: int = 1) -> D
     return reader.parquet(path)
 
 
+def play_waiting(run: SelectionRun, upto: int) -> None:
+    """Play the staged micro-batches up to round ``upto`` that no round has looked at, in order."""
+    for iteration in range(run._last_round() + 1, min(upto, run.config.max_rounds) + 1):
+        last = run._round(run._last_round()).asDict()
+        if run.finished(last):
+            return
+        run.play(iteration, run.pool.filter(F.col("batch_no") == iteration), last)
+
+
 def play_arrivals(run: SelectionRun, batch: DataFrame, batch_id: int) -> None:
-    """Play micro-batch ``batch_id`` as round ``batch_id + 1``.
+    """Stage micro-batch ``batch_id`` and play it as round ``batch_id + 1``.
 
-    All state is read from the run's log before this round, and every table of the round is
-    overwritten, so a batch delivered again changes nothing.
+    It is staged also when the target is reached or the rounds have run out, so a run with a larger
+    target finds it. All state is read from the run's log before this round, and every table of the
+    round is overwritten, so a batch delivered again changes nothing.
     """
     iteration = batch_id + 1
-    if iteration > run.config.max_rounds or run._played(iteration):
-        return
-    before = run.rounds.filter(F.col("iteration") < iteration)
-    last = before.orderBy(F.desc("iteration")).first().asDict()
-    if run.finished(last):
+    if run._played(iteration):
         return
-    offset = before.agg(F.sum("n_batch")).first()[0]
+    offset = run.pool.filter(F.col("batch_no") < iteration).count() if _staged(run, 1) else 0
     placed = shuffled(batch, "cand_id", run.config.seed, "pool", "_place")
     timed = placed.withColumn("t", F.col("_place") + offset).drop("_place")
-    staged = write_table(
+    write_table(
         with_novelty(with_tokens(timed, run.config), run.trusted, run.config),
         f"{run.folder}/pool/batch_no={iteration}",
     )
-    run.play(iteration, staged, last)
+    play_waiting(run, iteration)
+
+
+def _staged(run: SelectionRun, iteration: int) -> bool:
+    return is_complete(run.spark, f"{run.folder}/pool/batch_no={iteration}")
 
 
 def run_stream(run: SelectionRun, arrivals: DataFrame, checkpoint: str | None = None) -> SelectionRun:
@@ -50,4 +60,9 @@ def run_stream(run: SelectionRun, arrivals: DataFrame, checkpoint: str | None =
         .start()
     )
     query.awaitTermination()
+    # Batches staged by an earlier run with a smaller target.
+    arrived = 0
+    while _staged(run, arrived + 1):
+        arrived += 1
+    play_waiting(run, arrived)
     return run

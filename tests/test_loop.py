@@ -205,6 +205,24 @@ def test_stream_equals_the_loop_and_ignores_replays(spark, real, pool, finished,
     assert run.curated().count() == finished.curated().count()
 
 
+def test_stream_keeps_what_arrives_behind_the_target(spark, real, pool, tmp_path):
+    ordered = in_batches(pool, "cand_id", CONFIG.batch_size, CONFIG.seed).cache()
+    landing = str(tmp_path / "landing")
+    for k in range(1, 4):
+        part = ordered.filter(F.col("batch_no") == k).select("cand_id", "text", "label")
+        part.coalesce(1).write.mode("append").parquet(landing)
+    size = ordered.filter("batch_no <= 3").count()
+    settings = dict(num_classes=2, batch_size=30, embedding_dim=16)
+    small = SelectionConfig(target_size=5, max_rounds=6, **settings)
+    run = run_stream(SelectionRun(spark, real, small, policy=Always(1)), arriving_pool(spark, landing))
+    assert [r[3] for r in log_of(run)] == [0, 5]
+    assert run.pool.count() == size and run.undecided() == size - CONFIG.batch_size
+    assert sorted(r.t for r in run.pool.collect()) == list(range(1, size + 1))
+    large = SelectionConfig(target_size=1000, max_rounds=2, **settings)
+    later = run_stream(SelectionRun(spark, real, large, run.folder, policy=Always(1)), arriving_pool(spark, landing))
+    assert len(log_of(later)) == 3 and later.undecided() == size - 2 * CONFIG.batch_size
+
+
 def test_settings_are_checked():
     for bad in ({"num_classes": 0}, {"batch_size": 0}, {"target_size": -1}):
         with pytest.raises(ValueError):
