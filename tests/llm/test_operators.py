@@ -457,6 +457,22 @@ def test_no_texts_no_scores(none):
     assert lm.log_probabilities(none, F.lit(False)).count() == 0
 
 
+def test_every_training_text_trains(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    trained, real = [], lm.averaged
+
+    def watched(texts, *rest):
+        trained.append(texts.count())
+        return real(texts, *rest)
+
+    monkeypatch.setattr(lm, "averaged", watched)
+    df = spark.createDataFrame([(i, prose(i, 40)) for i in range(60)], "doc_id bigint, text string")
+    assert all(r.score < 0 for r in lm.log_probabilities(df, F.col("doc") % 10 == 0).collect())
+    assert sum(trained) == 54
+    assert {r.score for r in lm.log_probabilities(df, F.lit(True)).collect()} == {None}
+
+
 @pytest.mark.parametrize("length", [1, 31, 32, 33, 56, 57, 500])
 def test_every_place_counts_once(length):
     texts = [np.arange(length, dtype=np.int32) % 7, np.arange(3, dtype=np.int32)]
