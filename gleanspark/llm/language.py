@@ -39,8 +39,8 @@ CHUNK = 1 << 20
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the letter trigrams of a text, and how often each occurs."""
-    raw = (text or "").lower().encode("utf-8", "replace").translate(TO_BLANK)
+    """Buckets of the letter trigrams of a text between blanks, and how often each occurs."""
+    raw = b" %b " % (text or "").lower().encode("utf-8", "replace").translate(TO_BLANK)
     total = None
     for start in range(0, max(1, len(raw) - 2), CHUNK):
         b = np.frombuffer(raw[start : start + CHUNK + 2], dtype=np.uint8).astype(np.uint32)
@@ -116,19 +116,20 @@ class Mixture:
                 break
         return share
 
-    def judge(self, text: str | None) -> tuple[str, float]:
-        """The language and the share of it in the mixture of all languages."""
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, the share of it in the mixture of all languages, and whether the text is
+        long enough for a second language to exceed the penalty."""
         if not self.names or not text or not LETTER.search(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         bucket, n = trigrams(text)
-        if not len(bucket):
-            return UNKNOWN, 0.0
         likely, weight = self.table[bucket], n.astype(np.float32)
         overall = self.shares(likely, weight)
         order = np.argsort(-overall, kind="stable")
         chosen, share = order[:1], np.ones(1)
         best = weight @ np.log(likely[:, order[0]])
         needed = self.penalty * np.log(weight.sum() + 1)
+        # No mixture is likelier than the likeliest language of every trigram.
+        long_enough = weight @ np.log(likely.max(axis=1)) - best > needed
         for size in range(2, len(order) + 1):
             if overall[order[size - 1]] < MIN_SHARE:
                 break
@@ -139,17 +140,18 @@ class Mixture:
                 break
             chosen, share, best = order[:size], tried, reached
         name = chosen[int(np.argmax(share))]
-        return self.names[name], float(min(1.0, max(0.0, overall[name])))
+        return self.names[name], float(min(1.0, max(0.0, overall[name]))), bool(long_enough)
 
 
 def with_language(
     docs: DataFrame, training: DataFrame, text_col: str = "text", lang_col: str = "lang",
-    names: tuple[str, str] = ("lang_pred", "score"),
+    names: tuple[str, ...] = ("lang_pred", "score"),
 ) -> DataFrame:
     """``docs`` with the language and its share, learned from ``training`` alone.
 
     A text that is NULL, empty or without a letter is ``und`` with score 0, as is every text when
-    nothing was learned. Equal shares go to the first language by code point.
+    nothing was learned; any other text, however short, gets a language. Equal shares go to the first
+    language by code point. A third name adds whether a second language could be told in the text.
     """
     model = Mixture.fitted(training, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))
@@ -159,17 +161,19 @@ def with_language(
 
         def step(batch: pa.RecordBatch) -> dict:
             found = [judge(t.as_py()) for t in batch.column(text_col)]
-            return {names[0]: [f[0] for f in found], names[1]: [f[1] for f in found]}
+            return dict(zip(names, zip(*found) if found else [[]] * len(names)))
 
         return step
 
-    return map_rows(docs, work, f"{names[0]} string, {names[1]} double")
+    kinds = zip(names, ("string", "double", "boolean"))
+    return map_rows(docs, work, ", ".join(f"{name} {kind}" for name, kind in kinds))
 
 
 def identified(docs: DataFrame, training: DataFrame, text_col: str = "text", lang_col: str = "lang",
                min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is found with a share of at least ``min_score``."""
-    own = ("__lang", "__share")
+    """The rows of ``docs`` whose language is found with a share of at least ``min_score``; of texts
+    too short to tell a second language in, all that have a language."""
+    own = ("__lang", "__share", "__long")
     found = with_language(docs, training, text_col, lang_col, own)
-    known: Column = (F.col(own[0]) != UNKNOWN) & (F.col(own[1]) >= min_score)
+    known: Column = (F.col(own[0]) != UNKNOWN) & ((F.col(own[1]) >= min_score) | ~F.col(own[2]))
     return found.filter(known).drop(*own)

@@ -384,6 +384,23 @@ def test_languages_and_mixtures(spark, docs, none):
     assert language.with_language(none, training).count() == 0
 
 
+def test_short_texts_have_a_language(spark):
+    sounds = {"aa": "bdg", "bb": "ptk", "cc": "lrm"}
+    rng = np.random.default_rng(5)
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(list(sounds[lang] + "aeiou"), 6)) for _ in range(n))
+
+    training = spark.createDataFrame([(text(x, 200), x) for x in sounds for _ in range(10)], "text string, lang string")
+    asked = ["B.", "t", " 1 l 2", "x", " ".join(text(x, 100) for x in sounds), "1.", None]
+    df = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in language.with_language(df, training).collect()}
+    assert all(found[i].lang_pred in sounds and found[i].score > 0 for i in range(5))
+    assert [found[i].lang_pred for i in (5, 6)] == ["und"] * 2
+    assert found[3].score < language.MIN_SCORE and found[4].score < language.MIN_SCORE
+    assert {r.doc_id for r in language.identified(df, training).collect()} == {0, 1, 2, 3}
+
+
 # Decontamination
 
 
