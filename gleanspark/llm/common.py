@@ -28,6 +28,12 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], ddl).schema)
+
+
 def map_rows(
     df: DataFrame,
     work: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]],
@@ -57,3 +63,20 @@ def map_rows(
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in kept] + list(types))
 
     return df.mapInArrow(run, schema)
+
+
+# A key is hot with over one in so many rows, so there are fewer hot keys than that.
+HOT_KEYS = 1000
+
+
+def join_by_frequency(many: DataFrame, few: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key`` in which no key sends its rows of ``many`` to one task.
+
+    ``counts(key, n)`` has the rows of ``many`` per key. Hot keys meet their rows of ``few`` by
+    broadcast; a key has few rows there. The others meet by shuffle.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") > total / HOT_KEYS).select(key)
+    by_broadcast = many.join(F.broadcast(few.join(F.broadcast(hot), key, "left_semi")), key)
+    rest = many.join(F.broadcast(hot), key, "left_anti").join(few.join(F.broadcast(hot), key, "left_anti"), key)
+    return by_broadcast.unionByName(rest)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import decontaminate, language, lm, mixing, pii, quality, search, simhash, urls, warc
+from gleanspark.llm import (
+    conversations, decontaminate, language, lm, mixing, periodic, pii, quality, search, simhash, substrings, urls, warc,
+)
 from gleanspark.llm.common import share_of, table
 
 
@@ -60,9 +62,32 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.log_probabilities(docs, share_of(F.col("doc"), 10) == 0)
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substrings.deduplicated(docs)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repaired(rows).withColumnRenamed("conv", "conv_id")
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.with_runs(periodic.planted(docs)).withColumn("best", periodic.strongest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    listed = F.concat_ws("", F.transform("runs", line))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash, op2_quality, op3_search, op4_pii, op5_warc, op6_mixture, op7_urls, op8_language,
-        op9_decontamination, op10_lm,
+        op9_decontamination, op10_lm, op11_substrings, op12_conversations, op13_periodic,
     )
 }
