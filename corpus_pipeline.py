@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import decontaminate, language, mixing, near, pii
+from gleanspark.llm import decontaminate, language, mixing, pii, simhash
 from gleanspark.llm.common import share_of, table
 from gleanspark.storage import materialize
 
@@ -25,8 +25,12 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of texts linked by sharing 0.8 of their 5-word shingles."""
-    return near.deduplicated(docs)
+    """Keeps one document, that with the smallest id, of each group linked by SimHash.
+
+    Empty, blank and NULL texts are one group. Rows without an id come last in their group; of rows
+    that agree in id and text one stays.
+    """
+    return simhash.deduplicated(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
