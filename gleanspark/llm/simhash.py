@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import map_rows, utf8
+from gleanspark.llm.common import join_by_frequency, map_rows, utf8
 from gleanspark.storage import materialize
 
 BITS = 64
@@ -310,11 +310,14 @@ def one_per_root(
     to the texts.
     """
     rooted = materialize(rooted, "dedup-roots")
-    copies = rows.groupBy("doc", "fp").count()
-    met = materialize(copies.join(rooted, "fp"), "dedup-copies")
+    copies = materialize(rows.groupBy("doc", "fp").count(), "dedup-copies")
+    met = join_by_frequency(copies, rooted, copies.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fp")
+    met = materialize(met, "dedup-met")
     place = F.struct(F.col("doc").isNull(), "doc", "fp")
-    first = met.groupBy("root").agg(F.min(place).alias("first"))
-    judged = met.join(first, "root").withColumn("stays", F.col("first") == place)
+    first = met.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first, "dedup-first")
+    judged = join_by_frequency(met, first.drop("n"), first.select("root", "n"), "root")
+    judged = judged.withColumn("stays", F.col("first") == place)
     keys = F.col("doc").alias("__doc"), F.col("fp").alias("__print")
     same = printed[id_col].eqNullSafe(F.col("__doc")) & (F.col(own) == F.col("__print"))
     dropped = materialize(judged.filter("NOT stays").select(*keys), "dedup-dropped")

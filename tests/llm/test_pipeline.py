@@ -1,7 +1,6 @@
 """The pipeline over a small folder of tables."""
 
 import corpus_pipeline
-from gleanspark.llm import language, near, simhash
 from tests.llm.test_operators import DOCS, SCHEMA, prose
 
 
@@ -31,27 +30,3 @@ def test_stages_take_effect(spark, tmp_path):
     assert "me@x.org" not in marked.text and "<EMAIL>" in marked.text and marked.n_chars == len(marked.text)
     assert docs.filter("mix_times < 1").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
-
-
-def test_near_copies_go(spark):
-    """Shares of 5-word shingles from 0.8 up, most of them many bits apart by SimHash."""
-    words = prose(500, 300).split()
-    changed = lambda *places: " ".join("changed" if i in places else w for i, w in enumerate(words))
-    texts = [" ".join(words), changed(50), changed(50, 100), changed(*range(3, 33, 10)), changed(20, 90, 160, 230),
-             changed(*range(0, 300, 60)), changed(*range(0, 300, 4)), prose(501, 300), None, " ", "a b", "A  b", "a c",
-             " ".join(words[:250]), " ".join(words[:200])]
-    # A chain: each near its neighbours only.
-    texts += [" ".join(words[100 + 20 * k :] + prose(600, 20 * k).split()) for k in range(4)]
-    # A common passage is not a near copy.
-    texts += [" ".join(words[:60]) + " " + prose(700 + k, 200) for k in range(40)]
-    sets = [set(near.shingles((t or "").encode()).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
-    kept = corpus_pipeline.near_duplicates(spark, df.repartition(3), "")
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
-    assert {1, 2, 3, 4, 5} & {r.doc_id for r in kept.collect()} == set() and 6 in root
