@@ -89,7 +89,7 @@ def super_kmers(part: list[tuple[int, int, list[bytes]]], window: int, mgram: in
     least = minimisers(hashes, window, mgram)
     place = np.flatnonzero(piece[: len(least)] == piece[window - 1 :])
     new = np.ones(len(place), dtype=bool)
-    new[1:] = (least[place[1:]] != least[place[:-1]]) | (np.diff(place) != 1)
+    new[1:] = (least[place[1:]] != least[place[:-1]]) | (piece[place[1:]] != piece[place[:-1]])
     first = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     new |= (np.arange(len(place)) - first[run]) % MOST_WINDOWS == 0
