@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanspark.llm.mixing import MOST_REPEATS, SEED, TAG, WEIGHTS
+from gleanspark.llm.substrings import WINDOW
 
 TURN = f"list_extract([{', '.join(map(str, WEIGHTS))}], (place % {len(WEIGHTS)} + 1)::BIGINT)"
 
@@ -50,5 +51,90 @@ FROM along
 """
 
 
+BLANKLESS = r"[^\x20\x09-\x0D]+"
+
+# Every window as one string under its smallest id; a word goes if one starts at most 49 words before.
+SUBSTRINGS = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '{BLANKLESS}'), []) AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - {WINDOW} + 2)) AS place,
+    words FROM docs WHERE len(words) >= {WINDOW}),
+named AS (
+  SELECT doc_id, place, md5(array_to_string(words[place : place + {WINDOW} - 1], ' ')) AS seen FROM windows),
+firsts AS (SELECT seen, min(doc_id) AS first FROM named GROUP BY seen),
+hits AS (
+  SELECT n.doc_id, n.place FROM named n JOIN firsts f ON n.seen = f.seen AND f.first < n.doc_id),
+words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM docs),
+along AS (
+  SELECT w.doc_id, w.word, w.place, max(h.place) OVER (
+    PARTITION BY w.doc_id ORDER BY w.place ROWS BETWEEN {WINDOW} - 1 PRECEDING AND CURRENT ROW) AS hit
+  FROM words w LEFT JOIN hits h ON w.doc_id = h.doc_id AND w.place = h.place),
+kept AS (
+  SELECT doc_id, count(hit) AS n_removed,
+    string_agg(word, ' ' ORDER BY place) FILTER (hit IS NULL) AS kept
+  FROM along GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+# crc32 of the id as text, bit by bit.
+CRC = """
+xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    range(8 * length(doc_id::VARCHAR)),
+    lambda i: ((ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INTEGER, 1)) >> (i % 8)::INTEGER) & 1)::BIGINT)),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))::BIGINT
+"""
+
+# Five equal words at two places of a text lie on the diagonal of their lag; neighbours on it are one stretch.
+PERIODIC = rf"""
+WITH read AS (
+  SELECT doc_id, {CRC} AS h, coalesce(regexp_extract_all(text, '{BLANKLESS}'), []) AS words FROM documents),
+marked AS (
+  SELECT doc_id, words, len(words) AS n, h // 10 AS g, h % 10 = 0 AND len(words) > 0 AS plants FROM read),
+placed AS (
+  SELECT *, CASE WHEN plants THEN g % n END AS a,
+    CASE WHEN plants THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM marked),
+docs AS (
+  SELECT doc_id, n, CASE WHEN plants THEN list_transform(range(n), lambda i:
+    words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE words END AS words FROM placed),
+grams AS (
+  SELECT doc_id, place, array_to_string(words[place + 1 : place + 5], ' ') AS gram, n
+  FROM (SELECT doc_id, words, n, unnest(range(n - 4)) AS place FROM docs WHERE n >= 6)),
+pairs AS (
+  SELECT a.doc_id, a.place, b.place - a.place AS lag FROM grams a JOIN grams b
+    ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.place > a.place AND 4 * (b.place - a.place) <= a.n),
+stretches AS (
+  SELECT doc_id, min(place) AS start, count(*) + 4 + lag AS length, lag AS period
+  FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id, lag ORDER BY place) AS island FROM pairs)
+  GROUP BY doc_id, lag, island HAVING count(*) + 4 + lag >= greatest(6, 4 * lag)),
+runs AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (
+    SELECT 1 FROM stretches o WHERE o.doc_id = s.doc_id AND o.period < s.period
+      AND o.start <= s.start AND o.start + o.length >= s.start + s.length)),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY doc_id),
+best AS (
+  SELECT * FROM runs a WHERE NOT EXISTS (
+    SELECT 1 FROM runs b WHERE b.doc_id = a.doc_id AND (b.length * a.period > a.length * b.period
+      OR (b.length * a.period = a.length * b.period AND (b.start, b.period) < (a.start, a.period))))),
+words AS (SELECT doc_id, unnest(words) AS word, unnest(range(n)) AS place FROM docs),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS place FROM runs),
+kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.place) AS kept
+  FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.place = g.place GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length,
+  b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(l.listed, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id
+LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op6_mixture": MIXTURE}
+    return {"op6_mixture": MIXTURE, "op11_substrings": SUBSTRINGS, "op13_periodic": PERIODIC}
