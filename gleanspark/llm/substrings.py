@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,15 @@ WINDOW = 50
 MGRAM = 16
 # Windows of one packed string.
 MOST_WINDOWS = 64
-# Bits of the table of shared minimisers: 16 MB.
-TABLE_BITS = 27
+# Bits of the tables of shared and of frequent minimisers: 16 MB and 512 KB.
+SHARED_BITS = 27
+FREQUENT_BITS = 22
 # Bucket rows that one task sorts at most.
 BUCKET_ROWS = 2000
 # Words held at a time; longer texts are cut with an overlap of a window.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+# Packed strings whose windows are handed on at a time.
+STRINGS = 1 << 10
 
 FIRSTS = "digest binary, firsts array<struct<low: int, high: int, first: bigint>>"
 
@@ -101,24 +104,21 @@ def super_kmers(part: list[tuple[int, int, list[bytes]]], window: int, mgram: in
     return words, rows, numbers, at, count, least[at].view(np.int64)
 
 
-def slot(hashed: Column) -> Column:
-    return F.shiftrightunsigned(hashed, 64 - TABLE_BITS)
-
-
-def bit_table(hashes: DataFrame) -> np.ndarray:
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
     """The bits of all ``hash`` values; the driver holds the table and nothing else."""
-    chunks = hashes.groupBy(F.bitmap_bucket_number(slot(F.col("hash")) + 1).alias("chunk")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot(F.col("hash")) + 1)).alias("bits")
+    slot = F.shiftrightunsigned(F.col("hash"), 64 - bits) + 1
+    chunks = hashes.groupBy(F.bitmap_bucket_number(slot).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
     )
-    found = np.zeros((1 << TABLE_BITS) // 8, dtype=np.uint8)
-    for row in chunks.toLocalIterator():
+    found = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in chunks.collect():
         start = (row.chunk - 1) * len(row.bits)
         found[start : start + len(row.bits)] = np.frombuffer(row.bits, dtype=np.uint8)
     return found
 
 
 def is_set(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.view(np.uint64) >> np.uint64(64 - TABLE_BITS)
+    at = hashes.view(np.uint64) >> np.uint64(64 - (len(table).bit_length() + 2))
     return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -146,8 +146,10 @@ def counted_minimisers(rows: DataFrame, window: int, mgram: int) -> DataFrame:
 
 def packed(rows: DataFrame, shared: np.ndarray, frequent: np.ndarray, window: int, mgram: int) -> DataFrame:
     """The super-k-mers whose minimiser is shared, with their place in the text."""
+    tables = rows.sparkSession.sparkContext.broadcast((shared, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, frequent = tables.value
         for batch in batches:
             for part in pieces(utf8(batch.column("text")), window):
                 words, row, number, at, count, hashes = super_kmers(part, window, mgram)
@@ -236,12 +238,15 @@ def firsts_by_digest(strings: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, string in enumerate(batch.column("packed").to_pylist()):
-                inner = list(map(digest_of, windows_of(string, window)))
-                row = batch.slice(k, 1).select(["digest", "low", "high", "nameless"])
-                row = row.take(np.zeros(len(inner), dtype=np.int64))
-                arrays = [*row.columns, pa.array(range(len(inner)), pa.int32()), pa.array(inner, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, [*row.schema.names, "at", "window"])
+            for start in range(0, batch.num_rows, STRINGS):
+                part = batch.slice(start, STRINGS)
+                inner = [list(map(digest_of, windows_of(s, window))) for s in part.column("packed").to_pylist()]
+                sizes = [len(one) for one in inner]
+                held = part.select(["digest", "low", "high", "nameless"]).take(np.repeat(np.arange(len(sizes)), sizes))
+                at = pa.array(chain.from_iterable(map(range, sizes)), pa.int32())
+                windows = pa.array(chain.from_iterable(inner), pa.binary())
+                arrays = [*held.columns, at, windows]
+                yield pa.RecordBatch.from_arrays(arrays, [*held.schema.names, "at", "window"])
 
     schema = "digest binary, low bigint, high bigint, nameless bigint, at int, window binary"
     kept = strings.select("packed", "digest", "low", "high", "nameless")
@@ -267,7 +272,8 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     grams = materialize(
         counted_minimisers(rows, window, mgram).filter(of_two_documents()).select("hash", "n"), "substring-shared"
     )
-    shared, frequent = bit_table(grams), bit_table(grams.filter(F.col("n") > BUCKET_ROWS))
+    shared = bit_table(grams, SHARED_BITS)
+    frequent = bit_table(grams.filter(F.col("n") > BUCKET_ROWS), FREQUENT_BITS)
     found = materialize(packed(rows, shared, frequent, window, mgram), "substring-packed")
     strings = found.groupBy("hash", "frequent", "digest", "packed").agg(*holders(), F.count(F.lit(1)).alias("n"))
     strings = materialize(strings, "substring-strings")
