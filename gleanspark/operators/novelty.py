@@ -2,11 +2,12 @@
 
 Equal trusted vectors count once, under their smallest id. A trusted side small enough is sent
 to the executors as a matrix, and each Arrow batch of candidates is multiplied with it in place:
-no shuffle. A larger side is cut into blocks; the candidates are written once under a row key of
-their own, and every block of candidates meets every trusted block in a task that holds two
-blocks of ``block_bytes`` and a tile of similarities.
+no shuffle. For a larger side the candidates are written once under a row key of their own and visit
+cells of trusted vectors, of which most are left out (:mod:`gleanspark.operators.pivots`). With
+``index="blocks"`` every block of candidates meets every trusted block instead, for vectors
+without any structure. A task holds two blocks of ``block_bytes`` and a tile of similarities.
 
-Both ways give a row per candidate row, repeated and NULL ids included, and use one rule for
+All ways give a row per candidate row, repeated and NULL ids included, and use one rule for
 ties: of the trusted rows within ``TIE`` of the largest similarity, the smallest id.
 """
 
@@ -86,7 +87,11 @@ class TrustedSet:
         vector_col: str,
         broadcast_bytes: int = BROADCAST_BYTES,
         block_bytes: int = BLOCK_BYTES,
+        index: str = "pivots",
+        cells: int | None = None,
     ):
+        if index not in ("pivots", "blocks"):
+            raise ValueError(f"unknown index {index!r}; known are 'blocks' and 'pivots'")
         rows = trusted.select(
             F.col(id_col).cast("bigint").alias("real_id"),
             as_doubles(F.col(vector_col)).alias("real_vector"),
@@ -103,6 +108,12 @@ class TrustedSet:
             matrix = unit_rows(stack(table["real_vector"]))
             ids = table["real_id"].combine_chunks()
             self.shared = trusted.sparkSession.sparkContext.broadcast((ids, matrix))
+        self.pivots = None
+        if self.shared is None and index == "pivots":
+            # That module builds on the rules for ties of this one.
+            from gleanspark.operators.pivots import PivotIndex
+
+            self.pivots = PivotIndex(self.rows, self.count, self.dim, block_bytes, cells)
 
     def neighbour(self, vector: Column, with_id: bool) -> Column:
         """struct<similarity, real_id> of the nearest trusted row; needs the broadcast matrix.
@@ -137,7 +148,8 @@ class TrustedSet:
         else:
             own = candidates.withColumn("_row", F.monotonically_increasing_id())
             keyed = materialize(own, "candidates")
-            found = keyed.join(self._by_blocks(keyed, vector_col, with_id), "_row")
+            near = self.pivots.near if self.pivots else self._by_blocks
+            found = keyed.join(near(keyed, vector_col, with_id), "_row")
         added = [clip_unit(F.lit(1.0) - F.col("_near.similarity")).alias("novelty")]
         if with_id:
             added.append(F.col("_near.real_id").alias("nearest_id"))

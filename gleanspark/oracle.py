@@ -467,8 +467,10 @@ def statements() -> dict[str, str]:
         ),
         "novelty_score": NOVELTY,
         "novelty_by_blocks": NOVELTY,
+        "novelty_by_pivots": NOVELTY,
         "nearest_real": NEAREST,
         "nearest_real_by_blocks": NEAREST,
+        "nearest_real_by_pivots": NEAREST,
         "hashed_embedding": with_ctes(
             DOCS + BUCKETS,
             "SELECT id, " + ", ".join(

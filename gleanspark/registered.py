@@ -273,6 +273,12 @@ def novelty_score(spark, sf_dir):
 
 def novelty_by_blocks(spark, sf_dir):
     """The strategy for a trusted side too large to broadcast."""
+    found = novelty(*vector_parts(spark, sf_dir), "vec_id", "embedding", broadcast_bytes=0, index="blocks")
+    return found.select("vec_id", *rounded("novelty"))
+
+
+def novelty_by_pivots(spark, sf_dir):
+    """The same with most pairs left out."""
     found = novelty(*vector_parts(spark, sf_dir), "vec_id", "embedding", broadcast_bytes=0)
     return found.select("vec_id", *rounded("novelty"))
 
@@ -282,6 +288,10 @@ def nearest_real(spark, sf_dir):
 
 
 def nearest_real_by_blocks(spark, sf_dir):
+    return nearest_ids(spark, sf_dir, broadcast_bytes=0, index="blocks")
+
+
+def nearest_real_by_pivots(spark, sf_dir):
     return nearest_ids(spark, sf_dir, broadcast_bytes=0)
 
 
@@ -557,7 +567,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         load_labelled, union_sources, pool_lines, pool_reuse, template_pool, own_generator,
         seeded_sample, fixed_splits, split_sizes, band_splits, batch_assign,
-        l2_normalised, novelty_score, novelty_by_blocks, nearest_real, nearest_real_by_blocks,
+        l2_normalised, novelty_score, novelty_by_blocks, novelty_by_pivots,
+        nearest_real, nearest_real_by_blocks, nearest_real_by_pivots,
         hashed_embedding, own_embedding,
         tokenise_truncate, nb_model, nb_probabilities, nb_probabilities_shuffled,
         union_scored, predict_argmax, train_loss, lr_probabilities,
