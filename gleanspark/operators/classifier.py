@@ -37,6 +37,9 @@ class BayesModel:
     def num_classes(self) -> int:
         return len(self.doc_counts)
 
+    def predict(self, docs: DataFrame, id_col: str, carry: Sequence[str] = ()) -> DataFrame:
+        return predict(docs, self, id_col, carry)
+
     def priors(self) -> list[float]:
         """Smoothed log share of each class, defined for a class never seen too."""
         total = sum(self.doc_counts) + self.num_classes

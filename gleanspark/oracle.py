@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from gleanspark.config import MAX_TOKENS
 from gleanspark.registered import (
-    BATCH_ROWS, FLIPPED, LANGUAGES, LOG_ENDS, PLACES, ROUNDS, SAMPLE_ROWS, SEED, SHARES, SPLIT_SIZES,
-    TARGET_SHARE,
+    BATCH_ROWS, EPOCHS, FLIPPED, LANGUAGES, LOG_ENDS, LOOP_EPOCHS, PENALTY, PLACES, ROUNDS, SAMPLE_ROWS, SEED,
+    SHARES, SPLIT_SIZES, STEP, TARGET_SHARE,
 )
 from gleanspark.sources.templates import NEGATIVE_TEMPLATES, POSITIVE_TEMPLATES, WORDS
 
@@ -94,9 +94,6 @@ def model(counts: str, docs: str, name: str) -> Ctes:
 
 def predictions(name: str, docs: str, words: str, out: str) -> Ctes:
     """``id, prob_0 …, prediction`` for the rows of ``docs``."""
-    top = f"greatest({each('z_#')})"
-    best = f"greatest({each('round(z_#, 10)')})"
-    picked = " ".join(f"WHEN round(z_{c}, 10) = {best} THEN {c}" for c in CLASSES)
     return [
         (
             f"{out}_z",
@@ -104,13 +101,70 @@ def predictions(name: str, docs: str, words: str, out: str) -> Ctes:
             f"FROM {docs} d CROSS JOIN {name}_p LEFT JOIN {words} x ON x.id = d.id "
             f"LEFT JOIN {name}_w w ON w.token = x.token GROUP BY d.id",
         ),
-        (
-            out,
-            f"SELECT id, {each(f'exp(z_# - {top}) / e AS prob_#')}, "
-            f"CASE {picked} END::INTEGER AS prediction FROM (SELECT *, "
-            + each(f"exp(z_# - {top})", " + ")
-            + f" AS e FROM {out}_z)",
-        ),
+        shares(out),
+    ]
+
+
+def shares(out: str) -> tuple[str, str]:
+    """Probabilities and prediction from the scores ``z_0 …`` of a table."""
+    top = f"greatest({each('z_#')})"
+    best = f"greatest({each('round(z_#, 10)')})"
+    picked = " ".join(f"WHEN round(z_{c}, 10) = {best} THEN {c}" for c in CLASSES)
+    return (
+        out,
+        f"SELECT id, {each(f'exp(z_# - {top}) / e AS prob_#')}, "
+        f"CASE {picked} END::INTEGER AS prediction FROM (SELECT *, "
+        + each(f"exp(z_# - {top})", " + ")
+        + f" AS e FROM {out}_z)",
+    )
+
+
+# Logistic regression by plain gradient steps over word counts by bucket at length one and a constant.
+CONSTANT = 64
+FEATURES: Ctes = [
+    ("feats",
+     f"SELECT id, bucket, x FROM unit UNION ALL SELECT id, {CONSTANT}::INTEGER, 1.0::DOUBLE FROM docs"),
+]
+
+
+def regressed(name: str, rows: str, epochs: int) -> Ctes:
+    """Weights ``{name}_w`` and the losses ``{name}_loss`` after ``epochs`` steps on ``rows(id, label)``."""
+    ctes: Ctes = [
+        (f"{name}_x", f"SELECT f.id, bucket, x, label FROM feats f JOIN ({rows}) USING (id)"),
+        (f"{name}_n", f"SELECT count(DISTINCT id) AS n FROM {name}_x"),
+        (f"{name}_w0",
+         f"SELECT class::INTEGER AS class, bucket::INTEGER AS bucket, 0::DOUBLE AS w "
+         f"FROM range({len(LANGUAGES)}) c(class), range({CONSTANT + 1}) b(bucket)"),
+    ]
+    for k in range(epochs + 1):
+        ctes += [
+            (f"{name}_z{k}",
+             f"SELECT id, label, class, sum(x * w) AS z FROM {name}_x JOIN {name}_w{k} USING (bucket) GROUP BY ALL"),
+            (f"{name}_p{k}",
+             "SELECT id, label, class, e / sum(e) OVER (PARTITION BY id) AS p FROM (SELECT *, "
+             f"exp(z - max(z) OVER (PARTITION BY id)) AS e FROM {name}_z{k})"),
+        ]
+        if k < epochs:
+            ctes.append((
+                f"{name}_w{k + 1}",
+                f"SELECT class, bucket, w - {STEP}::DOUBLE * (coalesce(g, 0) + CASE WHEN bucket < {CONSTANT} "
+                f"THEN {PENALTY}::DOUBLE * w ELSE 0 END) AS w FROM {name}_w{k} LEFT JOIN (SELECT class, bucket, "
+                f"sum((p - (class = p.label)::INTEGER) * x) / (SELECT n FROM {name}_n) AS g "
+                f"FROM {name}_p{k} p JOIN {name}_x USING (id) GROUP BY ALL) USING (class, bucket)",
+            ))
+    losses = " UNION ALL ".join(
+        f"SELECT {k}::INTEGER AS epoch, avg(-ln(p)) AS loss FROM {name}_p{k} WHERE class = label" for k in range(epochs + 1)
+    )
+    return ctes + [(f"{name}_w", f"SELECT * FROM {name}_w{epochs}"), (f"{name}_loss", losses)]
+
+
+def linear_predictions(name: str, docs: str, out: str) -> Ctes:
+    """As :func:`predictions`, from regression weights."""
+    scores = each("sum(x * w) FILTER (class = #) AS z_#")
+    return [
+        (f"{out}_z",
+         f"SELECT id, {scores} FROM {docs} d JOIN feats USING (id) JOIN {name}_w USING (bucket) GROUP BY id"),
+        shares(out),
     ]
 
 
@@ -312,8 +366,9 @@ REPLAYED = "cand_id, t, batch_no, action, round(reject_score, 6) AS reject_score
 # The closed loop, one set of steps per round.
 
 
-def loop() -> Ctes:
-    ctes = list(DOCS) + POOL + TEXT_NOVELTY + [
+def loop(docs: Ctes = DOCS, novelty: Ctes = TEXT_NOVELTY, linear: bool = False) -> Ctes:
+    """The tables of a run; ``linear`` for logistic regression in place of naive Bayes."""
+    ctes = list(docs) + POOL + novelty + FEATURES * linear + [
         ("pool_size", "SELECT count(*) AS n FROM pool_docs"),
         ("target", f"SELECT floor(n * {TARGET_SHARE}::DOUBLE)::BIGINT AS target FROM pool_size"),
         ("timed", clock("pool_docs", "id", "pool", f"(SELECT greatest(1, ceil(n / {ROUNDS}.0)) FROM pool_size)")),
@@ -324,15 +379,25 @@ def loop() -> Ctes:
         ("test_docs", "SELECT * FROM docs WHERE split = 'test'"),
     ]
 
+    def predicted(k: str, rows: str, out: str) -> Ctes:
+        return linear_predictions(f"m_{k}", rows, out) if linear else predictions(f"m_{k}", rows, "words", out)
+
+    def fitted(k: int) -> Ctes:
+        if not linear:
+            return model(f"counts_{k}", f"docs_{k}", f"m_{k}")
+        rows = "SELECT id, label FROM docs WHERE split = 'train'"
+        rows += "".join(f" UNION ALL SELECT id, claimed FROM new_docs_{j}" for j in range(1, k + 1))
+        return regressed(f"m_{k}", rows, LOOP_EPOCHS)
+
     def evaluated(k: str, split: str) -> Ctes:
         name = f"{split}_{k}"
         return [
-            *predictions(f"m_{k}", f"{split}_docs", "words", name),
+            *predicted(k, f"{split}_docs", name),
             (f"{name}_pairs", f"SELECT split, label, prediction FROM {name} JOIN docs USING (id)"),
             (f"{name}_f1", macro(f"{name}_pairs")),
         ]
 
-    ctes += model("counts_0", "docs_0", "m_0") + evaluated("0", "val")
+    ctes += fitted(0) + evaluated("0", "val")
     ctes.append((
         "round_0",
         "SELECT 0 AS iteration, 0::BIGINT AS n_batch, 0::BIGINT AS n_accepted, 0::BIGINT AS curated_total, "
@@ -345,7 +410,7 @@ def loop() -> Ctes:
              f"SELECT * FROM timed WHERE batch_no = {k} AND "
              f"(SELECT curated_total FROM round_{k - 1}) < (SELECT target FROM target)"),
             (f"state_{k}", f"SELECT {arm_state(0, '')}, {arm_state(1, '')} FROM ({log}) WHERE iteration > 0"),
-            *predictions(f"m_{k - 1}", f"batch_{k}", "words", f"pred_{k}"),
+            *predicted(str(k - 1), f"batch_{k}", f"pred_{k}"),
             *signals(f"pred_{k}", f"batch_{k}", f"scored_{k}"),
             (f"decided_{k}",
              f"SELECT *, {UCB_ACTION} FROM (SELECT s.*, t, {UCB[0]} AS reject_score, "
@@ -362,7 +427,7 @@ def loop() -> Ctes:
             (f"docs_{k}",
              f"SELECT {each('sum(n_#)::BIGINT AS n_#')} FROM (SELECT * FROM docs_{k - 1} UNION ALL "
              f"{doc_counted('claimed', f'new_docs_{k}')})"),
-            *model(f"counts_{k}", f"docs_{k}", f"m_{k}"),
+            *fitted(k),
             *evaluated(str(k), "val"),
             (f"round_{k}",
              f"SELECT {k} AS iteration, count(*)::BIGINT AS n_batch, count(*) FILTER (action = 1)::BIGINT AS n_accepted, "
@@ -374,6 +439,10 @@ def loop() -> Ctes:
     every = lambda form: " UNION ALL ".join(form.replace("#", str(k)) for k in range(1, ROUNDS + 1))
     ctes += [
         ("rounds", "SELECT * FROM round_0 UNION ALL " + every("SELECT * FROM round_#")),
+    ]
+    if linear:
+        return ctes
+    ctes += [
         ("decisions",
          every("SELECT #::INTEGER AS iteration, d.*, kept FROM decided_# d JOIN kept_# USING (cand_id)")),
         # A round that was not played leaves counts and model as they were.
@@ -403,11 +472,27 @@ def loop() -> Ctes:
 
 
 LOOP = loop()
-ROUND_TABLE = with_ctes(
-    LOOP,
+ROUND_COLUMNS = (
     "SELECT iteration, n_batch, n_accepted, curated_total, arm, "
-    "round(val_f1, 6) AS val_f1, round(reward, 6) AS reward FROM rounds",
+    "round(val_f1, 6) AS val_f1, round(reward, 6) AS reward FROM rounds"
 )
+ROUND_TABLE = with_ctes(LOOP, ROUND_COLUMNS)
+
+# The documents with a vector of their own, and novelty by these vectors.
+OWN_DOCS: Ctes = [
+    (name, f"SELECT * FROM ({sql}) JOIN (SELECT vec_id AS id FROM embeddings) USING (id)" if name == "docs" else sql)
+    for name, sql in DOCS
+]
+OWN_NOVELTY: Ctes = [
+    ("own",
+     "SELECT id, split, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS v FROM docs "
+     "JOIN (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) USING (id)"),
+    ("novelties",
+     "SELECT a.id, greatest(0, least(1, 1 - max(list_inner_product(a.v, b.v))))::DOUBLE AS novelty "
+     "FROM own a, own b WHERE a.split = 'pool' AND b.split = 'train' GROUP BY a.id"),
+]
+REGRESSION: Ctes = DOCS + TEXT_NOVELTY[:3] + FEATURES + regressed(
+    "lr", "SELECT id, label FROM docs WHERE split = 'train'", EPOCHS)
 OF = lambda regime, column: f"(SELECT {column} FROM regimes WHERE regime = '{regime}')"
 
 
@@ -540,6 +625,11 @@ def statements() -> dict[str, str]:
             "SELECT cand_id, t, batch_no, place FROM (SELECT *, row_number() OVER (ORDER BY t) AS place "
             f"FROM thompson WHERE action = 1) WHERE place <= (SELECT floor(n * {TARGET_SHARE}::DOUBLE) FROM pool_size)"),
         "closed_loop": ROUND_TABLE,
+        "closed_loop_regression": with_ctes(loop(linear=True), ROUND_COLUMNS),
+        "closed_loop_vectors": with_ctes(loop(OWN_DOCS, OWN_NOVELTY), ROUND_COLUMNS),
+        "lr_model": with_ctes(
+            REGRESSION, "SELECT class, bucket, round(w, 6) AS weight FROM lr_w"),
+        "loss_history": with_ctes(REGRESSION, f"SELECT epoch, {rounded('loss')} FROM lr_loss"),
         "stream_loop": ROUND_TABLE,
         "decision_log": with_ctes(
             LOOP,

@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.config import SelectionConfig
-from gleanspark.operators import classifier
+from gleanspark.functions.vectors import as_doubles
+from gleanspark.operators.learner import Learner, Model, NaiveBayes
 from gleanspark.operators.metrics import accepted_counts
 from gleanspark.operators.ordering import first_in_order, in_batches
 from gleanspark.operators.policy import Policy, make_policy, state_literals
 from gleanspark.operators.rewards import state_wide
 from gleanspark.plans.regimes import compare_regimes, validation_f1
 from gleanspark.plans.scoring import trusted_set, with_novelty, with_signals, with_tokens
-from gleanspark.sources.labelled import unique
+from gleanspark.sources.labelled import union_all, unique
 from gleanspark.storage import fresh_path, is_complete, write_table, written_once
 
+VECTOR = "vector array<double>"
 REAL_SCHEMA = "id bigint, label int, split string, tokens array<string>"
 STAGED_SCHEMA = (
     "cand_id bigint, text string, label int, t bigint, tokens array<string>, novelty double, "
@@ -42,7 +44,12 @@ def policy_of(config: SelectionConfig) -> Policy:
 
 
 class SelectionRun:
-    """One run over ``real(id, text, label, split)``, kept under ``folder``."""
+    """One run over ``real(id, text, label, split)``, kept under ``folder``.
+
+    Where ``real`` has a column ``vector``, novelty is measured on it and the pool has to bring one
+    too, as from :func:`gleanspark.operators.embedding.embed_with`; it is written with the table,
+    so an embedding model sees each text once.
+    """
 
     def __init__(
         self,
@@ -51,21 +58,25 @@ class SelectionRun:
         config: SelectionConfig,
         folder: str | None = None,
         policy: Policy | None = None,
+        learner: Learner | None = None,
     ):
         self.spark, self.config = spark, config
+        self.learner = learner or NaiveBayes()
+        self.own_vectors = "vector" in real.columns
+        brought = ["vector"] if self.own_vectors else []
         self.policy = policy or policy_of(config)
         self._held = None
         self.folder = (folder or fresh_path(spark, "run")).rstrip("/")
         self.real = written_once(
             spark,
             f"{self.folder}/real",
-            REAL_SCHEMA,
+            REAL_SCHEMA + (f", {VECTOR}" if self.own_vectors else ""),
             lambda: with_tokens(unique(real, "id"), config).select(
-                "id", "label", "split", "tokens"
+                "id", "label", "split", "tokens", *[as_doubles(F.col(c)).alias(c) for c in brought]
             ),
         )
         self.train = self.real.filter("split = 'train'")
-        self.trusted = trusted_set(self.train.select("id", "tokens"), config)
+        self.trusted = trusted_set(self.train.select("id", "tokens", *brought), config)
         if not self._played(0):
             self._first_fit()
 
@@ -112,6 +123,12 @@ class SelectionRun:
         texts = self.pool.select("cand_id", "batch_no", "text", "label")
         return kept.join(texts, ["cand_id", "batch_no"]).withColumnRenamed("batch_no", "iteration")
 
+    def _accepted_before(self, iteration: int) -> DataFrame:
+        """``label, tokens`` of the rows kept in earlier rounds."""
+        kept = self.decisions.filter(F.col("kept") & (F.col("iteration") < iteration))
+        kept = kept.selectExpr("cand_id", "iteration AS batch_no")
+        return self.pool.join(kept, ["cand_id", "batch_no"]).select("label", "tokens")
+
     # Single numbers.
 
     def _played(self, iteration: int) -> bool:
@@ -123,16 +140,13 @@ class SelectionRun:
     def _last_round(self) -> int:
         return self.rounds.agg(F.max("iteration")).first()[0]
 
-    def _model(self, model_round: int) -> classifier.BayesModel:
+    def _model(self, model_round: int) -> Model:
         if self._held is None or self._held[0] != model_round:
-            counts = self.spark.read.parquet(self._path("models", model_round))
-            self._held = model_round, classifier.model_of(counts)
+            self._held = model_round, self.learner.load(self.spark, self._path("models", model_round))
         return self._held[1]
 
-    def _write_model(self, model_round: int, counts: DataFrame) -> classifier.BayesModel:
-        model = classifier.model_of(write_table(counts, self._path("models", model_round)))
-        self._held = model_round, model
-        return model
+    def _training(self, *more: DataFrame) -> DataFrame:
+        return union_all(*[rows.select("label", "tokens") for rows in (self.train, *more)])
 
     def _log(self, iteration: int, **values) -> dict:
         row = {
@@ -149,16 +163,22 @@ class SelectionRun:
     # Steps.
 
     def _first_fit(self) -> None:
-        counts = classifier.word_counts(self.train, self.config.num_classes)
-        model = self._write_model(0, counts)
+        model = self.learner.fit(self._training(), self.config.num_classes, self._path("models", 0))
+        self._held = 0, model
         self._log(0, val_f1=validation_f1(self.real, model))
 
+    def candidates(self, pool: DataFrame) -> DataFrame:
+        """``cand_id, text, label`` of a pool, and its vectors where the trusted rows have some."""
+        if self.own_vectors != ("vector" in pool.columns):
+            raise ValueError("trusted rows and candidates need vectors of their own, or neither")
+        return pool.select("cand_id", "text", "label", *["vector"] * self.own_vectors)
+
     def stage(self, pool: DataFrame) -> DataFrame:
         """Order ``pool(cand_id, text, label)`` and score its novelty, once for all rounds."""
 
         def build() -> DataFrame:
             ordered = in_batches(
-                unique(pool.select("cand_id", "text", "label"), "cand_id"),
+                unique(self.candidates(pool), "cand_id"),
                 "cand_id",
                 self.config.batch_size,
                 self.config.seed,
@@ -206,8 +226,10 @@ class SelectionRun:
             values |= {"val_f1": last["val_f1"], "model_round": last["model_round"]}
         else:
             kept = batch.join(accepted.select("cand_id"), "cand_id", "left_semi")
-            added = classifier.word_counts(kept, self.config.num_classes)
-            model = self._write_model(iteration, classifier.add_counts(model.counts, added))
+            whole = lambda: self._training(self._accepted_before(iteration), kept)
+            added = kept.select("label", "tokens")
+            model = self.learner.grow(model, added, whole, self._path("models", iteration))
+            self._held = iteration, model
             values["val_f1"] = validation_f1(self.real, model)
         return self._log(iteration, reward=values["val_f1"] - last["val_f1"], **values)
 
@@ -230,14 +252,13 @@ class SelectionRun:
         """``regime, val_f1, test_f1``: trusted rows only, with the whole pool, with the curated."""
         curated = self._model(self._round(self._last_round())["model_round"])
         first = self._model(0)
-        whole = classifier.add_counts(
-            first.counts, classifier.word_counts(self.pool, self.config.num_classes)
-        )
         # A pool only grows, by what a stream adds, and an earlier result may still read its model.
         path = f"{self.folder}/naive_model/rows={self.pool.count()}"
-        if not is_complete(self.spark, path):
-            write_table(whole, path)
-        naive = classifier.model_of(self.spark.read.schema(whole.schema).parquet(path))
+        if is_complete(self.spark, path):
+            naive = self.learner.load(self.spark, path)
+        else:
+            added = self.pool.select("label", "tokens")
+            naive = self.learner.grow(first, added, lambda: self._training(self.pool), path)
         return compare_regimes(
             self.real,
             {"real_only": first, "naive_augmentation": naive, "bandit_guided": curated},

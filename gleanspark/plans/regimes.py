@@ -7,13 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.operators.classifier import BayesModel, fit, predict
+from gleanspark.operators.classifier import BayesModel, fit
+from gleanspark.operators.learner import Model
 from gleanspark.operators.metrics import macro_f1
 from gleanspark.sources.labelled import union_all
 
-def validation_f1(real: DataFrame, model: BayesModel) -> float:
+
+def validation_f1(real: DataFrame, model: Model) -> float:
     """Macro F1 on the validation rows of ``real(id, label, tokens, split)``; 0 without rows."""
-    predicted = predict(real.filter("split = 'val'"), model, "id", ("label",))
+    predicted = model.predict(real.filter("split = 'val'"), "id", ("label",))
     found = macro_f1(predicted, (), model.num_classes).first()
     return 0.0 if found["macro_f1"] is None else found["macro_f1"]
 
@@ -25,11 +27,11 @@ def fit_with(real: DataFrame, num_classes: int, extra: DataFrame | None = None)
     return fit(union_all(train, more), num_classes)
 
 
-def compare_regimes(real: DataFrame, models: Mapping[str, BayesModel]) -> DataFrame:
+def compare_regimes(real: DataFrame, models: Mapping[str, Model]) -> DataFrame:
     """``regime, val_f1, test_f1``: each model on the held-out rows, all in one plan."""
     held_out = real.filter("split IN ('val', 'test')")
     predicted = [
-        predict(held_out, model, "id", ("label", "split")).withColumn("regime", F.lit(name))
+        model.predict(held_out, "id", ("label", "split")).withColumn("regime", F.lit(name))
         for name, model in models.items()
     ]
     num_classes = next(iter(models.values())).num_classes

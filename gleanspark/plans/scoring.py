@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from gleanspark.config import SelectionConfig
 from gleanspark.functions import signals
 from gleanspark.functions.text import tokens
-from gleanspark.operators.classifier import BayesModel, predict
 from gleanspark.operators.embedding import hashed_vector
+from gleanspark.operators.learner import Model
 from gleanspark.operators.novelty import TrustedSet
 
 
@@ -18,11 +18,14 @@ def with_tokens(texts: DataFrame, config: SelectionConfig) -> DataFrame:
 
 
 def with_vectors(tokenised: DataFrame, config: SelectionConfig) -> DataFrame:
+    """Add hashed word counts as ``vector``; a table that brings vectors of its own keeps them."""
+    if "vector" in tokenised.columns:
+        return tokenised
     return tokenised.withColumn("vector", hashed_vector(F.col("tokens"), config.embedding_dim))
 
 
 def trusted_set(tokenised: DataFrame, config: SelectionConfig, **options) -> TrustedSet:
-    """The trusted rows ``(id, tokens)`` candidates are compared with."""
+    """The trusted rows ``(id, tokens[, vector])`` candidates are compared with."""
     return TrustedSet(with_vectors(tokenised, config), "id", "vector", **options)
 
 
@@ -34,9 +37,9 @@ def with_novelty(
     return scored.drop("vector")
 
 
-def with_signals(candidates: DataFrame, model: BayesModel, carry: tuple[str, ...] = ()) -> DataFrame:
+def with_signals(candidates: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """Signals and context weight of ``candidates(cand_id, label, novelty, tokens)``."""
-    predicted = predict(candidates, model, "cand_id", ("label", "novelty", *carry))
+    predicted = model.predict(candidates, "cand_id", ("label", "novelty", *carry))
     return predicted.select(
         "*",
         signals.uncertainty().alias("uncertainty"),
@@ -48,7 +51,7 @@ def with_signals(candidates: DataFrame, model: BayesModel, carry: tuple[str, ...
 
 def score_candidates(
     candidates: DataFrame,
-    model: BayesModel,
+    model: Model,
     trusted: TrustedSet,
     config: SelectionConfig,
     carry: tuple[str, ...] = (),

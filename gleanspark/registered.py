@@ -19,6 +19,7 @@ from gleanspark.operators.embedding import embed_with
 from gleanspark.operators.logistic import fit_logistic, predict_logistic
 from gleanspark.operators.novelty import novelty
 from gleanspark.operators.policy import Policy, make_policy
+from gleanspark.operators.regression import LogisticRegression
 from gleanspark.plans import report
 from gleanspark.plans.loop import SelectionRun
 from gleanspark.plans.regimes import compare_regimes, fit_with
@@ -43,6 +44,8 @@ SPLIT_SIZES = {"train": 500, "val": 200, "test": 200}
 BATCH_ROWS = 50
 LOG_ENDS = 15
 PLACES = 6
+# Plain gradient steps, which SQL can follow; a round of the loop takes fewer.
+EPOCHS, LOOP_EPOCHS, STEP, PENALTY = 5, 3, 2.0, 0.01
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +77,8 @@ def candidate_part(task: DataFrame) -> DataFrame:
     """``cand_id, text, label``: the claimed label, wrong for a share of the rows."""
     flip = uniform(SEED, "flip", F.col("id")) < FLIPPED
     claimed = F.when(flip, (F.col("label") + 1) % len(LANGUAGES)).otherwise(F.col("label"))
-    return task.filter("split = 'pool'").select(F.col("id").alias("cand_id"), "text", claimed.alias("label"))
+    own = [c for c in task.columns if c == "vector"]
+    return task.filter("split = 'pool'").select(F.col("id").alias("cand_id"), "text", claimed.alias("label"), *own)
 
 
 def settings(pool_rows: int | None = None) -> SelectionConfig:
@@ -175,10 +179,13 @@ def replay_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cand_id", "t", "batch_no", "weight")
 
 
-def selection(spark: SparkSession, sf_dir: str) -> SelectionRun:
-    task = language_task(spark, sf_dir)
+def selection(spark: SparkSession, sf_dir: str, **parts) -> SelectionRun:
+    return selection_of(spark, language_task(spark, sf_dir), **parts)
+
+
+def selection_of(spark: SparkSession, task: DataFrame, **parts) -> SelectionRun:
     pool = candidate_part(task)
-    return SelectionRun(spark, trusted_part(task), settings(pool.count())).run(pool)
+    return SelectionRun(spark, trusted_part(task), settings(pool.count()), **parts).run(pool)
 
 
 def selection_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +376,21 @@ def train_loss(spark, sf_dir):
     return train.agg(F.round(mean_loss(train), PLACES).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
+def regression(epochs: int) -> LogisticRegression:
+    return LogisticRegression(settings().embedding_dim, epochs, "gradient", STEP, PENALTY)
+
+
+def lr_model(spark, sf_dir):
+    """Weights after a few plain gradient steps of the learner of our own."""
+    model = regression(EPOCHS).trained(tokenised(spark, sf_dir).filter("split = 'train'"), len(LANGUAGES))
+    return model.by_bucket(spark).select("class", "bucket", *rounded("weight"))
+
+
+def loss_history(spark, sf_dir):
+    model = regression(EPOCHS).trained(tokenised(spark, sf_dir).filter("split = 'train'"), len(LANGUAGES))
+    return model.loss_history(spark).select("epoch", *rounded("loss"))
+
+
 def lr_probabilities(spark, sf_dir):
     rows = tokenised(spark, sf_dir)
     model = fit_logistic(rows.filter("split = 'train'"))
@@ -508,6 +530,21 @@ def closed_loop(spark, sf_dir):
     )
 
 
+def closed_loop_regression(spark, sf_dir):
+    """The loop with logistic regression in place of naive Bayes."""
+    return selection(spark, sf_dir, learner=regression(LOOP_EPOCHS)).rounds.select(
+        "iteration", "n_batch", "n_accepted", "curated_total", "arm", *rounded("val_f1", "reward")
+    )
+
+
+def closed_loop_vectors(spark, sf_dir):
+    """The loop over the documents that have a vector of their own."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return selection_of(spark, language_task(spark, sf_dir).join(vectors, "id")).rounds.select(
+        "iteration", "n_batch", "n_accepted", "curated_total", "arm", *rounded("val_f1", "reward")
+    )
+
+
 def decision_log(spark, sf_dir):
     return selection(spark, sf_dir).decisions.select(
         "iteration", "cand_id", "t", "action", "kept", *rounded("uncertainty", "novelty", "verifier")
@@ -571,12 +608,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         nearest_real, nearest_real_by_blocks, nearest_real_by_pivots,
         hashed_embedding, own_embedding,
         tokenise_truncate, nb_model, nb_probabilities, nb_probabilities_shuffled,
-        union_scored, predict_argmax, train_loss, lr_probabilities,
+        union_scored, predict_argmax, train_loss, lr_model, loss_history, lr_probabilities,
         uncertainty, verifier_confidence, score_candidates,
         confusion, class_f1, macro_f1, regime_baselines,
         reward_delta, policy_state, beta_state, policy_state_running,
         ucb_replay, thompson_replay, replay_open_batch, own_policy, round_arms, accept_capped,
-        closed_loop, decision_log, curated_rows, regime_comparison, regime_curve,
+        closed_loop, closed_loop_regression, closed_loop_vectors, decision_log, curated_rows, regime_comparison, regime_curve,
         regime_summary, result_document, stream_loop,
     )
 }

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.operators.ordering import shuffled
-from gleanspark.plans.loop import SelectionRun
+from gleanspark.plans.loop import VECTOR, SelectionRun
 from gleanspark.plans.scoring import with_novelty, with_tokens
 from gleanspark.sources.pools import POOL_SCHEMA
 from gleanspark.storage import is_complete, write_table
 
 
-def arriving_pool(spark: SparkSession, path: str, files_per_round: int = 1) -> DataFrame:
-    """Candidates from the Parquet files landing in ``path``."""
-    reader = spark.readStream.schema(POOL_SCHEMA).option("maxFilesPerTrigger", files_per_round)
+def arriving_pool(
+    spark: SparkSession, path: str, files_per_round: int = 1, own_vectors: bool = False
+) -> DataFrame:
+    """Candidates from the Parquet files landing in ``path``, with vectors of their own or without."""
+    reader = spark.readStream.schema(POOL_SCHEMA + (f", {VECTOR}" if own_vectors else "")).option("maxFilesPerTrigger", files_per_round)
     return reader.parquet(path)
 
 
@@ -38,7 +40,7 @@ def play_arrivals(run: SelectionRun, batch: DataFrame, batch_id: int) -> None:
     if run._played(iteration):
         return
     offset = run.pool.filter(F.col("batch_no") < iteration).count() if _staged(run, 1) else 0
-    placed = shuffled(batch, "cand_id", run.config.seed, "pool", "_place")
+    placed = shuffled(run.candidates(batch), "cand_id", run.config.seed, "pool", "_place")
     timed = placed.withColumn("t", F.col("_place") + offset).drop("_place")
     write_table(
         with_novelty(with_tokens(timed, run.config), run.trusted, run.config),
