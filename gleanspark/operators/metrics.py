@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,10 +63,17 @@ def macro_f1(
     return counted.select(*by, F.expr(f"try_divide({total}, {seen}) AS macro_f1"))
 
 
-def accepted_counts(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def accepted_counts(decisions: DataFrame, by: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
     """Rows, accepted rows, and the arm a round stands for: 1 once anything was accepted."""
     return decisions.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_batch"),
         F.count_if(F.col("action") == 1).alias("n_accepted"),
         F.coalesce(F.max("action"), F.lit(0)).alias("arm"),
+        *more,
     )
+
+
+def arm_context(columns: Sequence[str]) -> Column:
+    """Aggregate: the mean of ``columns`` over the rows that took the arm a round stands for."""
+    mean = lambda c: F.coalesce(F.avg(F.when(F.col("action") == 1, F.col(c))), F.avg(c))
+    return F.array(*[mean(c) for c in columns])

@@ -6,7 +6,7 @@ may hold the logs of many runs, told apart by key columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +41,22 @@ def all_tallies() -> dict[str, Column]:
     return {name: expr for arm in ARMS for name, expr in _tallies(arm).items()}
 
 
+def arm_states() -> list[Column]:
+    return [c for a in ARMS for c in arm_state(a)]
+
+
+def folded(
+    log: DataFrame, tallies: Mapping[str, Column], finish: Sequence[Column], keys: Sequence[str] = ()
+) -> DataFrame:
+    """``finish`` of the sums of ``tallies`` over the whole log: one row per run, also for an empty
+    log without keys."""
+    sums = [F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in tallies.items()]
+    return log.groupBy(*keys).agg(*sums).select(*keys, *finish)
+
+
 def state_wide(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """State after the whole log: one row per run, also for an empty log without keys."""
-    sums = [F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in all_tallies().items()]
-    return log.groupBy(*keys).agg(*sums).select(*keys, *[c for a in ARMS for c in arm_state(a)])
+    """State of the built-in policies after the whole log."""
+    return folded(log, all_tallies(), arm_states(), keys)
 
 
 def state_by_arm(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

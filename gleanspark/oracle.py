@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from gleanspark.config import MAX_TOKENS
+from gleanspark.operators.policy import SUMMED_SHAPE, TRIES
 from gleanspark.registered import (
-    BATCH_ROWS, EPOCHS, FLIPPED, LANGUAGES, LOG_ENDS, LOOP_EPOCHS, PENALTY, PLACES, ROUNDS, SAMPLE_ROWS, SEED,
+    BATCH_ROWS, EPOCHS, FLIPPED, LANGUAGES, LOOP_EPOCHS, PENALTY, PLACES, ROUNDS, SAMPLE_ROWS, SEED,
     SHARES, SPLIT_SIZES, STEP, TARGET_SHARE,
 )
 from gleanspark.sources.templates import NEGATIVE_TEMPLATES, POSITIVE_TEMPLATES, WORDS
@@ -330,13 +331,13 @@ REPLAY: Ctes = SCORED + STATES + [
     (
         "timed",
         clock("(SELECT cand_id, weight FROM scored)", "cand_id", "pool",
-              "(SELECT greatest(1, ceil(n / 30.0)) FROM pool_size)"),
+              "(SELECT greatest(1, ceil(n / (SELECT max(iteration) FROM days)::DOUBLE)) FROM pool_size)"),
     ),
     ("play", "SELECT * FROM timed JOIN states USING (batch_no)"),
     (
         "open_states",
         f"SELECT batch_no, {arm_state(0, '')}, {arm_state(1, '')} FROM (SELECT DISTINCT batch_no FROM timed) "
-        f"LEFT JOIN days ON iteration < batch_no AND iteration <= {LOG_ENDS} GROUP BY batch_no",
+        "LEFT JOIN days ON iteration < batch_no AND iteration <= (SELECT max(iteration) // 2 FROM days) GROUP BY batch_no",
     ),
     (
         "open_ucb",
@@ -360,6 +361,96 @@ REPLAY: Ctes = SCORED + STATES + [
         "g_alpha_1 / (g_alpha_1 + g_beta_1) * (1 + weight) AS accept_score FROM betas)",
     ),
 ]
+# Linear regression per arm on three context values; the ridge is 1.
+ARMS_PAIRS = [(i, j) for i in range(3) for j in range(3)]
+
+
+def linear_state(arm: int) -> str:
+    """Columns of the inverse by cofactors, row by row, and of the weights."""
+    m = lambda i, j: f"(s{arm}_{min(i, j)}{max(i, j)} + {int(i == j)})"
+    minor = lambda i, j: "({} * {} - {} * {})".format(*[
+        m((i + a) % 3, (j + b) % 3) for a, b in ((1, 1), (2, 2), (1, 2), (2, 1))])
+    det = " + ".join(f"{m(0, j)} * {minor(0, j)}" for j in range(3))
+    return ", ".join(f"{minor(j, i)} / ({det}) AS i{arm}_{i}{j}" for i, j in ARMS_PAIRS)
+
+
+def linear_score(arm: int) -> str:
+    x = ("uncertainty", "novelty", "verifier")
+    mean = " + ".join(f"i{arm}_{i}{j} * r{arm}_{j} * {x[i]}" for i, j in ARMS_PAIRS)
+    spread = " + ".join(f"i{arm}_{i}{j} * {x[i]} * {x[j]}" for i, j in ARMS_PAIRS)
+    return f"({mean}) + sqrt({spread})"
+
+
+LINEAR: Ctes = REPLAY[: len(SCORED) + len(STATES) + 2] + [
+    ("contexts",
+     "SELECT iteration, arm, reward, x0, x1, x2 FROM days JOIN (SELECT "
+     "(ts::DATE - (SELECT min(ts)::DATE FROM events) + 1)::INTEGER AS iteration, "
+     "count(*) FILTER (event_type IN ('purchase', 'signup')) / count(*)::DOUBLE AS x0, "
+     "count(*) FILTER (event_type IN ('error', 'click')) / count(*)::DOUBLE AS x1, "
+     "sum(round(value * 100)::BIGINT)::DOUBLE / 10000 / count(*) AS x2 FROM events GROUP BY 1) USING (iteration)"),
+    ("linear_sums",
+     "SELECT batch_no, " + ", ".join(
+         [f"coalesce(sum(x{i} * x{j}) FILTER (arm = {a}), 0) AS s{a}_{i}{j}"
+          for a in (0, 1) for i, j in ARMS_PAIRS if i <= j]
+         + [f"coalesce(sum(reward * x{i}) FILTER (arm = {a}), 0) AS r{a}_{i}" for a in (0, 1) for i in range(3)])
+     + " FROM (SELECT DISTINCT batch_no FROM timed) LEFT JOIN contexts ON iteration < batch_no GROUP BY batch_no"),
+    ("linear_states", f"SELECT *, {linear_state(0)}, {linear_state(1)} FROM linear_sums"),
+    ("linear",
+     f"SELECT *, {PLAIN_ACTION} FROM (SELECT t.*, {linear_score(0)} AS reject_score, {linear_score(1)} AS accept_score "
+     "FROM timed t JOIN linear_states USING (batch_no) JOIN scored USING (cand_id))"),
+]
+
+# Gamma draws by rejection beyond a shape, by the sum of exponential draws up to it.
+GAMMAS = [(p, a) for a in (0, 1) for p in ("alpha", "beta")]
+
+
+def tried(name: str) -> str:
+    u = lambda part: (
+        f"((('0x' || substr(md5('{name}:{part}:{SEED}:' || cand_id || ':' || i), 1, 13))::BIGINT + 1)::DOUBLE "
+        "/ 4503599627370497::DOUBLE)")
+    return (
+        f"SELECT cand_id, min_by(d * v, i) AS drawn FROM (SELECT *, pow(1 + x / sqrt(9 * d), 3) AS v FROM (SELECT cand_id, "
+        f"i, shape - 1 / 3::DOUBLE AS d, {u('bar')} AS u, sqrt(-2 * ln({u('radius')})) * cos(2 * pi() * {u('angle')}) AS x "
+        f"FROM (SELECT cand_id, {name[:-1]}_{name[-1]} AS shape, unnest(range(1, {TRIES + 1})) AS i FROM long_play))) "
+        "WHERE CASE WHEN v > 0 THEN ln(u) < x * x / 2 + d - d * v + d * ln(v) ELSE false END GROUP BY cand_id"
+    )
+
+
+LONG_REPLAY: Ctes = DOCS + POOL + [
+    ("event_log",
+     "SELECT row_number() OVER (ORDER BY ts, event_id) AS iteration, "
+     "CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS arm, "
+     "(round(value * 100)::BIGINT - 5000) / 100::DOUBLE AS reward FROM events"),
+    ("event_states",
+     f"SELECT iteration AS batch_no, {arm_state(0, BEFORE)}, {arm_state(1, BEFORE)} FROM event_log"),
+    ("long_timed", clock("(SELECT id AS cand_id FROM pool_docs)", "cand_id", "pool", "1")),
+    ("long_play",
+     f"SELECT l.cand_id, t, b AS batch_no, {draw('weight', 'l.cand_id')} AS weight, s.* EXCLUDE (batch_no) FROM (SELECT *, "
+     "floor((t - 1) * (SELECT count(*) FROM event_log) / (SELECT count(*) FROM pool_docs)::DOUBLE)::BIGINT + 1 AS b "
+     "FROM long_timed) l JOIN event_states s ON s.batch_no = b"),
+    *[(f"tried_{p}_{a}", tried(f"{p}{a}")) for p, a in GAMMAS],
+    ("long_gammas",
+     "SELECT p.*, " + ", ".join(
+         f"CASE WHEN {p}_{a} <= {SUMMED_SHAPE} OR t_{p}_{a}.drawn IS NULL THEN {gamma(f'{p}_{a}', f'{p}{a}')} "
+         f"ELSE t_{p}_{a}.drawn END AS g_{p}_{a}" for p, a in GAMMAS)
+     + " FROM long_play p" + "".join(f" LEFT JOIN tried_{p}_{a} t_{p}_{a} USING (cand_id)" for p, a in GAMMAS)),
+    ("long_thompson",
+     f"SELECT *, {PLAIN_ACTION} FROM (SELECT *, g_alpha_0 / (g_alpha_0 + g_beta_0) AS reject_score, "
+     "g_alpha_1 / (g_alpha_1 + g_beta_1) * (1 + weight) AS accept_score FROM long_gammas)"),
+]
+
+MANY_RUNS: Ctes = USER_LOG + [
+    ("own_events",
+     f"SELECT user_id, event_id AS cand_id, t, (t - 1) // 5 + 1 AS batch_no, {draw('weight', 'event_id')} AS weight FROM ("
+     "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)"),
+    ("own_states",
+     f"SELECT b.user_id, b.batch_no, {arm_state(0, '')}, {arm_state(1, '')} FROM (SELECT DISTINCT user_id, batch_no "
+     "FROM own_events) b LEFT JOIN (SELECT user_id, iteration, arm, reward::DOUBLE AS reward FROM user_log) l "
+     "ON l.user_id = b.user_id AND l.iteration < b.batch_no GROUP BY b.user_id, b.batch_no"),
+    ("own_ucb",
+     f"SELECT *, {UCB_ACTION} FROM (SELECT *, {UCB[0]} AS reject_score, ({UCB[1]}) * (1 + weight) AS accept_score "
+     "FROM own_events JOIN own_states USING (user_id, batch_no))"),
+]
 REPLAYED = "cand_id, t, batch_no, action, round(reject_score, 6) AS reject_score, round(accept_score, 6) AS accept_score"
 
 
@@ -613,6 +704,9 @@ def statements() -> dict[str, str]:
         "ucb_replay": with_ctes(REPLAY, f"SELECT {REPLAYED} FROM ucb"),
         "thompson_replay": with_ctes(REPLAY, f"SELECT {REPLAYED} FROM thompson"),
         "replay_open_batch": with_ctes(REPLAY, f"SELECT {REPLAYED} FROM open_ucb"),
+        "linear_ucb_replay": with_ctes(LINEAR, f"SELECT {REPLAYED} FROM linear"),
+        "thompson_long_log": with_ctes(LONG_REPLAY, f"SELECT {REPLAYED} FROM long_thompson"),
+        "replay_many_runs": with_ctes(MANY_RUNS, f"SELECT user_id, {REPLAYED} FROM own_ucb"),
         "own_policy": with_ctes(
             REPLAY,
             "SELECT cand_id, batch_no, CASE WHEN weight > 0.5 THEN 1 ELSE 0 END::INTEGER AS action FROM play"),

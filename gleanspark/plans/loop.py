@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from gleanspark.config import SelectionConfig
 from gleanspark.functions.vectors import as_doubles
 from gleanspark.operators.learner import Learner, Model, NaiveBayes
-from gleanspark.operators.metrics import accepted_counts
+from gleanspark.operators.metrics import accepted_counts, arm_context
 from gleanspark.operators.ordering import first_in_order, in_batches
 from gleanspark.operators.policy import Policy, make_policy, state_literals
-from gleanspark.operators.rewards import state_wide
+from gleanspark.operators.rewards import folded
 from gleanspark.plans.regimes import compare_regimes, validation_f1
 from gleanspark.plans.scoring import trusted_set, with_novelty, with_signals, with_tokens
 from gleanspark.sources.labelled import union_all, unique
@@ -30,7 +30,7 @@ STAGED_SCHEMA = (
 )
 ITERATION_SCHEMA = (
     "iteration int, n_batch bigint, n_accepted bigint, curated_total bigint, val_f1 double, "
-    "reward double, arm int, cutoff bigint, model_round int"
+    "reward double, arm int, cutoff bigint, model_round int, context array<double>"
 )
 DECISION_SCHEMA = (
     "cand_id bigint, t bigint, label int, uncertainty double, novelty double, "
@@ -151,7 +151,7 @@ class SelectionRun:
     def _log(self, iteration: int, **values) -> dict:
         row = {
             "iteration": iteration, "n_batch": 0, "n_accepted": 0, "curated_total": 0,
-            "reward": None, "arm": None, "cutoff": None, "model_round": iteration, **values,
+            "reward": None, "arm": None, "cutoff": None, "model_round": iteration, "context": None, **values,
         }
         fields = [f.split() for f in ITERATION_SCHEMA.split(", ") if not f.startswith("iteration")]
         one = self.spark.range(0, 1, 1, 1).select(
@@ -193,19 +193,19 @@ class SelectionRun:
     def play(self, iteration: int, batch: DataFrame, last) -> dict | None:
         """Play one round on a staged batch, given the log row before; None for no rows."""
         model = self._model(last["model_round"])
-        state = state_wide(
-            self.rounds.filter(F.col("iteration").between(1, iteration - 1))
-        ).first().asDict()
+        log = self.rounds.filter(F.col("iteration").between(1, iteration - 1))
+        state = folded(log, self.policy.tallies(), self.policy.finish()).first().asDict()
         scored = with_signals(batch, model, ("t",))
         action = self.policy.action(
-            state_literals(state), F.col("t"), F.col("weight"), F.col("cand_id")
+            state_literals(state, self.policy), F.col("t"), F.col("weight"), F.col("cand_id")
         )
         columns = [c.split()[0] for c in DECISION_SCHEMA.split(", ")]
         decided = write_table(
             scored.withColumn("action", action).select(*columns),
             self._path("decisions", iteration),
         )
-        seen = accepted_counts(decided).first()
+        context = arm_context(("uncertainty", "novelty", "verifier"))
+        seen = accepted_counts(decided, more=[context.alias("context")]).first()
         if not seen["n_batch"]:
             return None
 
@@ -220,6 +220,7 @@ class SelectionRun:
             "curated_total": last["curated_total"] + min(seen["n_accepted"], room),
             "arm": seen["arm"],
             "cutoff": cutoff,
+            "context": seen["context"],
         }
         if not seen["n_accepted"]:
             # The training set is the same, so a fresh fit would be the same model.

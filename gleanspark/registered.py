@@ -42,7 +42,6 @@ TARGET_SHARE = 0.3
 SAMPLE_ROWS = 300
 SPLIT_SIZES = {"train": 500, "val": 200, "test": 200}
 BATCH_ROWS = 50
-LOG_ENDS = 15
 PLACES = 6
 # Plain gradient steps, which SQL can follow; a round of the loop takes fewer.
 EPOCHS, LOOP_EPOCHS, STEP, PENALTY = 5, 3, 2.0, 0.01
@@ -150,6 +149,19 @@ def user_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.in_segments(events, ["user_id"], ["ts", "event_id"])
 
 
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one run's log, a round per event."""
+    events = table(spark, sf_dir, "events").select(
+        "ts", "event_id",
+        F.when(F.col("event_type").isin("purchase", "signup"), 1).otherwise(0).alias("arm"),
+        ((F.round(F.col("value") * 100).cast("bigint") - 5000) / 100).alias("reward"),
+    )
+    order = ["ts", "event_id"]
+    one = F.lit(1).cast("bigint")
+    numbered = prefix.running(prefix.in_segments(events, [], order), [], order, sums={"_before": one})
+    return numbered.select((F.col("_before") + 1).alias("iteration"), "arm", "reward")
+
+
 def user_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = rewards.reward_log(user_segments(spark, sf_dir), ["user_id"], ["ts", "event_id"])
     return log.select("user_id", "iteration", "arm", "reward")
@@ -172,11 +184,28 @@ def daily_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def replay_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``cand_id, t, batch_no, weight``: all candidates, a thirtieth of them per day."""
+def daily_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log by days with a context vector: the shares of either kind of event, and the mean value."""
+    share = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds)) / F.count(F.lit(1))
+    cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    first = events.agg(F.min("day")).first()[0]
+    contexts = events.groupBy((F.date_diff("day", F.lit(first)) + 1).alias("iteration")).agg(
+        F.array(share("purchase", "signup"), share("error", "click"), cents.cast("double") / 10_000 / F.count(F.lit(1)))
+        .alias("context")
+    )
+    return daily_log(spark, sf_dir).join(contexts, "iteration")
+
+
+def log_rounds(spark: SparkSession, sf_dir: str) -> int:
+    return daily_log(spark, sf_dir).agg(F.max("iteration")).first()[0]
+
+
+def replay_candidates(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """``cand_id, t, batch_no, weight``: all candidates, in as many batches as the log has days."""
     rows = candidate_part(language_task(spark, sf_dir)).count()
-    found = scored(spark, sf_dir, max(1, ceil(rows / 30)))
-    return found.select("cand_id", "t", "batch_no", "weight")
+    found = scored(spark, sf_dir, max(1, ceil(rows / log_rounds(spark, sf_dir))))
+    return found.select("cand_id", "t", "batch_no", "weight", *more)
 
 
 def selection(spark: SparkSession, sf_dir: str, **parts) -> SelectionRun:
@@ -485,12 +514,51 @@ def thompson_replay(spark, sf_dir):
 
 def replay_open_batch(spark, sf_dir):
     """The log ends halfway: what follows is decided by all that is known."""
-    log = daily_log(spark, sf_dir).filter(F.col("iteration") <= LOG_ENDS)
+    log = daily_log(spark, sf_dir).filter(F.col("iteration") <= log_rounds(spark, sf_dir) // 2)
     return replay(replay_candidates(spark, sf_dir), log, make_policy("ucb")).select(
         "cand_id", "t", "batch_no", "action", *rounded("reject_score", "accept_score")
     )
 
 
+def linear_ucb_replay(spark, sf_dir):
+    """A policy with sums of its own: the state is a regression on the contexts of the days before."""
+    candidates = replay_candidates(spark, sf_dir, "context")
+    found = replay(candidates, daily_contexts(spark, sf_dir), make_policy("linear", dim=3))
+    return found.select("cand_id", "t", "batch_no", "action", *rounded("reject_score", "accept_score"))
+
+
+def thompson_long_log(spark, sf_dir):
+    """Candidates spread over a log with a round per event; the draws' shapes grow to thousands."""
+    log = materialize(event_log(spark, sf_dir), "events")
+    pool = candidate_part(language_task(spark, sf_dir)).select("cand_id")
+    pool = materialize(ordering.in_batches(pool, "cand_id", 1, SEED).drop("batch_no"), "pool")
+    rounds, rows = log.count(), pool.count()
+    spread_out = F.floor((F.col("t") - 1) * rounds / F.lit(rows)) + 1
+    candidates = pool.select(
+        "cand_id", "t", spread_out.cast("bigint").alias("batch_no"),
+        uniform(SEED, "weight", F.col("cand_id")).alias("weight"),
+    )
+    return replay(candidates, log, make_policy("thompson", seed=SEED)).select(
+        "cand_id", "t", "batch_no", "action", *rounded("reject_score", "accept_score")
+    )
+
+
+def replay_many_runs(spark, sf_dir):
+    """Every user's log decides that user's own events, five to a batch."""
+    placed = prefix.running(
+        user_segments(spark, sf_dir), ["user_id"], ["ts", "event_id"], sums={"_before": F.lit(1).cast("bigint")}
+    )
+    candidates = placed.select(
+        "user_id", F.col("event_id").alias("cand_id"), (F.col("_before") + 1).alias("t"),
+        (F.floor(F.col("_before") / 5) + 1).cast("bigint").alias("batch_no"),
+        uniform(SEED, "weight", F.col("event_id")).alias("weight"),
+    )
+    log = user_rewards(spark, sf_dir).select("user_id", "iteration", "arm", F.col("reward").cast("double").alias("reward"))
+    return replay(candidates, log, make_policy("ucb"), ["user_id"]).select(
+        "user_id", "cand_id", "t", "batch_no", "action", *rounded("reject_score", "accept_score")
+    )
+
+
 class WeightAbove(Policy):
     """A policy of one's own: accept what reaches a fixed context weight."""
 
@@ -612,7 +680,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         uncertainty, verifier_confidence, score_candidates,
         confusion, class_f1, macro_f1, regime_baselines,
         reward_delta, policy_state, beta_state, policy_state_running,
-        ucb_replay, thompson_replay, replay_open_batch, own_policy, round_arms, accept_capped,
+        ucb_replay, thompson_replay, replay_open_batch, linear_ucb_replay, thompson_long_log, replay_many_runs,
+        own_policy, round_arms, accept_capped,
         closed_loop, closed_loop_regression, closed_loop_vectors, decision_log, curated_rows, regime_comparison, regime_curve,
         regime_summary, result_document, stream_loop,
     )

@@ -1,5 +1,7 @@
 from math import log, sqrt
+from math import log as ln
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from gleanspark.config import SelectionConfig
 from gleanspark.operators import policy as policies
 from gleanspark.operators import rewards
 from gleanspark.plans import replay as replays
-from gleanspark.plans.loop import policy_of
+from gleanspark.plans.loop import SelectionRun, policy_of
 from gleanspark.plans.replay import replay
 
 STATE = "pulls_0 bigint, mean_0 double, pulls_1 bigint, mean_1 double, t bigint, w double, id bigint"
@@ -138,3 +140,94 @@ def test_policies_by_name():
     assert policy_of(SelectionConfig(ucb_alpha=0.5)).alpha == 0.5
     with pytest.raises(ValueError, match="unknown policy 'greedy'"):
         policies.make_policy("greedy")
+
+
+@pytest.mark.parametrize("shape", [1, 2, 10, 64, 65, 1000, 1_000_000])
+def test_moments_of_gamma_draws(spark, shape):
+    """Mean and variance are the shape; by sums up to a limit, by rejection at any shape."""
+    shaped = F.lit(shape).cast("bigint")
+    drawn = policies.gamma_by_rejection(42, "moments", shaped, F.col("id"))
+    rows = spark.range(40_000).select(
+        drawn.alias("x"), policies.gamma(42, "moments", shaped, F.col("id")).alias("y")
+    ).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.avg, F.variance, F.count, F.skewness)]).first()
+    for c in "xy":
+        assert rows[f"count_{c}"] == 40_000
+        assert rows[f"avg_{c}"] == pytest.approx(shape, abs=4 * sqrt(shape / 40_000))
+        assert rows[f"variance_{c}"] == pytest.approx(shape, rel=0.05)
+        assert rows[f"skewness_{c}"] == pytest.approx(2 / sqrt(shape), abs=0.25)
+
+
+def test_gamma_draws_take_sums_up_to_the_limit(spark):
+    small, large = F.lit(policies.SUMMED_SHAPE), F.lit(policies.SUMMED_SHAPE + 1)
+    draws = [policies.gamma(1, "g", small, F.col("id")), policies.gamma_sum(1, "g", small, F.col("id")),
+             policies.gamma(1, "g", large, F.col("id")), policies.gamma_by_rejection(1, "g", large, F.col("id"))]
+    for a, b, c, d in spark.range(50).select(*draws).collect():
+        assert a == b and c == d
+
+
+def plain_linear(log, batch, x, alpha=1.0):
+    """(reject, accept) of one context after the rounds before a batch."""
+    out = []
+    for arm in (0, 1):
+        matrix, vector = np.eye(len(x)), np.zeros(len(x))
+        for iteration, a, reward, context in log:
+            if a == arm and iteration < batch and context is not None:
+                matrix, vector = matrix + np.outer(context, context), vector + reward * np.array(context)
+        out.append(np.linalg.solve(matrix, vector) @ x + alpha * sqrt(x @ np.linalg.inv(matrix) @ x))
+    return out
+
+
+def test_linear_policy_carries_its_own_sums(spark):
+    rng = np.random.default_rng(23)
+    log = [(k, int(rng.integers(2)), float(rng.normal()), rng.random(4).tolist() if k % 5 else None) for k in range(1, 60)]
+    cands = [(i, i + 1, int(rng.integers(1, 70)), 0.5, rng.random(4).tolist()) for i in range(80)]
+    rounds = spark.createDataFrame(log, "iteration int, arm int, reward double, context array<double>").repartition(5)
+    rows = spark.createDataFrame(cands, "cand_id bigint, t bigint, batch_no int, weight double, context array<double>")
+    found = replay(rows, rounds, policies.make_policy("linear", dim=4)).collect()
+    assert len(found) == len(cands)
+    for r in found:
+        reject, accept = plain_linear(log, r["batch_no"], np.array(r["context"]))
+        assert (r["reject_score"], r["accept_score"]) == (pytest.approx(reject), pytest.approx(accept))
+        assert r["action"] == int(accept > reject)
+
+
+def test_many_runs_are_decided_by_their_own_rounds(spark):
+    """One run holds most rounds, one has none, one has no name."""
+    rng = np.random.default_rng(29)
+    names = ["big"] * 300 + ["small"] * 5 + [None] * 9
+    counts, log = {}, []
+    for name in names:
+        counts[name] = counts.get(name, 0) + 1
+        log.append((name, counts[name], int(rng.integers(2)), float(rng.normal())))
+    cands = [(name, i, i + 1, b, 0.25) for i, (name, b) in enumerate(
+        (n, b) for n in ("big", "small", None, "new") for b in (1, 2, 6, 200, 301))]
+    rounds = spark.createDataFrame(log, "run string, iteration int, arm int, reward double").repartition(7)
+    rows = spark.createDataFrame(cands, "run string, cand_id bigint, t bigint, batch_no int, weight double")
+    found = {r["cand_id"]: r for r in replay(rows, rounds, policies.UpperConfidence(), ["run"]).collect()}
+    assert len(found) == len(cands)
+    for name, i, t, batch, weight in cands:
+        seen = [[r for n, k, a, r in log if n == name and k < batch and a == arm] for arm in (0, 1)]
+        mean = [sum(s) / len(s) if s else 0.0 for s in seen]
+        scores = [m + sqrt(ln(t) / (len(s) + 1e-9)) for m, s in zip(mean, seen)]
+        assert found[i]["reject_score"] == pytest.approx(scores[0])
+        assert found[i]["accept_score"] == pytest.approx(scores[1] * (1 + weight))
+        assert found[i]["run"] == name
+
+
+def test_loop_with_a_policy_that_has_its_own_state(spark):
+    from tests.test_loop import CONFIG, POOL, REAL
+
+    real = spark.createDataFrame(REAL, "id bigint, text string, label int, split string")
+    pool = spark.createDataFrame(POOL, "cand_id bigint, text string, label int")
+    run = SelectionRun(spark, real, CONFIG, policy=policies.make_policy("linear")).run(pool)
+    rounds = run.rounds.filter("iteration > 0").orderBy("iteration").collect()
+    played = [(r["iteration"], r["arm"], r["reward"], r["context"]) for r in rounds]
+    assert len(played) > 2 and all(len(c) == 3 for *_, c in played)
+    for r in run.decisions.collect():
+        x = np.array([r["uncertainty"], r["novelty"], r["verifier"]])
+        reject, accept = plain_linear(played, r["iteration"], x)
+        if abs(accept - reject) > 1e-9:
+            assert r["action"] == int(accept > reject)
+    for iteration, arm, _, context in played:
+        rows = [r for r in run.decisions.collect() if r["iteration"] == iteration and r["action"] == arm]
+        assert context == [pytest.approx(np.mean([r[c] for r in rows])) for c in ("uncertainty", "novelty", "verifier")]
