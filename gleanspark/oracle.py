@@ -626,6 +626,7 @@ def statements() -> dict[str, str]:
             f"SELECT doc_id AS id, text, {LABEL} AS label FROM documents "
             "UNION ALL SELECT item_id, text, 0 FROM benchmark",
         "pool_lines": pool,
+        "pool_array": pool,
         "pool_reuse": pool,
         "template_pool": template_sql(),
         "own_generator":

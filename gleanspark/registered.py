@@ -244,6 +244,13 @@ def pool_lines(spark, sf_dir):
     return pools.read_pool(spark, path, "json")
 
 
+def pool_array(spark, sf_dir):
+    """One JSON array per part file."""
+    path = fresh_path(spark, "pool")
+    pools.write_pool_array(candidate_part(language_task(spark, sf_dir)), path)
+    return pools.read_pool_array(spark, path)
+
+
 def pool_reuse(spark, sf_dir):
     """Two calls: the second finds the pool and does not build it."""
     path, pool = fresh_path(spark, "pool"), candidate_part(language_task(spark, sf_dir))
@@ -670,7 +677,7 @@ def stream_loop(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        load_labelled, union_sources, pool_lines, pool_reuse, template_pool, own_generator,
+        load_labelled, union_sources, pool_lines, pool_array, pool_reuse, template_pool, own_generator,
         seeded_sample, fixed_splits, split_sizes, band_splits, batch_assign,
         l2_normalised, novelty_score, novelty_by_blocks, novelty_by_pivots,
         nearest_real, nearest_real_by_blocks, nearest_real_by_pivots,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gleanspark.sources.arrays import read_array
 from gleanspark.storage import is_complete
 
 POOL_SCHEMA = "cand_id bigint, text string, label int"
@@ -13,13 +16,25 @@ FORMATS = ("parquet", "json")
 
 
 def read_pool_array(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """Read pool files holding one JSON array each.
+    """Read pool files holding one JSON array each; a large file is read by many tasks."""
+    return read_array(spark, path, POOL_SCHEMA if with_ids else "text string, label int")
 
-    An array cannot be split, so such a file is read by one task: keep them small, or store
-    the pool as JSON lines or Parquet.
-    """
-    schema = POOL_SCHEMA if with_ids else "text string, label int"
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+def write_pool_array(pool: DataFrame, path: str) -> None:
+    """Write a pool as one JSON array per part file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            lines = []
+            for row in batch.column(0).to_pylist():
+                lines.append(before + row)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["value"])
+
+    rows = pool.select(F.to_json(F.struct("cand_id", "text", "label")).alias("value"))
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def read_pool(spark: SparkSession, path: str, pool_format: str = "parquet") -> DataFrame:

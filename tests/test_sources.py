@@ -31,6 +31,66 @@ def test_pool_array(spark, tmp_path):
     assert rows(pools.read_pool_array(spark, str(path), with_ids=False)) == sorted(r[1:] for r in ROWS)
 
 
+def awkward(n):
+    """Texts with the signs an array is cut at, quoted and escaped, and some longer than a range."""
+    signs = ['}', '{"a": [', '\\', '\\"', '"}, {"', ']', 'é}ö', '\n}\n', 'plain words']
+    return [{"cand_id": i, "text": (signs[i % 9] + signs[i * 7 % 9]) * (1 + 40 * (i % 11 == 0)), "label": i % 3} for i in range(n)]
+
+
+@pytest.fixture
+def small_ranges(spark):
+    conf = {"spark.sql.files.maxPartitionBytes": "64b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("layout", [{"indent": 2}, {}, {"ensure_ascii": False, "separators": (",", ":")}])
+def test_an_array_is_read_by_ranges(spark, tmp_path, small_ranges, layout):
+    elements = awkward(60)
+    path = tmp_path / "pools"
+    path.mkdir()
+    for name, part in (("a", elements[:35]), ("b", elements[35:]), ("none", [])):
+        (path / f"{name}.json").write_text(json.dumps(part, **layout), encoding="utf-8")
+    from gleanspark.sources import arrays
+
+    assert arrays.fragments(spark, str(path)).select("file", "start").distinct().count() > 20
+    assert rows(pools.read_pool_array(spark, str(path))) == [tuple(e.values()) for e in elements]
+
+
+def test_nested_and_missing_fields(spark, tmp_path, small_ranges):
+    elements = [{"a": {"b": [{"c": "}" * i}, {"c": "]"}]}, "more": [[i]]} if i % 2 else {} for i in range(20)]
+    (tmp_path / "n.json").write_text(json.dumps(elements))
+    from gleanspark.sources.arrays import read_array
+
+    found = read_array(spark, str(tmp_path / "n.json"), "a struct<b: array<struct<c: string>>>")
+    texts = [None if r["a"] is None else [b["c"] for b in r["a"]["b"]] for r in found.collect()]
+    assert sorted(texts, key=str) == sorted([["}" * i, "]"] if i % 2 else None for i in range(20)], key=str)
+
+
+@pytest.mark.parametrize("broken", [
+    '[{"cand_id": 1, "text": "a", "label": 0}', '[{"cand_id": 1, "text": "a}', '{"cand_id": 1}', '[{"cand_id": 1} {"cand_id": 2}]',
+    '[{"cand_id": 1}] more', '[1, 2]', '[{"cand_id": 1}, 5]', '[{"cand_id": 1}, {"cand_id": ]', '[{"cand_id": "x"}]', '[{"cand_id": 1},]',
+])
+@pytest.mark.parametrize("ranges", ["64b", "7b"])
+def test_broken_arrays_are_refused(spark, tmp_path, small_ranges, broken, ranges):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", ranges)
+    (tmp_path / "broken.json").write_text(broken)
+    with pytest.raises(Exception, match="inside its array|not an array of objects|MALFORMED_RECORD|CANNOT_PARSE"):
+        pools.read_pool_array(spark, str(tmp_path / "broken.json")).collect()
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_array_round_trip(spark, pool, tmp_path, parts):
+    pools.write_pool_array(pool.repartition(parts), str(tmp_path / "p"))
+    assert rows(pools.read_pool_array(spark, str(tmp_path / "p"))) == ROWS
+    for path in (tmp_path / "p").glob("part*"):
+        assert isinstance(json.loads(path.read_text(encoding="utf-8")), list)
+
+
 def test_unknown_pool_format(pool):
     with pytest.raises(ValueError, match="unknown pool format"):
         pools.write_pool(pool, "/nowhere", "csv")
