@@ -726,6 +726,10 @@ def statements() -> dict[str, str]:
             REGRESSION, "SELECT class, bucket, round(w, 6) AS weight FROM lr_w"),
         "loss_history": with_ctes(REGRESSION, f"SELECT epoch, {rounded('loss')} FROM lr_loss"),
         "stream_loop": ROUND_TABLE,
+        "streamed_state": with_ctes(
+            USER_LOG,
+            f"SELECT user_id, {arm_state(0, '')}, {arm_state(1, '')} FROM (SELECT user_id, arm, "
+            "(reward * 100)::BIGINT AS reward FROM user_log) GROUP BY user_id"),
         "decision_log": with_ctes(
             LOOP,
             "SELECT iteration, cand_id, t, action, kept, "

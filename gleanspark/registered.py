@@ -32,6 +32,7 @@ from gleanspark.sources.templates import generated_pool
 from gleanspark.sources.templates import template_pool as templates
 from gleanspark.storage import fresh_path, materialize, spread
 from gleanspark.streaming.arrivals import arriving_pool, run_stream
+from gleanspark.streaming.state import fold_arrivals, folded_state
 
 SEED = 42
 LANGUAGES = ("en", "fr", "de", "es")
@@ -674,6 +675,21 @@ def stream_loop(spark, sf_dir):
     )
 
 
+def streamed_state(spark, sf_dir):
+    """Every user's rewards arrive out of order, some of them twice; the state is that of the whole log.
+
+    Rewards are whole cents here, whose sums are exact in any order.
+    """
+    log = user_rewards(spark, sf_dir).withColumn("reward", (F.col("reward") * 100).cast("bigint").cast("double"))
+    landing, folder = fresh_path(spark, "landing"), fresh_path(spark, "folded")
+    again = log.filter(F.pmod(F.xxhash64("user_id", "iteration"), F.lit(7)) == 0)
+    log.unionByName(again).repartition(4, F.col("iteration") * 31 % 17).write.parquet(landing)
+    arrivals = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    fold_arrivals(arrivals, ["user_id"], folder)
+    state = folded_state(spark, folder, ["user_id"])
+    return state.select("user_id", *[f"{n}_{a}" for a in (0, 1) for n in ("pulls", "alpha", "beta", "mean")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -690,6 +706,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ucb_replay, thompson_replay, replay_open_batch, linear_ucb_replay, thompson_long_log, replay_many_runs,
         own_policy, round_arms, accept_capped,
         closed_loop, closed_loop_regression, closed_loop_vectors, decision_log, curated_rows, regime_comparison, regime_curve,
-        regime_summary, result_document, stream_loop,
+        regime_summary, result_document, stream_loop, streamed_state,
     )
 }
