@@ -608,6 +608,12 @@ def template_sql() -> str:
     )
 
 
+GENERATED = (
+    "SELECT doc_id AS cand_id, 'text ' || doc_id || ' of class ' || (doc_id % 2) AS text, "
+    "(doc_id % 2)::INTEGER AS label FROM documents"
+)
+
+
 def statements() -> dict[str, str]:
     pool = with_ctes(DOCS, "SELECT id AS cand_id, text, claimed AS label FROM docs WHERE split = 'pool'")
     order = f"ORDER BY {bits('shuffle', 'doc_id')}, doc_id"
@@ -629,9 +635,8 @@ def statements() -> dict[str, str]:
         "pool_array": pool,
         "pool_reuse": pool,
         "template_pool": template_sql(),
-        "own_generator":
-            "SELECT doc_id AS cand_id, 'text ' || doc_id || ' of class ' || (doc_id % 2) AS text, "
-            "(doc_id % 2)::INTEGER AS label FROM documents",
+        "own_generator": GENERATED,
+        "generator_waves": GENERATED,
         "seeded_sample": f"SELECT doc_id, lang FROM documents {order} LIMIT {SAMPLE_ROWS}",
         "fixed_splits": splits,
         "split_sizes": f"SELECT split, count(*) AS n FROM ({splits}) GROUP BY split",

@@ -28,7 +28,7 @@ from gleanspark.plans.scoring import score_candidates as scored_candidates
 from gleanspark.plans.scoring import trusted_set, with_tokens, with_vectors
 from gleanspark.sources import pools, results
 from gleanspark.sources.labelled import attach_labels, labelled, union_all, union_keyed
-from gleanspark.sources.templates import generated_pool
+from gleanspark.sources.templates import generated_in_waves, generated_pool
 from gleanspark.sources.templates import template_pool as templates
 from gleanspark.storage import fresh_path, materialize, spread
 from gleanspark.streaming.arrivals import arriving_pool, run_stream
@@ -275,6 +275,20 @@ def own_generator(spark, sf_dir):
     return generated_pool(table(spark, sf_dir, "documents"), "doc_id", 2, generate)
 
 
+def generator_waves(spark, sf_dir):
+    """A dear generator is asked in waves that are committed one by one; the second call asks nothing."""
+    documents, folder = table(spark, sf_dir, "documents"), fresh_path(spark, "waves")
+
+    def generate(batch: pd.DataFrame) -> pd.Series:
+        return "text " + batch["cand_id"].astype(str) + " of class " + batch["label"].astype(str)
+
+    def fail(batch: pd.DataFrame) -> pd.Series:
+        raise AssertionError("the generator was asked again")
+
+    generated_in_waves(documents, "doc_id", 2, generate, folder, 24, 8)
+    return generated_in_waves(documents, "doc_id", 2, fail, folder, 24, 8)
+
+
 # Order, samples and splits.
 
 
@@ -693,7 +707,7 @@ def streamed_state(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        load_labelled, union_sources, pool_lines, pool_array, pool_reuse, template_pool, own_generator,
+        load_labelled, union_sources, pool_lines, pool_array, pool_reuse, template_pool, own_generator, generator_waves,
         seeded_sample, fixed_splits, split_sizes, band_splits, batch_assign,
         l2_normalised, novelty_score, novelty_by_blocks, novelty_by_pivots,
         nearest_real, nearest_real_by_blocks, nearest_real_by_pivots,

@@ -59,7 +59,8 @@ def pool_once(
     """Load the pool at ``path``, or build and write it.
 
     Size and seed are kept beside the pool; asking for others is an error. A pool without
-    that note came from elsewhere and is taken as it is.
+    that note came from elsewhere and is taken as it is. The note is written before the pool, so a
+    pool of ours has one however the call ended.
     """
     note = f"{path.rstrip('/')}.made"
     if is_complete(spark, path):
@@ -70,8 +71,8 @@ def pool_once(
                     f"pool at {path} was made with size {made['size']}, seed {made['seed']}"
                 )
         return read_pool(spark, path, pool_format)
-    write_pool(build(), path, pool_format)
     spark.createDataFrame([(size, seed)], "size bigint, seed bigint").write.mode(
         "overwrite"
     ).json(note)
+    write_pool(build(), path, pool_format)
     return read_pool(spark, path, pool_format)

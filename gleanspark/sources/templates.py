@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.functions.hashing import choose, uniform
+from gleanspark.storage import is_complete, write_table, written_once
 
 # The templates of label 1, of every other label, and the word lists.
 POSITIVE_TEMPLATES = [
@@ -88,3 +90,46 @@ def generated_pool(
             yield batch.assign(text=generate(batch))[["cand_id", "text", "label"]]
 
     return wanted.mapInPandas(run, "cand_id bigint, text string, label int")
+
+
+def generated_in_waves(
+    rows: DataFrame,
+    id_col: str,
+    num_classes: int,
+    generate: Callable[[Mapping[str, pd.Series]], pd.Series],
+    folder: str,
+    chunks: int,
+    chunks_per_wave: int,
+) -> DataFrame:
+    """The same for a generator that is dear, written to ``folder`` and taken up where it was left.
+
+    Ids are dealt to ``chunks`` by hash, and a wave of them is generated and committed at a time, each
+    chunk by a task of its own. A call on the same folder generates the waves that were not
+    committed, and a task that is repeated its own chunk only; what is written is not asked for
+    again. The number of chunks is kept with the waves; a call with another one is an error, as
+    ids would move.
+    """
+    spark = rows.sparkSession
+    settings = written_once(
+        spark, f"{folder}/settings", "chunks bigint, per_wave bigint",
+        lambda: spark.createDataFrame([(chunks, chunks_per_wave)], "chunks bigint, per_wave bigint"),
+    ).first()
+    if (settings["chunks"], settings["per_wave"]) != (chunks, chunks_per_wave):
+        raise ValueError(f"{folder} was begun with {settings['chunks']} chunks, {settings['per_wave']} a wave")
+    wave = F.floor(F.col("chunk") / chunks_per_wave).cast("int")
+
+    def dealt() -> DataFrame:
+        ids = rows.select(F.col(id_col).cast("bigint").alias("id"))
+        chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
+        return ids.withColumn("chunk", chunk).withColumn("wave", wave)
+
+    asked = written_once(spark, f"{folder}/asked", "id bigint, chunk int, wave int", dealt, "wave")
+    for number in range(ceil(chunks / chunks_per_wave)):
+        path = f"{folder}/pool/wave={number}"
+        if not is_complete(spark, path):
+            # As many tasks as chunks; by range, so that no two chunks share one where hashes would.
+            own = asked.filter(F.col("wave") == number).repartitionByRange(chunks_per_wave, "chunk")
+            write_table(generated_pool(own, "id", num_classes, generate), path)
+    return spark.read.schema("cand_id bigint, text string, label int").parquet(
+        *[f"{folder}/pool/wave={n}" for n in range(ceil(chunks / chunks_per_wave))]
+    )

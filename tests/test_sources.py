@@ -1,11 +1,12 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleanspark.sources import pools, results
 from gleanspark.sources.labelled import read_labelled, union_all, union_keyed, unique
-from gleanspark.sources.templates import generated_pool, template_pool
+from gleanspark.sources.templates import generated_in_waves, generated_pool, template_pool
 
 ROWS = [(0, 'He said "no"\nand left', 0), (1, "Éçole", 1), (2, "Éçole", 1)]
 
@@ -149,6 +150,54 @@ def test_own_generator(spark):
     assert rows(made) == [(i, f"t{i % 2}", i % 2) for i in range(10)]
 
 
+def test_a_stopped_generator_is_not_asked_again(spark, tmp_path):
+    """The second of three waves dies half way; its calls alone are made again."""
+    calls, healed = str(tmp_path / "calls"), tmp_path / "healed"
+
+    def generate(batch):
+        import os
+
+        for i in batch["cand_id"]:
+            if i == victim and not os.path.exists(str(healed)):
+                raise RuntimeError("stopped half way")
+            with open(calls, "a") as log:
+                log.write(f"{i}\n")
+        return "t" + batch["label"].astype(str)
+
+    folder = str(tmp_path / "waves")
+    ids = spark.range(300)
+    wave = lambda i: ids.filter(f"id = {i}").select(F.floor(F.pmod(F.xxhash64("id"), F.lit(12)) / 4)).first()[0]
+    victim = next(i for i in range(100, 300) if wave(i) == 1)
+    make = lambda chunks=12: generated_in_waves(ids, "id", 2, generate, folder, chunks, 4)
+    with pytest.raises(Exception, match="stopped half way"):
+        make()
+    before = [int(i) for i in open(calls).read().split()]
+    healed.write_text("")
+    assert rows(make()) == [(i, f"t{i % 2}", i % 2) for i in range(300)]
+    seen = Counter(int(i) for i in open(calls).read().split())
+    waves = {r["id"]: r["wave"] for r in spark.read.parquet(f"{folder}/asked").collect()}
+    assert set(seen) == set(range(300)) and any(waves[i] == 0 for i in before) and all(waves[i] < 2 for i in before)
+    assert all(seen[i] == 1 for i in seen if waves[i] != 1) and all(seen[i] <= 2 for i in seen)
+    assert rows(make()) == [(i, f"t{i % 2}", i % 2) for i in range(300)]
+    assert Counter(int(i) for i in open(calls).read().split()) == seen
+    with pytest.raises(ValueError, match="begun with 12 chunks"):
+        make(6)
+
+
+def test_the_note_is_there_before_the_pool(spark, pool, tmp_path):
+    """A call that dies while it writes leaves no pool that could be taken for a foreign one."""
+    path = str(tmp_path / "p")
+
+    def die():
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        pools.pool_once(spark, path, 3, 42, die)
+    assert rows(pools.pool_once(spark, path, 3, 42, lambda: pool)) == ROWS
+    with pytest.raises(ValueError, match="size 3, seed 42"):
+        pools.pool_once(spark, path, 3, 43, die)
+
+
 def test_result_document_round_trip(spark, tmp_path):
     iterations = spark.createDataFrame(
         [(1, 0.7, 0.2, 5), (0, 0.5, None, 0), (2, 0.6, -0.1, 9)],
