@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,21 @@ def share_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(parts)
 
 
+def shelters(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions of a table that add columns ``__…`` for a while: columns of the table that have
+    such a name are put aside under another one, and come back as they were."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        aside = {c: f"_kept_{n}" for n, c in enumerate(docs.columns) if c.startswith("__")}
+        while set(aside.values()) & set(docs.columns):
+            aside = {c: f"_{name}" for c, name in aside.items()}
+        out = stage(docs.withColumnsRenamed(aside), *args, **options)
+        return out.withColumnsRenamed({name: c for c, name in aside.items()})
+
+    return run
+
+
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """The texts of an Arrow column as UTF-8, NULL as the empty text, one at a time."""
     for value in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import map_rows
+from gleanspark.llm.common import map_rows, shelters
 
 ERROR_SHARE = 0.1
 BLOCK_BYTES = 1 << 20
@@ -170,6 +170,7 @@ def contaminated(
     return found.select(F.col("doc").alias(id_col), F.inline("leaks"))
 
 
+@shelters
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, as they are."""
     found = with_matches(docs, items, text_col, name="__leaks", **options)

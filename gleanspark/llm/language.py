@@ -8,7 +8,6 @@ with the logarithm of the text's length. The largest share within the set names
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import map_rows
+from gleanspark.llm.common import map_rows, shelters
 from gleanspark.storage import materialize
 
 BUCKETS = 1 << 16
@@ -24,20 +23,23 @@ SMOOTHING = 0.1
 # Log-likelihood a further language has to gain, times the logarithm of the number of trigrams. A
 # letter is part of three trigrams, hence 3 in place of 1.
 PENALTY = 3.0
-MIN_SHARE = 0.02
-STEPS = 12
-CONVERGED = 1e-3
+# Expectation-maximisation ends once at most so much log-likelihood is left to gain.
+CONVERGED = 1e-2
 # Languages counted at once in a task, which bounds its memory.
 HELD_LANGUAGES = 64
 UNKNOWN = "und"
 MIN_SCORE = 0.5
 
-LETTER = re.compile(r"[^\W\d_]")
 TO_BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 MIX = np.uint32(0x9E3779B1)
 CHUNK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a letter category (L*) occurs; digits and number signs are none."""
+    return next(filter(str.isalpha, text), None) is not None
+
+
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the letter trigrams of a text between blanks, and how often each occurs."""
     raw = b" %b " % (text or "").lower().encode("utf-8", "replace").translate(TO_BLANK)
@@ -107,19 +109,20 @@ class Mixture:
 
     @staticmethod
     def shares(likely: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Shares of the mixture by expectation-maximisation."""
-        total, share = weight.sum(), np.full(likely.shape[1], 1 / likely.shape[1], dtype=np.float32)
-        for _ in range(STEPS):
-            new = share * ((weight / (likely @ share)) @ likely) / total
-            moved, share = np.abs(new - share).max(), new
-            if moved < CONVERGED:
-                break
-        return share
+        """Shares of the mixture by expectation-maximisation, run until it has converged."""
+        likely, weight = likely.astype(np.float64), weight.astype(np.float64)
+        total, share = weight.sum(), np.full(likely.shape[1], 1 / likely.shape[1])
+        while True:
+            grown = (weight / (likely @ share)) @ likely / total
+            share = share * grown
+            # No mixture is likelier than this one by more than the logarithm of the largest factor.
+            if total * np.log(grown.max()) < CONVERGED:
+                return share
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """The language, the share of it in the mixture of all languages, and whether the text is
         long enough for a second language to exceed the penalty."""
-        if not self.names or not text or not LETTER.search(text):
+        if not self.names or not text or not has_letter(text):
             return UNKNOWN, 0.0, False
         bucket, n = trigrams(text)
         likely, weight = self.table[bucket], n.astype(np.float32)
@@ -130,9 +133,7 @@ class Mixture:
         needed = self.penalty * np.log(weight.sum() + 1)
         # No mixture is likelier than the likeliest language of every trigram.
         long_enough = weight @ np.log(likely.max(axis=1)) - best > needed
-        for size in range(2, len(order) + 1):
-            if overall[order[size - 1]] < MIN_SHARE:
-                break
+        for size in range(2, len(order) + 1 if long_enough else 2):
             part = likely[:, order[:size]]
             tried = self.shares(part, weight)
             reached = weight @ np.log(part @ tried)
@@ -169,6 +170,7 @@ def with_language(
     return map_rows(docs, work, ", ".join(f"{name} {kind}" for name, kind in kinds))
 
 
+@shelters
 def identified(docs: DataFrame, training: DataFrame, text_col: str = "text", lang_col: str = "lang",
                min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is found with a share of at least ``min_score``; of texts

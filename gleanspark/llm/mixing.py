@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions.hashing import HEX_DIGITS, draw_bits
-from gleanspark.llm.common import WORD
+from gleanspark.llm.common import WORD, shelters
 from gleanspark.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -161,6 +161,7 @@ def mixture(
     )
 
 
+@shelters
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED,

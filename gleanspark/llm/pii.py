@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanspark.llm.common import shelters
 from gleanspark.storage import materialize
 
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -336,6 +337,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+@shelters
 def redacted(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars"
 ) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import join_by_frequency, map_rows, utf8
+from gleanspark.llm.common import join_by_frequency, map_rows, shelters, utf8
 from gleanspark.storage import materialize
 
 BITS = 64
@@ -329,6 +329,7 @@ def one_per_root(
     return kept.drop(own)
 
 
+@shelters
 def deduplicated(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE
 ) -> DataFrame:

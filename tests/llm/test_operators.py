@@ -392,13 +392,54 @@ def test_short_texts_have_a_language(spark):
         return " ".join("".join(rng.choice(list(sounds[lang] + "aeiou"), 6)) for _ in range(n))
 
     training = spark.createDataFrame([(text(x, 200), x) for x in sounds for _ in range(10)], "text string, lang string")
-    asked = ["B.", "t", " 1 l 2", "x", " ".join(text(x, 100) for x in sounds), "1.", None]
+    asked = ["B.", "t", " 1 l 2", "x", " ".join(text(x, 100) for x in sounds), "1.", None, "½", "² Ⅷ ①", "_", "ª"]
     df = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string")
     found = {r.doc_id: r for r in language.with_language(df, training).collect()}
     assert all(found[i].lang_pred in sounds and found[i].score > 0 for i in range(5))
-    assert [found[i].lang_pred for i in (5, 6)] == ["und"] * 2
+    # Number signs are no letters; an ordinal sign is one.
+    assert [found[i].lang_pred for i in (5, 6, 7, 8, 9)] == ["und"] * 5 and found[10].lang_pred in sounds
     assert found[3].score < language.MIN_SCORE and found[4].score < language.MIN_SCORE
-    assert {r.doc_id for r in language.identified(df, training).collect()} == {0, 1, 2, 3}
+    assert {r.doc_id for r in language.identified(df, training).collect()} == {0, 1, 2, 3, 10}
+
+
+def plain_mixture(likely, weight):
+    """Shares by expectation-maximisation, far beyond convergence."""
+    share = np.full(likely.shape[1], 1 / likely.shape[1])
+    for _ in range(3000):
+        share = share * ((weight / (likely @ share)) @ likely) / weight.sum()
+    return share
+
+
+def test_language_sets_equal_plain_mixtures():
+    """The set grows by share while the penalised likelihood does, whatever share the next one has."""
+    rng = np.random.default_rng(8)
+    table = rng.gamma(0.3, size=(language.BUCKETS, 5)).astype(np.float32) + np.float32(1e-4)
+    judge = language.Mixture(list("vwxyz"), table)
+    sure = 0
+    for n in (3, 30, 300, 3000, 30000):
+        for _ in range(6):
+            text = "".join(rng.choice(list("abcdefgh "), n))
+            bucket, count = language.trigrams(text)
+            likely, weight = table[bucket].astype(float), count.astype(float)
+            overall = plain_mixture(likely, weight)
+            reach = lambda shares: weight @ np.log(likely @ shares)
+            assert reach(overall) - reach(judge.shares(likely, weight)) < language.CONVERGED
+            order = np.argsort(-overall, kind="stable")
+            best, share = weight @ np.log(likely[:, order[0]]), np.ones(1)
+            for size in range(2, 6):
+                tried = plain_mixture(likely[:, order[:size]], weight)
+                reached = weight @ np.log(likely[:, order[:size]] @ tried)
+                if reached - best <= language.PENALTY * np.log(weight.sum() + 1):
+                    break
+                best, share = reached, tried
+            top = np.sort(share)[::-1]
+            if len(share) == 1 or top[0] - top[1] > 0.02:
+                sure += 1
+                name, score, _ = judge.judge(text)
+                assert name == "vwxyz"[order[int(np.argmax(share))]]
+                # Of a short text, shares far apart are equally likely.
+                assert n < 300 or score == pytest.approx(overall["vwxyz".index(name)], abs=0.02)
+    assert sure > 20
 
 
 # Decontamination
