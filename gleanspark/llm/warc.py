@@ -26,6 +26,8 @@ READ_BYTES = 1 << 20
 # The dictionary: its size, and about how much text it is trained on.
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 8 << 20
+# No page of the sample is larger.
+SAMPLE_PAGE_BYTES = SAMPLE_BYTES >> 4
 LEVEL = 3
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -185,8 +187,15 @@ def written(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     copies = materialize(copies.filter("n > 1 AND keeper IS NOT NULL").select("digest", "keeper"), "warc-copies")
     total = plain.agg(F.sum("size")).first()[0] or 0
     share = min(1.0, SAMPLE_BYTES / max(1, total))
-    drawn = plain.filter(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = [bytes(r[0]) for r in drawn.select("payload").orderBy("digest").collect()]
+    drawn = F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20))
+    # Copies are made one before they travel, and a page too large to be typical is no sample.
+    drawn = plain.filter(drawn & (F.col("size") <= SAMPLE_PAGE_BYTES)).groupBy("digest").agg(F.first("payload").alias("payload"))
+    sample, held = [], 0
+    for row in drawn.orderBy("digest").toLocalIterator():
+        if held + len(row["payload"]) > SAMPLE_BYTES:
+            break
+        sample.append(bytes(row["payload"]))
+        held += len(row["payload"])
     trained = dictionary(sample)
     shared = pages.sparkSession.sparkContext.broadcast(trained)
 

@@ -365,6 +365,67 @@ def test_rules_are_indexed_by_their_rarest_token():
 # Languages
 
 
+def plain_judgement(url, rules, patterns, otherwise="allow"):
+    """(host, path, rule, verdict) by trying every rule and pattern on the URL."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = re.split("[?#]", rest[cut:], maxsplit=1)[0]
+    fits = []
+    for rule in rules:
+        name, slash, start = rule.text.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith(slash + start):
+            fits.append(rule)
+    if fits:
+        best = max(fits, key=lambda r: len(r.text))
+        return host, path, best.text, best.verdict
+    place = (host + path).translate(TO_LOWER)
+    for p in patterns:
+        middle = ".*".join(map(re.escape, p.text.split("*")))
+        for m in re.finditer(f"(?s)(?={middle})", place):
+            for end in range(m.start(), len(place) + 1):
+                whole = re.fullmatch(f"(?s){middle}", place[m.start() : end])
+                free = lambda c: not re.fullmatch("[a-z0-9]", c)
+                if whole and free(place[m.start() - 1 : m.start()] if m.start() else "") and free(place[end : end + 1]):
+                    return host, path, None, p.verdict
+    return host, path, None, otherwise
+
+
+def test_urls_equal_every_rule_on_every_url(spark):
+    rng = np.random.default_rng(61)
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    hosts = ["example.org", "a.example.org", "EXAMPLE.org", "notexample.org", "org", "x.com", "com", "b.c.net", "bet.com", "", "xorg"]
+    paths = ["", "/", "/es/", "/es", "/en/1", "/en/12/a", "/en/2", "/fr/", "/de/x", "/FR/", "/my-bets/", "/abets", "/a_poker_b", "/x/free-y"]
+    ends = ["", "?q=casino", "#es/", "/poker?x", "/Casino"]
+    made = [pick(["http://", "https://", "x://", "", "//"]) + pick(hosts) + pick(paths) + pick(ends) for _ in range(400)]
+    made += [None, "", "://", "a://b://c/es/", "http://example.org/es/\n", made[0], made[0]]
+    lists = [(urls.RULES, urls.PATTERNS), ((), ()), (
+        [urls.Rule("block", "example.org/"), urls.Rule("allow", "a.example.org/en/"), urls.Rule("block", "net/"), urls.Rule("allow", "x.com/es")],
+        [urls.Pattern("block", "free*y"), urls.Pattern("allow", "my-bets"), urls.Pattern("block", "my*"), urls.Pattern("block", "org")])]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string").repartition(3)
+    for rules, patterns in lists:
+        found = urls.judged(df.selectExpr("*", "'h' AS host", "1 AS page"), rules=rules, patterns=patterns)
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found.collect()} == {
+            i: plain_judgement(u, rules, patterns) for i, u in enumerate(made)}
+    assert urls.judged(df.limit(0)).collect() == []
+
+
+def test_dictionary_sample_takes_a_copied_page_once(spark, monkeypatch):
+    """Thousands of copies of a drawn page do not come to the driver."""
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "SAMPLE_PAGE_BYTES", 1 << 13)
+    seen = []
+    monkeypatch.setattr(warc, "dictionary", lambda sample: seen.extend(sample) or b"")
+    page = prose(70, 500)
+    df = spark.createDataFrame([(i, "u", page if i % 3 else prose(i, 200)) for i in range(900)] + [(900, "u", page * 9)],
+                               "page_id bigint, url string, html string")
+    found = warc.round_trip(df)
+    assert sum(map(len, seen)) <= 1 << 16 and len(seen) == len(set(seen)) and max(map(len, seen), default=0) <= 1 << 13
+    assert found.count() == 901
+
+
 def test_languages_and_mixtures(spark, docs, none):
     sounds = {"aa": "bdg", "bb": "ptk", "cc": "lrm"}
     rng = np.random.default_rng(4)
