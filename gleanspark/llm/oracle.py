@@ -80,18 +80,20 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGI
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
-# crc32 of the id as text, bit by bit.
-CRC = """
+# crc32 of a text of ASCII characters, bit by bit.
+def crc(text: str) -> str:
+    return f"""
 xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
-    range(8 * length(doc_id::VARCHAR)),
-    lambda i: ((ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INTEGER, 1)) >> (i % 8)::INTEGER) & 1)::BIGINT)),
+    range(8 * length({text})),
+    lambda i: ((ascii(substr({text}, (i // 8 + 1)::INTEGER, 1)) >> (i % 8)::INTEGER) & 1)::BIGINT)),
   lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))::BIGINT
 """
 
+
 # Five equal words at two places of a text lie on the diagonal of their lag; neighbours on it are one stretch.
 PERIODIC = rf"""
 WITH read AS (
-  SELECT doc_id, {CRC} AS h, coalesce(regexp_extract_all(text, '{BLANKLESS}'), []) AS words FROM documents),
+  SELECT doc_id, {crc('doc_id::VARCHAR')} AS h, coalesce(regexp_extract_all(text, '{BLANKLESS}'), []) AS words FROM documents),
 marked AS (
   SELECT doc_id, words, len(words) AS n, h // 10 AS g, h % 10 = 0 AND len(words) > 0 AS plants FROM read),
 placed AS (
@@ -136,5 +138,82 @@ LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+# The rows of a conversation are read one after the other. A way so far ends in a state of the grammar,
+# with its cost and audit; of the ways of a state only the best goes on. Between two rows a way may
+# insert up to two turns: two more would come back to the same state.
+STEPS = """(VALUES ('start', 'u', 'I'), ('s', 'u', 'I'), ('u', 'a', 'I'), ('a', 'u', 'I'),
+    ('start', 'a', 'II'), ('s', 'a', 'II'))"""
+CONVERSATIONS = rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+kinds AS (SELECT *, {crc('name')} % 20 AS kind FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+faulty AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE
+    WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM placed),
+figures AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 'start' AS state, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM figures
+  UNION ALL
+  SELECT conv_id, i, state, min({{'cost': cost, 'audit': audit}}) FROM (
+    WITH waiting AS (
+      SELECT conv_id, i, state, best.cost AS cost, best.audit AS audit FROM ways
+      UNION ALL
+      SELECT conv_id, i, s.after, best.cost + 3 * length(s.edits), best.audit || s.edits
+      FROM ways JOIN {STEPS} s(before, after, edits) ON state = s.before)
+    SELECT w.conv_id, w.i + 1 AS i, e.after AS state, w.cost + CASE
+        WHEN e.edit = 'D' THEN 4 ELSE 3 * (e.edit = 'R')::INTEGER + 3 * (coalesce(f.fault, '') = 'truncated')::INTEGER END AS cost,
+      w.audit || e.edit AS audit
+    FROM waiting w JOIN faulty f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1
+    JOIN (VALUES ('start', 'start', 'D', ''), ('s', 's', 'D', ''), ('u', 'u', 'D', ''), ('a', 'a', 'D', ''),
+      ('start', 's', 'K', 's'), ('start', 'u', 'K', 'u'), ('s', 'u', 'K', 'u'), ('a', 'u', 'K', 'u'), ('u', 'a', 'K', 'a'),
+      ('start', 'u', 'R', ''), ('s', 'u', 'R', ''), ('a', 'u', 'R', ''), ('u', 'a', 'R', ''))
+      e(before, after, edit, initial) ON e.before = w.state
+      AND (e.edit = 'D' OR coalesce(f.fault, '') NOT IN ('blank', 'duplicate')) AND (e.initial = '' OR e.initial = f.initial))
+  GROUP BY conv_id, i, state),
+ended AS (
+  SELECT w.conv_id, state, best.cost AS cost, best.audit AS audit
+  FROM ways w JOIN figures f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.i = f.n),
+answers AS (
+  SELECT conv_id, min({{'cost': cost, 'audit': audit}}) AS best FROM (
+    SELECT conv_id, state, cost, audit FROM ended UNION ALL
+    SELECT conv_id, s.after, cost + 3 * length(s.edits), audit || s.edits
+    FROM ended JOIN {STEPS} s(before, after, edits) ON state = s.before)
+  WHERE state IN ('start', 'a') GROUP BY conv_id),
+edits AS (
+  SELECT conv_id, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS k FROM answers),
+numbered AS (
+  SELECT conv_id, k, substr(audit, k, 1) AS edit,
+    length(replace(substr(audit, 1, k), 'I', '')) AS i,
+    length(replace(substr(audit, 1, k), 'D', '')) - length(replace(audit, 'D', '')) % 2 AS place FROM edits),
+written AS (
+  SELECT n.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole
+  FROM numbered n LEFT JOIN faulty f ON n.conv_id IS NOT DISTINCT FROM f.conv_id AND n.i = f.i AND edit <> 'I'
+  WHERE edit <> 'D' GROUP BY n.conv_id)
+SELECT c.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0)::BIGINT AS blank,
+  coalesce(f.duplicate, 0)::BIGINT AS duplicate, coalesce(f.truncated, 0)::BIGINT AS truncated,
+  coalesce(f.illegal, 0)::BIGINT AS illegal, coalesce(a.best.cost, 0)::BIGINT AS cost,
+  coalesce(a.best.audit, '') AS audit, sha256(coalesce(w.whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN figures f ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN answers a ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN written w ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op6_mixture": MIXTURE, "op11_substrings": SUBSTRINGS, "op13_periodic": PERIODIC}
+    return {"op6_mixture": MIXTURE, "op11_substrings": SUBSTRINGS, "op12_conversations": CONVERSATIONS, "op13_periodic": PERIODIC}
