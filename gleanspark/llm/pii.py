@@ -141,7 +141,7 @@ def step_of(value: Column, *edges: int) -> Column:
 
 
 def features(text: Column, span: Column) -> dict[str, Column]:
-    """Format and context of a span; 58,320 different rows at most."""
+    """Format and context of a span; 69,120 different rows at most."""
     hit = span["hit"]
     count = lambda letters: F.length(F.regexp_replace(hit, f"[^{letters}]", ""))
     around = lambda c: F.when(c.rlike("[A-Za-z]"), 1).when(c.rlike(r"[^\s]"), 2).otherwise(0)
