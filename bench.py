@@ -23,17 +23,23 @@ HEADLINE = (
     "novelty_by_blocks",
     "nearest_real",
     "nearest_real_by_blocks",
+    "novelty_by_pivots",
+    "nearest_real_by_pivots",
     "nb_model",
     "nb_probabilities",
     "nb_probabilities_shuffled",
     "macro_f1",
     "score_candidates",
+    "lr_model",
     "regime_baselines",
     "policy_state",
     "policy_state_running",
     "ucb_replay",
     "thompson_replay",
     "replay_open_batch",
+    "linear_ucb_replay",
+    "thompson_long_log",
+    "replay_many_runs",
     "accept_capped",
     "closed_loop",
 )
