@@ -147,6 +147,18 @@ def test_quality_without_labels_is_undecided(docs, spark):
     assert len(found) == len(DOCS) and {r.score for r in found} == {0.5}
 
 
+def test_quality_of_no_texts_and_of_labels_that_contradict(spark, none):
+    from pyspark.sql import functions as F
+
+    both = spark.createDataFrame([(i, q) for i in range(40) for q in (0, 1)] * 2 + [(None, 1), (7, None), (999, 0)], "doc_id bigint, quality int")
+    assert quality.quality(none, both, F.lit(False)).count() == 0
+    texts = [(i, prose(i, 30)) for i in range(40)] + [(3, prose(3, 30)), (None, "x")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = quality.quality(df, both, F.lit(False)).collect()
+    assert len(found) == 42 and all(abs(r.score - 0.5) < 1e-6 for r in found)
+    assert len({r.score for r in found if r.doc_id == 3}) == 1
+
+
 def test_flat_trees_equal_a_walk():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 20)).astype(np.float32)
@@ -445,6 +457,32 @@ def test_languages_and_mixtures(spark, docs, none):
     assert language.with_language(none, training).count() == 0
 
 
+def test_languages_of_repeated_rows_and_of_texts_in_several_chunks(spark, monkeypatch):
+    sounds = {"aa": "bdg", "bb": "ptk"}
+    rng = np.random.default_rng(8)
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(list(sounds[lang] + "aeiou"), 6)) for _ in range(n))
+
+    pieces = [text(x, 3000) for x in sounds]
+    long = " ".join([pieces[0]] * 20 + [pieces[1]] * 60)
+    assert len(long) > language.CHUNK
+    whole = language.trigrams(long)
+    monkeypatch.setattr(language, "CHUNK", 4099)
+    cut = language.trigrams(long)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, cut))
+    raw = f" {long} ".encode()
+    assert whole[1].sum() == len(raw) - 2
+    monkeypatch.undo()
+    training = spark.createDataFrame([(p, x) for p, x in zip(pieces, sounds)] * 3, "text string, lang string")
+    df = spark.createDataFrame([(1, long), (1, long), (2, pieces[0]), (2, pieces[0])], "doc_id bigint, text string")
+    found = language.with_language(df, training).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in found) == [(1, "bb")] * 2 + [(2, "aa")] * 2
+    # Three of four words are of the second language, which a reader of the first chunk would miss.
+    assert {round(r.score, 1) for r in found if r.doc_id == 1} <= {0.7, 0.8}
+    assert len({(r.doc_id, r.score) for r in found}) == 2
+
+
 def test_short_texts_have_a_language(spark):
     sounds = {"aa": "bdg", "bb": "ptk", "cc": "lrm"}
     rng = np.random.default_rng(5)
@@ -570,6 +608,23 @@ def test_base_scores_equal_counting(docs):
     lm.HEAD_WORDS = 100_000
 
 
+def test_a_long_text_is_scored_whole(spark):
+    """Every word counts, repeated rows agree up to rounding, and more text means less probability."""
+    from pyspark.sql import functions as F
+
+    text = prose(81, 20_000)
+    rows = [(i, prose(i, 40)) for i in range(1, 40)] + [(40, text), (40, text), (50, text + " " + prose(82, 500))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = lm.log_probabilities(df, F.col("doc") >= 40).collect()
+    assert len(found) == len(rows)
+    one, two = [r for r in found if r.doc_id == 40]
+    longer, = [r for r in found if r.doc_id == 50]
+    assert one[:-1] == two[:-1] and one.n_tokens == 20_001 and longer.n_tokens == 20_501
+    # Windows are scored in batches of single precision: equal rows agree up to rounding.
+    assert math.isclose(one.score, two.score, rel_tol=1e-7)
+    assert longer.score < one.score < 0 and longer.base_score < one.base_score < 0
+
+
 def test_no_texts_no_scores(none):
     from pyspark.sql import functions as F
 
