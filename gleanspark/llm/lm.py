@@ -4,9 +4,11 @@
 table of bounded size; the other words of a text, none of which is frequent, are joined with the
 counts.
 
-*Attention.* Texts become subword ids of a public tokenizer. The ids are dealt into ``UNITS`` units
-of about equal mass by their frequency; one layer of causal self-attention predicts the next unit
-from the units before, and the id within its unit has its share of the training counts. Every
+*Attention.* Texts become subword ids of a public tokenizer, once; the ids are written beside the
+texts. One layer of causal self-attention reads ids, each with a vector of its own, and predicts the
+next id. The ids are numbered by falling frequency and cut into groups: the probability of an id
+is that of its group times its share in the group, both softmaxes over what stands before, so that
+a step works on some hundred logits and not on all ids; the product sums to one over all ids. Every
 training text takes part once, in one of ``ROUNDS`` rounds chosen by a hash: every partition takes
 Adam steps on its windows, and the weights are averaged by window counts after each round. Long texts
 are scored in windows that overlap, and every id counts in one window only.
@@ -41,13 +43,18 @@ HELD_WORDS = 300_000
 REMEMBERED = 200_000
 HELD_TEXTS = 500
 
-UNITS = 96
+# Groups of ids for each square root of their number; under Zipf's law the least work.
+GROUPS = 0.6
 WIDTH = 16
 WINDOW = 32
 CONTEXT = 8
-BATCH = 256
+BATCH = 512
 # Above any score of a trained model, below what float32 can raise e to.
 MOST_LOGIT = 60
+# Weights that Adam changes at a time, and that travel in one row.
+PART = 1 << 16
+# Ids a task learns from in a round, at the least, where there are more than cores do at once.
+TASK_IDS = 5_000_000
 ROUNDS = 3
 RATE = 0.01
 SEED = 42
@@ -79,6 +86,7 @@ class Subwords:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("lm", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
         self.end = max(merges.values()) + 1
+        self.kind = np.min_scalar_type(self.end)
         self.packed_end = array("i", [self.end]).tobytes()
         self.packed = Packed(self.encoding)
 
@@ -87,16 +95,35 @@ class Subwords:
         return np.frombuffer(b"".join(each) + self.packed_end, dtype=np.intc)
 
 
-def counts(docs: DataFrame, ranks) -> DataFrame:
-    """(word, id, n): how often each word (id NULL) and each subword id (word NULL) occurs.
+def tokenised(docs: DataFrame, held_out: Column, ranks) -> DataFrame:
+    """``doc, text, held, turn, ids``, written: the ids packed as the smallest integers that hold them.
+
+    ``turn`` is the round a text trains in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = Subwords(ranks.value)
+        for batch in batches:
+            for part in slices(batch):
+                packed = [subwords.ids(words_of(t)).astype(subwords.kind).tobytes() for t in utf8(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary())], [*part.schema.names, "ids"])
+
+    turn = F.pmod(F.xxhash64("doc", "text"), F.lit(ROUNDS)).cast("int")
+    rows = docs.select("doc", "text", held_out.alias("held"), turn.alias("turn"))
+    kinds = ", ".join(f"`{n}` {kind}" for n, kind in rows.dtypes)
+    return materialize(rows.mapInArrow(run, f"{kinds}, ids binary"), "lm-ids")
+
+
+def counts(docs: DataFrame, end: int) -> DataFrame:
+    """(word, id, n) of ``tokenised`` texts: how often each word (id NULL) and each id (word NULL) occurs.
 
     The end of a text counts as the word NULL with the id -1.
     """
+    kind = np.min_scalar_type(end)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(ranks.value)
         seen: Counter = Counter()
-        ids, texts = np.zeros(subwords.end + 1, dtype=np.int64), 0
+        ids, texts = np.zeros(end + 1, dtype=np.int64), 0
 
         def told():
             yield pa.RecordBatch.from_pydict({
@@ -106,11 +133,10 @@ def counts(docs: DataFrame, ranks) -> DataFrame:
             seen.clear()
 
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                words = words_of(text)
-                seen.update(words)
-                found = subwords.ids(words)
-                ids += np.bincount(found, minlength=len(ids))
+            for text, packed in zip(utf8(batch.column("text")), batch.column("ids")):
+                seen.update(words_of(text))
+                # A short text would cost a pass over all ids.
+                np.add.at(ids, np.frombuffer(packed.as_buffer(), dtype=kind), 1)
                 texts += 1
                 if len(seen) > HELD_WORDS:
                     yield from told()
@@ -121,18 +147,37 @@ def counts(docs: DataFrame, ranks) -> DataFrame:
             "id": pa.array(np.append(used, -1), pa.int32()), "n": pa.array(np.append(ids[used], texts), pa.int64()),
         })
 
-    told = docs.select("text").mapInArrow(count, "word string, id int, n bigint")
+    told = docs.select("text", "ids").mapInArrow(count, "word string, id int, n bigint")
     return told.groupBy("word", "id").agg(F.sum("n").alias("n"))
 
 
+def groups(units: int) -> np.ndarray:
+    """Where the groups of ids begin, and the end: each a little longer than the one before."""
+    number = max(1, round(GROUPS * units**0.5))
+    return np.unique(np.round((np.arange(number + 1) / number) ** 2 * units).astype(int))
+
+
+def shares(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at the chosen column of each row; ``z`` becomes the softmax."""
+    z -= z.max(axis=1, keepdims=True)
+    found = z[np.arange(len(z)), chosen]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], dtype=z.dtype)
+    z /= total[:, None]
+    return found - np.log(total)
+
+
 class Attention:
-    """One layer of causal self-attention over units, with its gradients."""
+    """One layer of causal self-attention over ids by falling frequency, with its gradients."""
 
     def __init__(self, weights: np.ndarray, units: int):
         self.units, d = units, WIDTH
+        self.bounds = groups(units)
+        sizes = np.diff(self.bounds)
+        self.group = np.repeat(np.arange(len(sizes)), sizes)
         shapes = {
             "embed": (units + 1, d), "place": (WINDOW, d), "query": (d, d), "key": (d, d),
-            "value": (d, d), "out": (d, units), "bias": (units,),
+            "value": (d, d), "near": (len(sizes), d), "out": (units, d), "near_bias": (len(sizes),), "bias": (units,),
         }
         self.flat, at = weights, 0
         for name, shape in shapes.items():
@@ -143,11 +188,13 @@ class Attention:
 
     @staticmethod
     def fresh(share: np.ndarray) -> np.ndarray:
-        """Starting weights: small random numbers, and the logarithms of the units' shares."""
-        units = len(share)
-        size = (units + 1 + WINDOW) * WIDTH + 3 * WIDTH**2 + WIDTH * units
+        """Starting weights: small random numbers, and the logarithms of the groups' and ids' shares."""
+        units, bounds = len(share), groups(len(share))
+        of_group = np.add.reduceat(share, bounds[:-1])
+        size = (units + 1 + WINDOW + len(of_group) + units) * WIDTH + 3 * WIDTH**2
         start = np.random.default_rng(SEED).normal(0, WIDTH**-0.5 / 2, size)
-        return np.append(start, np.log(share)).astype(np.float32)
+        within = share / np.repeat(of_group, np.diff(bounds))
+        return np.concatenate([start, np.log(of_group), np.log(within)]).astype(np.float32)
 
     def log_probabilities(self, units: np.ndarray, nexts: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """Of the nexts that count, row by row; as :meth:`forward`, with fewer passes.
@@ -157,7 +204,8 @@ class Attention:
         (b, t), d, one = units.shape, WIDTH, np.float32(1)
         scale = np.float32(WIDTH**-0.5)
         mix = np.hstack([np.eye(d, dtype=np.float32), self.query * scale, self.key, self.value])
-        x = (self.embed @ mix).take(units.ravel(), axis=0).reshape(b, t, 4 * d)
+        met, at = np.unique(units, return_inverse=True)
+        x = (self.embed[met] @ mix).take(at.ravel(), axis=0).reshape(b, t, 4 * d)
         x += self.place[:t] @ mix
         a = x[:, :, d : 2 * d] @ x[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
         np.exp(np.minimum(a, MOST_LOGIT, out=a), out=a)
@@ -166,14 +214,10 @@ class Attention:
         seen /= (a.reshape(-1, t) @ np.full(t, one)).reshape(b, t, 1)
         seen += x[:, :, :d]
         rows = np.flatnonzero(counted)
-        z = seen.reshape(-1, d).take(rows, axis=0) @ self.out
-        z += self.bias
-        np.minimum(z, MOST_LOGIT, out=z)
-        chosen = z.ravel().take(np.arange(len(z)) * self.units + nexts.ravel().take(rows))
-        return chosen - np.log(np.exp(z, out=z) @ np.full(self.units, one))
+        return self.predicted(seen.reshape(-1, d).take(rows, axis=0), nexts.ravel().take(rows))
 
-    def forward(self, units: np.ndarray):
-        """Log-probabilities of the next unit at each place, and what the gradients need."""
+    def states(self, units: np.ndarray):
+        """What each place knows of the ids up to it, and what the gradients need."""
         t = units.shape[1]
         x = self.embed[units] + self.place[:t]
         q, k, v = x @ self.query, x @ self.key, x @ self.value
@@ -183,24 +227,53 @@ class Attention:
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
-        h = x + a @ v
-        z = h @ self.out
-        z += self.bias
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z, (x, q, k, v, a, h)
+        return x + a @ v, (x, q, k, v, a)
+
+    def predicted(self, h: np.ndarray, nexts: np.ndarray, grad: Attention | None = None, dh: np.ndarray | None = None):
+        """Log-probabilities of the nexts after the states ``h``: of the group, and within it.
+
+        With ``grad``, the gradients of their negative mean are put there and into ``dh``.
+        """
+        group = self.group[nexts]
+        z = h @ self.near.T
+        z += self.near_bias
+        found = shares(z, group)
+        if grad is not None:
+            z[np.arange(len(z)), group] -= 1
+            z /= len(h)
+            grad.near[:], grad.near_bias[:], dh[:] = z.T @ h, z.sum(axis=0), z @ self.near
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        begins = np.flatnonzero(np.diff(group[order], prepend=-1))
+        for rows in np.split(order, begins[1:]):
+            if not len(rows):
+                continue
+            low, high = self.bounds[group[rows[0]]], self.bounds[group[rows[0]] + 1]
+            states, chosen = h[rows], nexts[rows] - low
+            z = states @ self.out[low:high].T
+            z += self.bias[low:high]
+            found[rows] += shares(z, chosen)
+            if grad is not None:
+                z[np.arange(len(z)), chosen] -= 1
+                z /= len(h)
+                grad.out[low:high], grad.bias[low:high] = z.T @ states, z.sum(axis=0)
+                dh[rows] += z @ self.out[low:high]
+        return found
+
+    def forward(self, units: np.ndarray):
+        """Log-probabilities of every next id at each place, and what the gradients need."""
+        h, kept = self.states(units)
+        rows = h.reshape(-1, WIDTH)
+        each = [self.predicted(rows, np.full(len(rows), unit)) for unit in range(self.units)]
+        return np.stack(each, axis=1).reshape(*units.shape, self.units), kept
 
     def gradient(self, units: np.ndarray, nexts: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        z, (x, q, k, v, a, h) = self.forward(units)
+        h, (x, q, k, v, a) = self.states(units)
         grad = Attention(np.zeros_like(self.flat), self.units)
-        dz = np.exp(z)
-        b, t = np.indices(nexts.shape)
-        dz[b, t, nexts] -= 1
-        dz *= (counted / counted.sum())[:, :, None].astype(np.float32)
+        rows = np.flatnonzero(counted)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        grad.bias[:] = flat(dz).sum(axis=0)
-        grad.out[:] = flat(h).T @ flat(dz)
-        dh = dz @ self.out.T
+        dh, part = np.zeros_like(h), np.empty((len(rows), WIDTH), dtype=h.dtype)
+        self.predicted(flat(h)[rows], nexts.ravel()[rows], grad, part)
+        flat(dh)[rows] = part
         da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
         ds = a * (da - (a * da).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
@@ -208,19 +281,24 @@ class Attention:
         for name, d in (("query", dq), ("key", dk), ("value", dv)):
             getattr(grad, name)[:] = flat(x).T @ flat(d)
         grad.place[: x.shape[1]] = dx.sum(axis=0)
-        np.add.at(grad.embed, units, dx)
+        order = np.argsort(units.ravel(), kind="stable")
+        met, first = np.unique(units.ravel()[order], return_index=True)
+        grad.embed[met] = np.add.reduceat(flat(dx)[order], first)
         return grad.flat
 
 
 def adam(model: Attention, batches: Iterator[tuple]) -> int:
     """Steps of Adam over the batches, in place; gives the number of windows."""
-    mean, square, steps, windows = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0
+    means, squares, steps, windows = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0
     for batch in batches:
-        g = model.gradient(*batch)
+        gradient = model.gradient(*batch)
         steps, windows = steps + 1, windows + len(batch[0])
-        mean += 0.1 * (g - mean)
-        square += 0.01 * (g * g - square)
-        model.flat -= RATE * (mean / (1 - 0.9**steps)) / (np.sqrt(square / (1 - 0.99**steps)) + 1e-8)
+        # In parts that stay in the processor's cache.
+        for at in range(0, len(gradient), PART):
+            g, mean, square = (m[at : at + PART] for m in (gradient, means, squares))
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            model.flat[at : at + PART] -= RATE * (mean / (1 - 0.9**steps)) / (np.sqrt(square / (1 - 0.99**steps)) + 1e-8)
     return windows
 
 
@@ -258,56 +336,69 @@ def cut(units: list[np.ndarray], start: int) -> Iterator[tuple]:
         yield np.where(within, before[place], start), flat[place], counted, place
 
 
-def unit_table(id_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit of every id, log10 share of every id in its unit, and every unit's share."""
+def unit_table(id_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every id by falling frequency, and the shares of the ids in that order."""
     smooth = id_counts + ID_SMOOTHING
     order = np.argsort(-smooth, kind="stable")
-    upto = np.cumsum(smooth[order])
     unit = np.empty(len(smooth), dtype=np.int32)
-    unit[order] = np.minimum((upto - smooth[order] / 2) / upto[-1] * UNITS, UNITS - 1).astype(np.int32)
-    # Frequent ids skip units; number those in use.
-    _, unit = np.unique(unit, return_inverse=True)
-    mass = np.bincount(unit, smooth)
-    return unit.astype(np.int32), np.log10(smooth / mass[unit]), mass / mass.sum()
+    unit[order] = np.arange(len(smooth), dtype=np.int32)
+    return unit, smooth[order] / smooth.sum()
 
 
-def averaged(texts: DataFrame, ranks, unit, weights: np.ndarray, units: int) -> np.ndarray | None:
+def averaged(texts: DataFrame, unit, weights: np.ndarray, units: int) -> np.ndarray | None:
     """One round: steps in every partition from ``weights``, then the mean by windows; None without texts."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
+    schema = "part int, n bigint, weights binary"
+    parts = -(-len(weights) // PART)
+
+    def rows(n: int, of: dict[int, np.ndarray]) -> pa.RecordBatch:
+        values = [v.astype(np.float32).tobytes() for v in of.values()]
+        arrays = [pa.array(list(of), pa.int32()), pa.array([n] * len(of), pa.int64()), pa.array(values, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["part", "n", "weights"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, subwords = Attention(shared.value.copy(), units), Subwords(ranks.value)
+        model = Attention(shared.value.copy(), units)
+        kind = np.min_scalar_type(len(unit.value) - 1)
 
         def steps():
-            for batch in slices(batches):
-                found = [unit.value[subwords.ids(words_of(t))] for t in utf8(batch.column("text"))]
-                for inputs, nexts, counted, _ in cut(found, units):
-                    yield inputs, nexts, counted
+            for batch in batches:
+                for part in slices(batch):
+                    found = [unit.value[np.frombuffer(i.as_buffer(), dtype=kind)] for i in part.column("ids")]
+                    for inputs, nexts, counted, _ in cut(found, units):
+                        yield inputs, nexts, counted
 
         n = adam(model, steps())
         if n:
-            yield pa.RecordBatch.from_pydict({
-                "n": pa.array([n], pa.int64()), "weights": pa.array([model.flat.tolist()], pa.list_(pa.float32())),
-            })
+            yield rows(n, {k: model.flat[k * PART : (k + 1) * PART] for k in range(parts)})
 
-    told = texts.select("text").mapInArrow(train, "n bigint, weights array<float>")
-    each = told.select("n", F.posexplode("weights").alias("i", "w"))
-    mean = each.groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).toArrow()
-    if not mean.num_rows:
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums = Counter(), {}
+        for batch in batches:
+            for part, n, values in zip(*(batch.column(c) for c in ("part", "n", "weights"))):
+                k, n = part.as_py(), n.as_py()
+                total[k] += n
+                sums[k] = sums.get(k, 0.0) + n * np.frombuffer(values.as_buffer(), dtype=np.float32).astype(np.float64)
+        yield rows(0, {k: v / total[k] for k, v in sums.items()})
+
+    told = texts.select("ids").mapInArrow(train, schema).repartition(parts, "part").mapInArrow(mean, schema).collect()
+    if not told:
         return None
-    new = np.empty_like(weights)
-    new[mean["i"].to_numpy()] = mean["w"].to_numpy()
-    return new
+    return np.concatenate([np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(told, key=lambda r: r["part"])])
+
 
+def fitted(training: DataFrame, unit: np.ndarray, share: np.ndarray, ids: int) -> np.ndarray | None:
+    """Weights after one pass over all texts, a part of them in each round; None without texts.
 
-def fitted(training: DataFrame, ranks, unit: np.ndarray, share: np.ndarray) -> np.ndarray | None:
-    """Weights after one pass over all texts, a part of them in each round; None without texts."""
-    shared = training.sparkSession.sparkContext.broadcast(unit)
-    turn = F.pmod(F.xxhash64("doc", "text"), F.lit(ROUNDS))
+    ``ids`` are the ids of all texts. A task hands on all weights, so a task gets many ids, but no core
+    stays without one.
+    """
+    context = training.sparkSession.sparkContext
+    shared, cores = context.broadcast(unit), context.defaultParallelism
+    tasks = cores * -(-ids // (cores * ROUNDS * TASK_IDS))
     weights = None
     for k in range(ROUNDS):
         start = Attention.fresh(share) if weights is None else weights
-        found = averaged(training.filter(turn == k), ranks, shared, start, len(share))
+        found = averaged(training.filter(F.col("turn") == k).coalesce(max(1, tasks)), shared, start, len(share))
         weights = weights if found is None else found
     return weights
 
@@ -328,11 +419,10 @@ def head_count(words: DataFrame, most: int) -> int:
     return int(np.ceil(2 ** (least / 16)))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of ``HELD_TEXTS`` texts, which bounds what a task holds at once."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, HELD_TEXTS):
-            yield batch.slice(start, HELD_TEXTS)
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ``HELD_TEXTS`` texts, which bounds what a task holds at once."""
+    for start in range(0, batch.num_rows, HELD_TEXTS):
+        yield batch.slice(start, HELD_TEXTS)
 
 
 SCORED = (
@@ -341,8 +431,8 @@ SCORED = (
 )
 
 
-def scored(docs: DataFrame, ranks, head: dict, floor: float, model: dict) -> DataFrame:
-    """A row per text, and one per text and word that is not in ``head``.
+def scored(docs: DataFrame, head: dict, floor: float, model: dict) -> DataFrame:
+    """A row per text of ``tokenised`` ones, and one per text and word that is not in ``head``.
 
     ``key`` numbers the texts; the two kinds of row come from one run of a task, so they fit.
     """
@@ -353,12 +443,13 @@ def scored(docs: DataFrame, ranks, head: dict, floor: float, model: dict) -> Dat
 
         head, floor, model = shared.value
         end = head[None]
-        subwords = Subwords(ranks.value)
-        unit, inside, units = model["unit"], model["inside"], model["units"]
+        unit, units = model["unit"], model["units"]
+        kind = np.min_scalar_type(len(unit) - 1)
         attention = Attention(model["weights"], units)
         key = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
-            texts, ids, word_keys, names, times = [], [], [], [], []
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts, word_keys, names, times = [], [], [], []
+            ids = [unit[np.frombuffer(i.as_buffer(), dtype=kind)] for i in batch.column("ids")]
             for doc, text in zip(batch.column("doc").to_pylist(), utf8(batch.column("text"))):
                 key += 1
                 words = words_of(text)
@@ -370,13 +461,10 @@ def scored(docs: DataFrame, ranks, head: dict, floor: float, model: dict) -> Dat
                 word_keys += [key] * len(tail)
                 names += tail
                 times += tail.values()
-                ids.append(subwords.ids(words))
             totals = np.zeros(len(ids))
             if ids:
-                flat = np.concatenate(ids)
                 owner = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-                totals += np.bincount(owner, inside[flat], len(ids))
-                for inputs, nexts, counted, place in cut([unit[i] for i in ids], units):
+                for inputs, nexts, counted, place in cut(ids, units):
                     value = attention.log_probabilities(inputs, nexts, counted) / np.log(10)
                     totals += np.bincount(owner[place[counted]], value, len(ids))
             columns = list(zip(*texts)) if texts else [[]] * 5
@@ -388,7 +476,7 @@ def scored(docs: DataFrame, ranks, head: dict, floor: float, model: dict) -> Dat
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     wanted = docs.sparkSession.createDataFrame([], SCORED).schema
-    return docs.mapInArrow(run, wanted)
+    return docs.select("doc", "text", "ids").mapInArrow(run, wanted)
 
 
 def log_probabilities(
@@ -404,15 +492,17 @@ def log_probabilities(
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    training = plain.filter(~held_out)
     with open(tokenizer, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
-    counted = materialize(counts(training, ranks), "lm-counts")
+    end = Subwords(ranks.value).end
+    texts = tokenised(plain, held_out, ranks)
+    training = texts.filter(~F.col("held"))
+    counted = materialize(counts(training, end), "lm-counts")
 
     words = counted.filter("id IS NULL").select("word", "n")
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     by_id = counted.filter("id IS NOT NULL").select("id", "n").toArrow()
-    id_counts = np.zeros(Subwords(ranks.value).end + 1)
+    id_counts = np.zeros(end + 1)
     found, n = by_id["id"].to_numpy(), by_id["n"].to_numpy()
     id_counts[found[found >= 0]] = n[found >= 0]
     ends = int(n[found < 0].sum())
@@ -422,13 +512,13 @@ def log_probabilities(
 
     top = words.filter(F.col("n") >= head_count(words, HEAD_WORDS)).collect()
     head = {r["word"].encode(): log_of(r["n"]) for r in top} | {None: log_of(ends)}
-    unit, inside, share = unit_table(id_counts)
-    weights = fitted(training, ranks, unit, share)
+    unit, share = unit_table(id_counts)
+    weights = fitted(training, unit, share, int(id_counts.sum()))
     model = {
-        "unit": unit, "inside": inside, "units": len(share),
+        "unit": unit, "units": len(share),
         "weights": Attention.fresh(share) if weights is None else weights,
     }
-    rows = materialize(scored(plain, ranks, head, log_of(0), model), "lm-scored")
+    rows = materialize(scored(texts, head, log_of(0), model), "lm-scored")
 
     tail = rows.filter("word IS NOT NULL").select("key", "word", "times")
     c = F.coalesce("n", F.lit(0))
@@ -436,8 +526,8 @@ def log_probabilities(
         F.sum(F.col("times") * F.log10((c + SMOOTHING) / F.lit(below))).alias("more"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
     )
-    texts = rows.filter("word IS NULL").drop("word", "times")
-    return texts.join(met, "key", "left").select(
+    whole = rows.filter("word IS NULL").drop("word", "times")
+    return whole.join(met, "key", "left").select(
         F.col("doc").alias(id_col), held_out.alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),

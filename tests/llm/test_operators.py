@@ -676,3 +676,52 @@ def test_training_lowers_the_loss():
     before = loss()
     lm.adam(model, iter([b[:3] for _ in range(60) for b in lm.cut([pattern], 9)]))
     assert loss() < before / 3
+
+
+def test_every_subword_id_is_input_and_target(spark):
+    """Words of equal frequency are told apart by what stands before them."""
+    from pyspark.sql import functions as F
+
+    counts = np.random.default_rng(1).integers(0, 3, 5_000).astype(float)
+    unit, share = lm.unit_table(counts)
+    assert sorted(unit) == list(range(5_000)) and share.sum() == pytest.approx(1)
+    assert list(share) == sorted(share, reverse=True)
+    model = lm.Attention(lm.Attention.fresh(share), 5_000)
+    # Before training, every id has its share.
+    nexts = np.arange(5_000)
+    found = model.predicted(np.zeros((5_000, lm.WIDTH), dtype=np.float32), nexts)
+    assert np.allclose(np.exp(found), share, rtol=1e-3)
+    pairs = [("red", "apple"), ("blue", "river")] * 30
+    rows = [(i, " ".join([*pairs[i]] * 5_000)) for i in range(60)]
+    rows += [(60, " ".join(["red", "apple"] * 20)), (61, " ".join(["red", "river"] * 20))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = {r.doc_id: r for r in lm.log_probabilities(df, F.col("doc") >= 60).collect()}
+    assert found[60].base_score == pytest.approx(found[61].base_score)
+    assert found[60].score > found[61].score + 1
+
+
+def test_gradients_agree_with_differences():
+    draw = np.random.default_rng(3)
+    weights = lm.Attention.fresh(np.full(30, 1 / 30)).astype(np.float64)
+    weights += draw.normal(0, 0.3, len(weights))
+    inputs, nexts = draw.integers(0, 31, (3, 9)), draw.integers(0, 30, (3, 9))
+    counted = draw.random((3, 9)) < 0.7
+    loss = lambda w: -lm.Attention(w, 30).log_probabilities(inputs, nexts, counted).mean()
+    found = lm.Attention(weights, 30).gradient(inputs, nexts, counted)
+    for at in draw.integers(0, len(weights), 80):
+        step = np.zeros_like(weights)
+        step[at] = 1e-5
+        assert found[at] == pytest.approx((loss(weights + step) - loss(weights - step)) / 2e-5, abs=1e-5)
+
+
+def test_weights_are_averaged_by_windows(spark, monkeypatch):
+    """Every part of the weights is the mean over the tasks, also where the weights fill several parts."""
+    monkeypatch.setattr(lm, "PART", 1_000)
+    unit, share = np.arange(100, dtype=np.int32), np.full(100, 0.01)
+    ids = np.arange(100, dtype=np.uint8)
+    df = spark.createDataFrame([(bytearray(ids.tobytes()),)] * 4, "ids binary").repartition(2)
+    start = lm.Attention.fresh(share)
+    found = lm.averaged(df, spark.sparkContext.broadcast(unit), start, 100)
+    assert found.shape == start.shape and np.isfinite(found).all()
+    alone = lm.averaged(df.coalesce(1).limit(2), spark.sparkContext.broadcast(unit), start, 100)
+    assert np.allclose(found, alone, atol=1e-5)
