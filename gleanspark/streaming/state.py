@@ -1,23 +1,19 @@
 """Policy state of many runs, kept up to date while reward rows arrive.
 
-State is kept per run and block of ``SPAN`` rounds: a bit for every round seen and the block's sums. So
-a row that arrives late is counted when it comes, a row that arrives again is not, the state of a
-block has a fixed size, and a run that holds most of the rows is spread over as many places as it has
-blocks. What a micro-batch changed is written to a folder of its own; the state of a run is the sum of
-the last words on its blocks.
+The state store knows every round of every run that was seen, a few bytes for each, spread by run
+and round. So a row that arrives late is counted when it comes, a row that arrives again is not, and a run that
+holds most of the rows is no single task's work. What a micro-batch adds is written to a folder of its
+own as sums by run and block of ``SPAN`` rounds; the state of a run is the sum over all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gleanspark.operators.rewards import ARMS, arm_states
+from gleanspark.operators.rewards import ARMS, all_tallies, arm_states
 from gleanspark.storage import write_table
 
 SPAN = 4096
@@ -25,58 +21,26 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 SUMS = tuple(f"{name}_{arm}" for arm in ARMS for name in ("_n", "_sum", "_won"))
-KINDS = {"_n": "bigint", "_sum": "double", "_won": "bigint"}
-SUM_SCHEMA = ", ".join(f"{s} {KINDS[s[:-2]]}" for s in SUMS)
-
-
-class BlockSums(StatefulProcessor):
-    """The sums of one run's block of rounds; a round counts once, as it first came."""
-
-    def __init__(self, keys: Sequence[str]):
-        self.keys = list(keys)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("block", f"seen binary, {SUM_SCHEMA}")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            seen, *sums = self.state.get()
-            seen = np.frombuffer(seen, dtype=np.uint8).copy()
-        else:
-            seen, sums = np.zeros(SPAN // 8, dtype=np.uint8), [0, 0.0, 0] * len(ARMS)
-        sums = list(sums)
-        for frame in rows:
-            frame = frame.drop_duplicates("place")
-            place = frame["place"].to_numpy()
-            frame = frame[(seen[place >> 3] >> (place & 7)) & 1 == 0]
-            place = frame["place"].to_numpy()
-            np.bitwise_or.at(seen, place >> 3, (1 << (place & 7)).astype(np.uint8))
-            for arm in ARMS:
-                reward = frame.loc[frame["arm"] == arm, "reward"]
-                sums[3 * arm] += len(reward)
-                sums[3 * arm + 1] += float(reward.sum())
-                sums[3 * arm + 2] += int((reward > 0).sum())
-        self.state.update((seen.tobytes(), *sums))
-        yield pd.DataFrame([[*key, *sums]], columns=[*self.keys, "block", *SUMS])
-
-    def close(self) -> None:
-        pass
-
-
-def block_sums(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The blocks that rows of the stream ``log(*keys, iteration, arm, reward)`` change, with their sums."""
+
+
+def first_seen(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the stream ``log(*keys, iteration, arm, reward)`` whose round was not seen before."""
     wrong = F.raise_error(F.lit("a reward needs an iteration from 0 on and an arm")).cast("bigint")
     known = (F.col("iteration") >= 0) & F.col("arm").isin(*ARMS)
     number = F.when(known, F.col("iteration").cast("bigint")).otherwise(wrong)
-    rows = log.withColumn("iteration", number).select(
-        *keys, F.floor(F.col("iteration") / SPAN).alias("block"), (F.col("iteration") % SPAN).alias("place"),
-        "arm", F.col("reward").cast("double").alias("reward"),
-    )
-    kinds = dict(log.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "block bigint", SUM_SCHEMA])
-    return rows.groupBy(*keys, "block").transformWithStateInPandas(
-        statefulProcessor=BlockSums(keys), outputStructType=schema, outputMode="Update", timeMode="None"
+    rows = log.select(
+        *keys, number.alias("iteration"), "arm",
+        # A reward that is not a number counts as a pull without a reward.
+        F.nanvl(F.col("reward").cast("double"), F.lit(None)).alias("reward"),
     )
+    return rows.dropDuplicates([*keys, "iteration"])
+
+
+def block_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums of ``rows(*keys, iteration, arm, reward)`` by run and block of rounds."""
+    block = F.floor(F.col("iteration") / SPAN).alias("block")
+    sums = [F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in all_tallies().items()]
+    return rows.groupBy(*keys, block).agg(*sums)
 
 
 def fold_arrivals(log: DataFrame, keys: Sequence[str], folder: str) -> None:
@@ -90,8 +54,8 @@ def fold_arrivals(log: DataFrame, keys: Sequence[str], folder: str) -> None:
     spark.conf.set(STORE, ROCKS)
     try:
         query = (
-            block_sums(log, keys).writeStream.outputMode("update")
-            .foreachBatch(lambda df, n: write_table(df, f"{folder}/blocks/arrival={n}"))
+            first_seen(log, keys).writeStream.outputMode("append")
+            .foreachBatch(lambda df, n: write_table(block_sums(df, keys), f"{folder}/blocks/arrival={n}"))
             .option("checkpointLocation", f"{folder}/stream")
             .trigger(availableNow=True)
             .start()
@@ -104,6 +68,5 @@ def fold_arrivals(log: DataFrame, keys: Sequence[str], folder: str) -> None:
 def folded_state(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
     """``*keys`` and the state of each run after all that was folded into ``folder``."""
     blocks = spark.read.parquet(f"{folder}/blocks")
-    last = blocks.groupBy(*keys, "block").agg(F.max_by(F.struct(*SUMS), "arrival").alias("last"))
-    sums = last.groupBy(*keys).agg(*[F.sum(f"last.{s}").alias(s) for s in SUMS])
+    sums = blocks.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in SUMS])
     return sums.select(*keys, *arm_states())

@@ -60,3 +60,10 @@ def test_rows_without_a_round_are_refused(spark, tmp_path):
         spark.createDataFrame([row], SCHEMA).write.parquet(landing)
         with pytest.raises(Exception, match="needs an iteration"):
             fold_arrivals(stream(spark, landing), ["run"], str(tmp_path / f"folded{place}"))
+
+
+def test_no_python_runs_per_run(spark, tmp_path):
+    """Many runs of few rounds cost what their rows cost: the state is kept without a Python call per run."""
+    log = stream(spark, str(tmp_path))
+    plan = module.first_seen(log, ["run"])._jdf.queryExecution().logical().toString()
+    assert "Deduplicate" in plan and "Pandas" not in plan
