@@ -43,6 +43,8 @@ TARGET_SHARE = 0.3
 SAMPLE_ROWS = 300
 SPLIT_SIZES = {"train": 500, "val": 200, "test": 200}
 BATCH_ROWS = 50
+# Rows of a file that lands; a batch of a large table is many files.
+FILE_ROWS = 20_000
 PLACES = 6
 # Plain gradient steps, which SQL can follow; a round of the loop takes fewer.
 EPOCHS, LOOP_EPOCHS, STEP, PENALTY = 5, 3, 2.0, 0.01
@@ -675,7 +677,7 @@ def stream_loop(spark, sf_dir):
     task = language_task(spark, sf_dir)
     pool = candidate_part(task)
     config = settings(pool.count())
-    files = ceil(config.batch_size / 1_000_000)
+    files = ceil(config.batch_size / FILE_ROWS)
     landing, ordered = fresh_path(spark, "landing"), fresh_path(spark, "ordered")
     ordering.in_batches(pool, "cand_id", config.batch_size, SEED).write.partitionBy("batch_no").parquet(ordered)
     for batch_no in range(1, ROUNDS + 1):
