@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -14,25 +15,27 @@ from pyspark.sql import functions as F
 WORD_DIGITS = 7
 
 
-def word_buckets(tokens: Column, dim: int) -> Column:
-    """The bucket of each word: its hash modulo ``dim``."""
-    bits = lambda word: F.conv(F.substring(F.md5(word), 1, WORD_DIGITS), 16, 10).cast("bigint")
-    return F.transform(tokens, lambda w: F.pmod(bits(w), F.lit(dim)).cast("int"))
+def word_buckets(words: pa.Array, dim: int) -> np.ndarray:
+    """The bucket of each word: its hash modulo ``dim``. A word that comes often is hashed once."""
+    coded = words.cast(pa.large_binary()).dictionary_encode()
+    digests = b"".join(md5(w.as_py(), usedforsecurity=False).digest()[:4] for w in coded.dictionary)
+    bits = np.frombuffer(digests, dtype=">u4") >> (4 * (8 - WORD_DIGITS))
+    return (bits.astype(np.int64) % dim)[coded.indices.to_numpy()]
 
 
 def hashed_vector(tokens: Column, dim: int) -> Column:
     """Word counts per hash bucket as ``array<double>``."""
 
     @F.arrow_udf("array<double>")
-    def count_buckets(buckets: pa.Array) -> pa.Array:
-        rows = len(buckets)
-        sizes = np.diff(buckets.offsets.to_numpy())
-        places = np.repeat(np.arange(rows) * dim, sizes) + buckets.flatten().to_numpy()
+    def count_buckets(tokens: pa.Array) -> pa.Array:
+        rows = len(tokens)
+        sizes = np.diff(tokens.offsets.to_numpy())
+        places = np.repeat(np.arange(rows) * dim, sizes) + word_buckets(tokens.flatten(), dim)
         counts = np.bincount(places, minlength=rows * dim).astype("float64")
         offsets = np.arange(0, rows * dim + 1, dim, dtype="int32")
         return pa.ListArray.from_arrays(offsets, counts)
 
-    return count_buckets(word_buckets(tokens, dim))
+    return count_buckets(tokens)
 
 
 def embed_with(

@@ -171,3 +171,21 @@ def test_own_model_is_loaded_once_per_task(spark):
 
     rows = embed_with(spark.createDataFrame([("ab",), ("c",)], "text string").repartition(1), "text", load)
     assert sorted(r["embedding"][0] for r in rows.collect()) == [1.0, 2.0]
+
+
+def test_a_word_is_hashed_once_in_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from gleanspark.operators import embedding
+
+    hashed, real = [], embedding.md5
+
+    def counted(word, **options):
+        hashed.append(word)
+        return real(word, **options)
+
+    monkeypatch.setattr(embedding, "md5", counted)
+    found = embedding.word_buckets(pa.array(["one", "two", "one"] * 500), 16)
+    expected = {w: int(real(w.encode()).hexdigest()[:7], 16) % 16 for w in ("one", "two")}
+    assert list(found) == [expected[w] for w in ("one", "two", "one")] * 500
+    assert len(hashed) == 2
