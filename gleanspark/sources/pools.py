@@ -13,6 +13,8 @@ from gleanspark.storage import is_complete
 
 POOL_SCHEMA = "cand_id bigint, text string, label int"
 FORMATS = ("parquet", "json")
+# Texts a task holds as Python objects at once.
+HELD_ROWS = 100
 
 
 def read_pool_array(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -26,11 +28,12 @@ def write_pool_array(pool: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = "["
         for batch in batches:
-            lines = []
-            for row in batch.column(0).to_pylist():
-                lines.append(before + row)
-                before = ","
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+            for start in range(0, batch.num_rows, HELD_ROWS):
+                lines = []
+                for row in batch.column(0).slice(start, HELD_ROWS).to_pylist():
+                    lines.append(before + row)
+                    before = ","
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["value"])
 
     rows = pool.select(F.to_json(F.struct("cand_id", "text", "label")).alias("value"))
