@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import log
+from math import log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from gleanspark.functions.signals import first_argmax, softmax
 from gleanspark.storage import materialize
 
-# A model up to this size is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_BYTES = 64 << 20
-# Copies of each word of a large model, so that one frequent word spreads over many tasks.
+# Up to this size a model is sent to every executor, and of a larger one the most frequent words. It
+# bounds what each prediction collects on the driver, whatever the vocabulary.
+BROADCAST_BYTES = 8 << 20
+# A word with over one in so many occurrences would fill a task.
+HOT_WORDS = 1000
+# Copies of such a word where it is not sent out, so that it spreads over many tasks.
 SALTS = 64
 # Scores are compared at this many places, so a prediction does not hang on summing order.
 TIE_PLACES = 10
@@ -32,6 +35,8 @@ class BayesModel:
     word_counts: tuple[int, ...]
     vocabulary: int
     size_bytes: int
+    # Bytes of the words by step of frequency, most frequent first.
+    step_bytes: tuple[tuple[int, int], ...]
 
     @property
     def num_classes(self) -> int:
@@ -45,9 +50,20 @@ class BayesModel:
         total = sum(self.doc_counts) + self.num_classes
         return [log((n + 1) / total) for n in self.doc_counts]
 
-    def weights(self) -> DataFrame:
-        """Log likelihood of each known word in each class."""
-        return self.counts.filter("token IS NOT NULL").selectExpr(
+    def head_step(self, most_bytes: int) -> int:
+        """The least step of frequency whose words, with all more frequent ones, take ``most_bytes``."""
+        least, size = self.step_bytes[0][0] + 1 if self.step_bytes else 0, 0
+        for step, more in self.step_bytes:
+            size += more
+            if size > most_bytes:
+                break
+            least = step
+        return least
+
+    def weights(self, where: str = "true") -> DataFrame:
+        """Log likelihood of each known word in each class; ``where`` may name ``step``."""
+        step = frequency_step(self.num_classes)
+        return self.counts.filter("token IS NOT NULL").withColumn("step", step).filter(where).selectExpr(
             "token",
             *[
                 f"ln((n_{c} + 1) / {float(total + self.vocabulary)!r}D) AS w_{c}"
@@ -56,6 +72,11 @@ class BayesModel:
         )
 
 
+def frequency_step(num_classes: int) -> Column:
+    """Frequency of a word in sixteenths of a power of two, of which there are a few hundred."""
+    return F.expr(f"int(floor(log2({' + '.join(f'n_{c}' for c in range(num_classes))}) * 16))")
+
+
 def word_counts(docs: DataFrame, num_classes: int) -> DataFrame:
     """Counts per (word, class) of ``docs(label, tokens)``, plus the NULL row."""
     checked = (
@@ -79,23 +100,23 @@ def add_counts(*tables: DataFrame) -> DataFrame:
 
 
 def model_of(counts: DataFrame) -> BayesModel:
-    """Wrap a written count table; reads one row of totals."""
+    """Wrap a written count table; reads a row of totals for each step of frequency."""
     classes = sum(c.startswith("n_") for c in counts.columns)
-    row = counts.selectExpr(
-        "count(token) AS vocabulary",
-        f"coalesce(sum(octet_length(token) + {8 * classes}), 0) AS size_bytes",
-        *[
-            f"coalesce(sum(n_{c}) FILTER (WHERE token IS {is_word}), 0) AS {name}_{c}"
-            for name, is_word in (("words", "NOT NULL"), ("docs", "NULL"))
-            for c in range(classes)
-        ],
-    ).first()
+    step = F.when(F.col("token").isNotNull(), frequency_step(classes))
+    rows = counts.groupBy(step.alias("step")).agg(
+        F.count("token").alias("vocabulary"),
+        F.coalesce(F.sum(F.expr(f"octet_length(token) + {8 * classes}")), F.lit(0)).alias("size_bytes"),
+        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in range(classes)],
+    ).collect()
+    words = sorted((r for r in rows if r["step"] is not None), key=lambda r: -r["step"])
+    texts = [r for r in rows if r["step"] is None]
     return BayesModel(
         counts=counts,
-        doc_counts=tuple(row[f"docs_{c}"] for c in range(classes)),
-        word_counts=tuple(row[f"words_{c}"] for c in range(classes)),
-        vocabulary=row["vocabulary"],
-        size_bytes=row["size_bytes"],
+        doc_counts=tuple(sum(r[f"n_{c}"] for r in texts) for c in range(classes)),
+        word_counts=tuple(sum(r[f"n_{c}"] for r in words) for c in range(classes)),
+        vocabulary=sum(r["vocabulary"] for r in words),
+        size_bytes=sum(r["size_bytes"] for r in words),
+        step_bytes=tuple((r["step"], r["size_bytes"]) for r in words),
     )
 
 
@@ -107,15 +128,32 @@ def fit(docs: DataFrame, num_classes: int) -> BayesModel:
 def with_weights(
     words: DataFrame, id_col: str, model: BayesModel, broadcast_bytes: int, salts: int
 ) -> DataFrame:
-    """Join ``words(id, token, …)`` to the model; unknown words keep NULL weights."""
-    weights = model.weights()
+    """Join ``words(id, token, _place, …)`` to the model; unknown words keep NULL weights.
+
+    Of a large model the most frequent words, most of a text, are joined where they are. Only rare
+    words are shuffled: those the model knows come as rows of their own, with a ``_place`` that begins
+    no text.
+    """
     if model.size_bytes <= broadcast_bytes:
-        return words.join(F.broadcast(weights), "token", "left")
-    salt = F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
-    copies = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # Without the hint a model just over the limit could be broadcast after all, salts and all.
-    salted = words.withColumn("_salt", salt).join(copies.hint("merge"), ["token", "_salt"], "left")
-    return salted.drop("_salt")
+        return words.join(F.broadcast(model.weights()), "token", "left")
+    least = model.head_step(broadcast_bytes)
+    head = model.weights(f"step >= {least}")
+    tail = model.weights(f"step < {least}")
+    rare = words.select(id_col, "token").join(F.broadcast(head.select("token")), "token", "left_anti")
+    hot = int(log2(max(1, sum(model.word_counts) / HOT_WORDS)) * 16)
+    on = ["token"]
+    if hot < least:
+        # The limit leaves frequent words to the shuffle.
+        frequent = model.weights(f"step BETWEEN {hot} AND {least - 1}").select("token", F.lit(True).alias("_hot"))
+        copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).otherwise(0)
+        marked = lambda rows: rows.join(F.broadcast(frequent), "token", "left")
+        rare = marked(rare).withColumn("_salt", salt).drop("_hot")
+        tail = marked(tail).withColumn("_salt", F.explode(copies)).drop("_hot")
+        on = ["token", "_salt"]
+    # Without the hint a model just over the limit could be broadcast after all.
+    met = rare.join(tail.hint("merge"), on).drop("_salt").withColumn("_place", F.lit(1))
+    return words.join(F.broadcast(head), "token", "left").unionByName(met, allowMissingColumns=True)
 
 
 def class_scores(

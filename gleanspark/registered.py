@@ -487,7 +487,7 @@ def macro_f1(spark, sf_dir):
 def regime_baselines(spark, sf_dir):
     """Fit and evaluate on the trusted rows, and on the trusted rows with the whole pool."""
     task = language_task(spark, sf_dir)
-    real = with_tokens(trusted_part(task), settings())
+    real = materialize(with_tokens(trusted_part(task), settings()).drop("text"), "trusted")
     pool = with_tokens(candidate_part(task), settings())
     models = {
         "real_only": fit_with(real, len(LANGUAGES)),

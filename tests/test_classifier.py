@@ -133,3 +133,24 @@ def test_rows_that_share_an_id_are_not_merged(spark):
     docs = spark.createDataFrame([(5, 0, ["a"]), (5, 1, ["b"])], "id bigint, label int, tokens array<string>")
     with pytest.raises(Exception, match="same id"):
         classifier.predict(docs, classifier.fit(docs, 2), "id").collect()
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_of_a_large_model_only_rare_words_are_shuffled(spark, monkeypatch, hot):
+    """Frequent words of a model over the limit meet the texts by broadcast, with no copies of the model."""
+    monkeypatch.setattr(classifier, "HOT_WORDS", hot)
+    train = [(i % 2, ["the"] * 9 + ["of"] * (3 + i % 2) + [f"rare{i}"]) for i in range(40)]
+    docs = [(0, ["the", "rare1", "rare2", "new"]), (1, ["of"] * 4), (2, []), (3, ["rare39"] * 3), (4, ["new"])]
+    model = classifier.fit(spark.createDataFrame(train, "label int, tokens array<string>"), 2)
+    df = spark.createDataFrame(docs, "id bigint, tokens array<string>")
+    # The words in every text have some 20 bytes each, the rare ones over 800 together.
+    predicted = classifier.predict(df, model, "id", broadcast_bytes=60)
+    assert model.size_bytes > 800
+    for row in predicted.collect():
+        assert row["probs"] == pytest.approx(by_hand(train, docs[row["id"]][1], 2), abs=1e-12)
+    words = df.select("id", F.posexplode_outer("tokens").alias("_place", "token"))
+    joined = classifier.with_weights(words, "id", model, 60, 64)
+    # Only words that are hot and not sent out have copies.
+    assert ("sequence(" in joined._jdf.queryExecution().optimizedPlan().toString()) == (hot == 1000)
+    # A row per word, and one more for each rare word the model knows.
+    assert joined.count() == words.count() + 5
