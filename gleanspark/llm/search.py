@@ -1,20 +1,25 @@
 """Exact top-k search by BM25 with an inverted index in shards.
 
 *Index.* Every task turns its texts into shards of bounded size, one row each: the words, and for
-each text its words with their counts. Document counts and lengths are summed over all shards, so
-all shards score with the same statistics.
-
-*Search.* Queries come in blocks of bounded size; a block meets every shard once. Inside a shard the
-lists of a query's words are ordered by the most they can add. As in WAND, a threshold (the k-th
-best score seen) splits off the words that together can't reach it; only lists of the others name
-candidates. Then the block maxima of the words split off bound what each candidate can still
-gain, and only candidates that may pass the threshold are scored in full. The k best of each
-shard meet in Spark, k rows per shard and query.
+each word the list of its texts with their counts. Equal texts of a shard share their entries. Texts
+of a shard are put in an order in which neighbours have the same frequent words, so that the maxima
+of the lists over blocks of texts say something. Document counts and lengths are summed over all
+shards, so all shards score with the same statistics.
+
+*Search.* Queries come in blocks of bounded size; a task takes a block through its shards one after
+the other. As in WAND, a threshold (the k-th best score a query has, carried from shard to shard)
+stands against what a text can reach: the lists of a query's rarer words, which add most, are summed
+by text; the words split off, whose lists are long and add little, are bounded by the maxima of their
+lists in each block of texts. Blocks that can't pass are skipped. In the others the long lists are
+summed for some hundred queries at a time, as a product of matrices in single precision, and what may
+still pass the threshold, by more than the rounding, is scored in full. The k best of each task
+meet in Spark, k rows per task and query.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,174 +27,358 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import utf8
+from gleanspark.llm.common import BLANKS, utf8
 from gleanspark.storage import materialize
 
 K1, B = 1.2, 0.75
 TOP = 10
 # Words of the texts in a shard, and texts of a block whose maxima are kept.
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 2_000_000
 BLOCK_TEXTS = 32
-# Distinct words of all queries that meet the shards at once.
+# Distinct words of all queries that meet the shards at once, and bytes of their texts.
 QUERY_WORDS = 2_000_000
+QUERY_BYTES = 1 << 25
 # Scores closer than this count as equal; the smaller id wins.
 DIGITS = 9
 SLACK = 1e-6
-
-INDEX = "doc_ids binary, has_id binary, lengths binary, starts binary, word_of binary, times binary, words binary, n_texts bigint, n_words bigint"
+# Words whose presence orders the texts of a shard and the queries of a block.
+ORDER_WORDS = 64
+# A word is split off where it is in this share of all pairs of a query and a text of the shard; then a
+# product of matrices takes less time than its list.
+SPLIT_SHARE = 0.002
+# Numbers in the matrix of the words split off, in the sums of the queries worked on at once, in the
+# table of their words, and entries of lists taken at once.
+MATRIX, SUMS, MEMBERS, ENTRIES = 1 << 22, 1 << 20, 1 << 24, 1 << 18
+# Tasks for each core that take the queries through the shards.
+TASKS = 2
+
+INDEX = (
+    "doc_ids binary, has_id binary, doc_start binary, lengths binary, words binary, starts binary, found binary, "
+    "texts binary, times binary, n_texts bigint, n_words bigint"
+)
+KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def smallest(values: np.ndarray) -> np.ndarray:
+    """The values, none negative, as the smallest integers that hold them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def alike(has: np.ndarray) -> np.ndarray:
+    """An order of the rows of ``has`` (row, word by falling frequency) in which neighbours have the same words."""
+    packed = np.zeros((len(has), 8), np.uint8)
+    bits = np.packbits(has, axis=1)
+    packed[:, : bits.shape[1]] = bits
+    return np.argsort(packed.view(">u8").ravel(), kind="stable")
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def ranges(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Positions of the entries of ``lists``, one list after the other."""
+    low, size = starts[lists], starts[lists + 1] - starts[lists]
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def pieces(sizes: np.ndarray) -> Iterator[slice]:
+    """Cuts lists of these sizes into pieces with about ``ENTRIES`` entries, a list at least."""
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + ENTRIES, "right")))
+        yield slice(low, high)
+        low = high
+
+
 def index(docs: DataFrame) -> DataFrame:
     """Shards of ``docs(doc, text)``; texts without words are in them with length 0."""
 
+    def shard(numbers: dict, known: dict, docs: list, text_of: list, flat: list, lengths: list) -> pa.RecordBatch:
+        n, sizes = len(lengths), np.array(lengths, np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *flat])
+        text = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        # Texts that have the same frequent words become neighbours.
+        often = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")[:ORDER_WORDS]
+        rank = np.full(len(numbers), -1, np.int8)
+        rank[often] = np.arange(len(often))
+        has, of_word = np.zeros((n, max(1, len(often))), bool), rank[flat]
+        hits = np.flatnonzero(of_word >= 0)
+        has[text[hits], of_word[hits]] = True
+        order = alike(has)
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        # Each word with its texts, by word and place.
+        key = flat.astype(np.int64)
+        del flat, of_word, hits, has
+        key *= n
+        key += place[text]
+        del text
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = smallest(np.diff(first, append=len(key)))
+        key = key[first]
+        starts = starts_of(np.bincount(key // max(1, n), minlength=len(numbers)))
+        texts = smallest(key % max(1, n))
+        del key, first
+        # Rows by place of their text and by id, NULL last.
+        has_id = np.array([d is not None for d in docs], bool)
+        ids, owner = np.array([d or 0 for d in docs], np.int64), place[np.array(text_of, np.int64)]
+        by_text = np.lexsort((ids, ~has_id, owner))
+        copies = np.bincount(owner, minlength=n)
+        found = np.add.reduceat(copies[texts], starts[:-1]) if len(numbers) else np.zeros(0, np.int64)
+        values = {
+            "doc_ids": ids[by_text], "has_id": has_id[by_text], "doc_start": starts_of(copies),
+            "lengths": sizes[order], "starts": starts, "found": found.astype(np.int64), "texts": texts, "times": times,
+        }
+        row = {name: [v.tobytes()] for name, v in values.items()}
+        row |= {"words": [b"\n".join(numbers)], "n_texts": [len(docs)], "n_words": [int(copies @ sizes[order])]}
+        kinds = {"n_texts": pa.int64(), "n_words": pa.int64()}
+        names = [c.split()[0] for c in INDEX.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(row[c], kinds.get(c, pa.binary())) for c in names], names)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, docs, lengths, word_of, times = {}, [], [], [], []
-
-        def shard():
-            starts = np.concatenate([[0], np.cumsum([len(w) for w in word_of])])
-            join = lambda arrays: np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32)
-            row = {
-                "doc_ids": np.array([d or 0 for d in docs], np.int64), "has_id": np.array([d is not None for d in docs]),
-                "lengths": np.array(lengths, np.int64), "starts": starts.astype(np.int64),
-                "word_of": join(word_of), "times": join(times),
-            }
-            values = {n: [v.tobytes()] for n, v in row.items()}
-            values |= {"words": [b"\n".join(numbers)], "n_texts": [len(docs)], "n_words": [sum(lengths)]}
-            return pa.RecordBatch.from_pydict(values)
-
-        held = 0
+        def fresh():
+            numbers: defaultdict = defaultdict()
+            numbers.default_factory = numbers.__len__
+            return numbers, {}, [], [], [], []
+
+        held, state = 0, fresh()
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), utf8(batch.column("text"))):
-                words = words_of(text)
-                tally = Counter(words)
-                word_of.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in tally), np.int32, len(tally)))
-                times.append(np.fromiter(tally.values(), np.int32, len(tally)))
+                numbers, known, docs, text_of, flat, lengths = state
+                digest = hashlib.blake2b(text, digest_size=16).digest()
+                if digest not in known:
+                    known[digest] = len(lengths)
+                    words = words_of(text)
+                    flat.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                    lengths.append(len(words))
+                    held += len(words)
+                text_of.append(known[digest])
                 docs.append(doc)
-                lengths.append(len(words))
-                held += len(words) + 1
+                held += 1
                 if held >= SHARD_WORDS:
-                    yield shard()
-                    numbers, docs, lengths, word_of, times, held = {}, [], [], [], [], 0
-        if docs:
-            yield shard()
+                    del flat, lengths, numbers
+                    held, whole, state = 0, state, fresh()
+                    yield shard(*whole)
+                    del whole
+        if held:
+            yield shard(*state)
 
     return docs.mapInArrow(build, INDEX)
 
 
 class Shard:
-    """A shard's texts by word and by text, over the words of a block of queries alone."""
+    """A shard's lists over the words of a block of queries alone."""
 
-    def __init__(self, row: dict, wanted: dict[bytes, int]):
+    def __init__(self, row: dict, wanted: dict[bytes, int], idf: np.ndarray, mean_length: float):
         part = lambda name, kind: np.frombuffer(row[name], kind)
-        self.docs, self.has_id = part("doc_ids", np.int64), part("has_id", bool)
-        self.lengths = part("lengths", np.int64)
-        starts, word_of, times = part("starts", np.int64), part("word_of", np.int32), part("times", np.int32)
-        names = row["words"].split(b"\n") if row["words"] else []
-        number = np.fromiter((wanted.get(w, -1) for w in names), np.int32, len(names))
-        number = number[word_of] if len(names) else np.zeros(0, np.int32)
-        text = np.repeat(np.arange(len(self.docs), dtype=np.int32), np.diff(starts))
-        used = number >= 0
-        # By text.
-        self.word, self.text, self.times = number[used], text[used], times[used]
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Words and the number of texts that have them."""
-        found = np.bincount(self.word) if len(self.word) else np.zeros(0, np.int64)
-        words = np.flatnonzero(found)
-        return words, found[words]
-
-    def prepare(self, idf: np.ndarray, mean_length: float) -> None:
-        lengths = K1 * (1 - B + B * self.lengths / max(mean_length, 1e-9))
-        value = self.times * (K1 + 1) / (self.times + lengths[self.text]) * idf[self.word]
-        self.text_start = np.searchsorted(self.text, np.arange(len(self.docs) + 1))
-        order = np.argsort(self.word, kind="stable")
-        self.by_text, self.value = value, value[order]
-        self.list_text = self.text[order]
-        self.list_start = np.searchsorted(self.word[order], np.arange(len(idf) + 1))
-        # Maxima of each list in blocks of texts.
-        self.n_blocks = len(self.docs) // BLOCK_TEXTS + 1
-        place = self.word[order].astype(np.int64) * self.n_blocks + self.list_text // BLOCK_TEXTS
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
-        self.block_max = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
-        self.block = (place[first] % self.n_blocks).astype(np.int64)
-        self.block_start = np.searchsorted(place[first] // self.n_blocks, np.arange(len(idf) + 1))
-        best = np.zeros(len(idf))
-        words = self.word[order][first] if len(first) else np.zeros(0, int)
-        np.maximum.at(best, words, self.block_max)
-        self.most = best
-        self.weight = np.zeros(len(idf))
-
-    @staticmethod
-    def ranges(starts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Positions of the lists of ``words``, one list after the other."""
-        low, size = starts[words], starts[words + 1] - starts[words]
-        return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-    def full(self, texts: np.ndarray) -> np.ndarray:
-        """Whole scores of texts; ``weight`` is 1 for the query's words."""
-        if not len(texts):
-            return np.zeros(0)
-        at = self.ranges(self.text_start, texts)
-        size = self.text_start[texts + 1] - self.text_start[texts]
-        owner = np.repeat(np.arange(len(texts)), size)
-        return np.bincount(owner, self.by_text[at] * self.weight[self.word[at]], len(texts))
-
-    def top(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best texts with any of ``words``, and their scores."""
-        size = self.list_start[words + 1] - self.list_start[words]
-        words, size = words[size > 0], size[size > 0]
-        self.weight[words] = 1.0
-        try:
-            return self._top(words, size, k)
-        finally:
-            self.weight[words] = 0.0
-
-    def _top(self, words, size, k):
-        order = np.argsort(-self.most[words], kind="stable")
-        words, size = words[order], size[order]
-        # The lists that add most, until they name enough texts, give a first threshold.
-        few = np.searchsorted(np.cumsum(size), 4 * k) + 1
-        seen = np.unique(self.list_text[self.ranges(self.list_start, words[:few])])
-        scores = self.full(seen)
-        threshold = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        # Words whose lists together stay below the threshold name no candidates.
-        rest = np.cumsum(self.most[words][::-1])[::-1]
-        essential = int((rest >= threshold - SLACK).sum())
-        at = self.ranges(self.list_start, words[:essential])
-        sums = np.bincount(self.list_text[at], self.value[at], len(self.docs))
-        texts = np.flatnonzero(sums)
-        sums = sums[texts]
-        if len(sums) > k:
-            threshold = max(threshold, np.partition(sums, -k)[-k])
-        # What the words split off can add in a candidate's block.
-        others = words[essential:]
-        at = self.ranges(self.block_start, others)
-        more = np.bincount(self.block[at], self.block_max[at], self.n_blocks)
-        texts = texts[sums + more[texts // BLOCK_TEXTS] >= threshold - SLACK]
-        scores = np.round(self.full(texts), DIGITS)
-        best = np.lexsort((self.docs[texts], ~self.has_id[texts], -scores))[:k]
-        return texts[best], scores[best]
+        self.doc_ids, self.has_id = part("doc_ids", np.int64), part("has_id", bool)
+        self.doc_start, lengths = part("doc_start", np.int64), part("lengths", np.int64)
+        self.n = len(lengths)
+        starts, number = part("starts", np.int64), numbered(row, wanted)
+        lists = np.flatnonzero(number >= 0)
+        lists = lists[np.argsort(number[lists])]
+        words, at = number[lists], ranges(starts, lists)
+        # The words that the shard has are numbered anew.
+        self.words, self.local = words, np.full(len(idf), -1, np.int32)
+        self.local[words] = np.arange(len(words))
+        self.sizes = starts[lists + 1] - starts[lists]
+        self.start = starts_of(self.sizes)
+        texts, times = (np.frombuffer(row[c], KINDS[len(row[c]) // starts[-1]] if starts[-1] else np.uint8) for c in ("texts", "times"))
+        self.text, value = texts[at].astype(np.int32), times[at].astype(float)
+        del at
+        lengths = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
+        below = lengths[self.text]
+        below += value
+        value *= K1 + 1
+        value /= below
+        value *= np.repeat(idf[words], self.sizes)
+        del below
+        self.value = value.astype(np.float32)
+        # By text, and in a text by word.
+        order = self.text.astype(np.int64)
+        order <<= 32
+        order += np.arange(len(order), dtype=np.uint32)
+        order.sort()
+        order &= 0xFFFFFFFF
+        self.text_start = starts_of(np.bincount(self.text, minlength=self.n))
+        self.by_text, self.word = value[order], np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)[order]
+
+    def split(self, asked: np.ndarray, queries: int) -> None:
+        """Split off the words that many of the queries (``asked`` counts them by word) and many texts have."""
+        asked = asked[self.words]
+        share = asked * self.sizes / max(1, queries * self.n)
+        blocks = -(-self.n // BLOCK_TEXTS)
+        most = MATRIX // max(1, blocks * BLOCK_TEXTS)
+        words = np.flatnonzero(share > SPLIT_SHARE)
+        words = words[np.argsort(-share[words], kind="stable")[:most]]
+        self.column = np.full(len(asked), -1, np.int32)
+        self.column[words] = np.arange(len(words))
+        self.matrix = np.zeros((blocks, BLOCK_TEXTS, len(words)), np.float32)
+        at = ranges(self.start, words)
+        self.matrix.reshape(blocks * BLOCK_TEXTS, len(words))[self.text[at], np.repeat(np.arange(len(words)), self.sizes[words])] = self.value[at]
+        self.most = self.matrix.max(axis=1)
+
+    def full(self, query: np.ndarray, text: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """Whole scores of pairs of a query and a text; ``member`` says which words a query has."""
+        scores = np.zeros(len(text))
+        size = self.text_start[text + 1] - self.text_start[text]
+        for part in pieces(size):
+            at = ranges(self.text_start, text[part])
+            has = member[np.repeat(query[part], size[part]), self.word[at]]
+            owner = np.repeat(np.arange(part.stop - part.start), size[part])
+            scores[part] = np.bincount(owner[has], self.by_text[at[has]], part.stop - part.start)
+        return scores
+
+    def sums(self, query: np.ndarray, words: np.ndarray, queries: int) -> np.ndarray:
+        """By query and place, what the lists of ``words`` add."""
+        width = self.most.shape[0] * BLOCK_TEXTS
+        out, size = np.zeros(queries * width, np.float32), self.sizes[words]
+        for part in pieces(size):
+            at = ranges(self.start, words[part])
+            place = np.repeat(query[part] * width, size[part])
+            place += self.text[at]
+            np.add.at(out, place, self.value[at])
+        return out.reshape(queries, width)
+
+    def live(self, asked: np.ndarray, blocks: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Blocks of texts in which some query can reach its score ``low``, by the maxima of the lists split off."""
+        bound = asked @ self.most.T
+        bound += blocks.max(axis=2)
+        return np.flatnonzero(((bound >= low[:, None]) & (bound > 0)).any(axis=0))
+
+    def passing(self, query: np.ndarray, words: np.ndarray, least: np.ndarray, k: int, member: np.ndarray):
+        """Pairs of a query and a text that may be among the k best: their queries, texts and whole scores.
+
+        ``query`` and ``words`` are the words, by the shard's numbers, of queries that are numbered from 0; ``least``
+        is the score a text has to reach, per query.
+        """
+        queries, column = len(least), self.column[words]
+        split = column >= 0
+        asked = np.zeros((queries, self.most.shape[1]), np.float32)
+        asked[query[split], column[split]] = 1
+        sums = self.sums(query[~split], words[~split], queries)
+        # All terms are positive, so sums in single precision are off by this share at most.
+        longest = int(np.bincount(query, minlength=1).max()) + self.most.shape[1] + 8
+        off = longest * 2.0**-22
+        under = lambda scores: scores * (1 - off) - SLACK
+        # Queries without a threshold get one from the texts with the highest sums.
+        new = np.flatnonzero(least <= 0)
+        some = min(2 * k, self.n)
+        if len(new) and some >= k:
+            tried = np.argpartition(sums[new, : self.n], -some, axis=1)[:, -some:]
+            scores = self.full(np.repeat(new, some), tried.ravel(), member).reshape(-1, some)
+            least = least.copy()
+            least[new] = np.partition(scores, -k, axis=1)[:, -k]
+        low = under(least)
+        blocks = sums.reshape(queries, -1, BLOCK_TEXTS)
+        live = self.live(asked, blocks, low)
+        if not len(live):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        whole = len(live) == len(self.most)
+        matrix = (self.matrix if whole else self.matrix[live]).reshape(len(live) * BLOCK_TEXTS, self.most.shape[1])
+        total = asked @ matrix.T
+        total += sums if whole else blocks[:, live].reshape(queries, -1)
+        may = (total >= low[:, None]) & (total > 0)
+        many = np.flatnonzero(may.sum(axis=1) > 2 * k)
+        if len(many):
+            low[many] = np.maximum(low[many], under(np.partition(total[many], -k, axis=1)[:, -k].astype(float)))
+            may[many] &= total[many] >= low[many, None]
+        asking, place = np.nonzero(may)
+        text = live[place // BLOCK_TEXTS] * BLOCK_TEXTS + place % BLOCK_TEXTS
+        return asking, text, self.full(asking, text, member)
+
+
+def numbered(row: dict, wanted: dict[bytes, int]) -> np.ndarray:
+    """The number of each word of a shard, -1 without one."""
+    names = bytes(row["words"]).split(b"\n") if len(row["starts"]) > 8 else []
+    return np.fromiter((wanted.get(w, -1) for w in names), np.int32, len(names))
+
+
+class Best:
+    """The k best rows of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score, self.doc = np.full((queries, k), -1.0), np.zeros((queries, k), np.int64)
+        self.has = np.zeros((queries, k), bool)
+
+    def least(self, low: int, high: int) -> np.ndarray:
+        """The score to reach; 0 or less for queries with less than k rows."""
+        return self.score[low:high, -1].copy()
+
+    def add(self, low: int, high: int, query: np.ndarray, score: np.ndarray, doc: np.ndarray, has: np.ndarray) -> None:
+        """More rows for queries that are numbered from ``low``."""
+        old, place = np.nonzero(self.score[low:high] >= 0)
+        query = np.concatenate([old, query])
+        score, doc, has = (
+            np.concatenate([kept[low:high][old, place], more])
+            for kept, more in ((self.score, score), (self.doc, doc), (self.has, has))
+        )
+        order = np.lexsort((doc, ~has, -score, query))
+        query = query[order]
+        rank = np.arange(len(order)) - np.searchsorted(query, query)
+        order, query, rank = (a[rank < self.k] for a in (order, query, rank))
+        for kept, more in ((self.score, score), (self.doc, doc), (self.has, has)):
+            kept[low + query, rank] = more[order]
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].as_buffer() for name in batch.schema.names}
+
+
+def best_of(shards: Iterator[dict], wanted: dict, start: np.ndarray, words: np.ndarray, idf: np.ndarray, mean: float, k: int) -> Best:
+    """The k best rows of all the shards for queries with these words (``start`` cuts them by query)."""
+    queries = len(start) - 1
+    best, asked = Best(queries, k), np.bincount(words, minlength=len(idf))
+    for row in shards:
+        shard = Shard(row, wanted, idf, mean)
+        shard.split(asked, queries)
+        step = max(1, min(SUMS // max(1, shard.n), MEMBERS // max(1, len(shard.words)), queries))
+        member = np.zeros((step, len(shard.words)), bool)
+        for low in range(0, queries, step):
+            high = min(low + step, queries)
+            its = shard.local[words[start[low] : start[high]]]
+            query = np.repeat(np.arange(high - low), np.diff(start[low : high + 1]))
+            query, its = query[its >= 0], its[its >= 0]
+            member[query, its] = True
+            asking, text, score = shard.passing(query, its, best.least(low, high), k, member)
+            member[query, its] = False
+            # Of equal texts, the k first rows.
+            asking, text, score = asking[score > 0], text[score > 0], np.round(score[score > 0], DIGITS)
+            copies = np.minimum(shard.doc_start[text + 1] - shard.doc_start[text], k)
+            at = np.repeat(shard.doc_start[text] - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
+            best.add(low, high, np.repeat(asking, copies), np.repeat(score, copies), shard.doc_ids[at], shard.has_id[at])
+    return best
 
 
 def query_blocks(texts: DataFrame) -> Iterator[tuple[list[str], list[np.ndarray], dict[bytes, int]]]:
     """(keys, word numbers of each, numbers of words) for blocks of ``texts(key, text)``.
 
-    A block holds about ``QUERY_WORDS`` words; no more than one block is on the driver.
+    A block holds about ``QUERY_WORDS`` words, each text's distinct ones; no more than one block is on the
+    driver. Queries that have the same frequent words are neighbours.
     """
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = size // (4 * QUERY_WORDS) + 1
+    distinct = F.size(F.array_distinct(F.split(F.lower("text"), f"{BLANKS}+")))
+    size, numbers = texts.agg(F.sum(F.octet_length("text")), F.sum(distinct)).first()
+    count = max((size or 0) // QUERY_BYTES, (numbers or 0) // QUERY_WORDS) + 1
     for number in range(count):
         part = texts.filter(F.pmod(F.xxhash64("key"), F.lit(count)) == number).toArrow()
         wanted: dict[bytes, int] = {}
         keys, words = part["key"].to_pylist(), []
         for text in utf8(part["text"].combine_chunks()):
             distinct = dict.fromkeys(words_of(text))
-            words.append(np.array([wanted.setdefault(w, len(wanted)) for w in distinct], np.int64))
-        yield keys, words, wanted
+            words.append(np.array([wanted.setdefault(w, len(wanted)) for w in distinct], np.int32))
+        often = np.argsort(-np.bincount(np.concatenate([[], *words]).astype(int), minlength=1), kind="stable")[:ORDER_WORDS]
+        order = alike(np.array([np.isin(often, w) for w in words], bool).reshape(len(words), len(often)))
+        yield [keys[i] for i in order], [words[i] for i in order], wanted
 
 
 def search(
@@ -212,40 +401,38 @@ def search(
     shards = materialize(index(plain), "search-index")
     n_texts, n_words = shards.agg(F.coalesce(F.sum("n_texts"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     mean_length, best = n_words / max(1, n_texts), None
+    tasks = max(1, TASKS * spark.sparkContext.defaultParallelism)
     for keys, words, wanted in query_blocks(texts):
         numbers = spark.sparkContext.broadcast(wanted)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    words, found = Shard(row, numbers.value).counts()
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(words), "n": pa.array(found)})
+            for row in rows_of(batches):
+                number, found = numbered(row, numbers.value), np.frombuffer(row["found"], np.int64)
+                used = number >= 0
+                yield pa.RecordBatch.from_pydict({"word": pa.array(number[used], pa.int64()), "n": pa.array(found[used])})
 
-        counted = shards.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        lists = shards.select("words", "starts", "found")
+        counted = lists.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         n = np.zeros(len(wanted))
         n[counted["word"].to_numpy()] = counted["n"].to_numpy()
         idf = np.log(1 + (n_texts - n + 0.5) / (n + 0.5))
-        given = spark.sparkContext.broadcast((keys, words, idf))
+        start = starts_of(np.array([len(w) for w in words], np.int64))
+        given = spark.sparkContext.broadcast((keys, start, np.concatenate([np.zeros(0, np.int32), *words]), idf))
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, words, idf = given.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row, numbers.value)
-                    shard.prepare(idf, mean_length)
-                    found = {"key": [], "doc": [], "score": []}
-                    for key, its in zip(keys, words):
-                        texts, scores = shard.top(its, k)
-                        found["key"] += [key] * len(texts)
-                        found["doc"] += [d if h else None for d, h in zip(shard.docs[texts].tolist(), shard.has_id[texts])]
-                        found["score"] += scores.tolist()
-                    yield pa.RecordBatch.from_pydict({
-                        "key": pa.array(found["key"], pa.string()), "doc": pa.array(found["doc"], pa.int64()),
-                        "score": pa.array(found["score"], pa.float64()),
-                    })
-
-        met = shards.mapInArrow(meet, "key string, doc bigint, score double")
+            keys, start, words, idf = given.value
+            found = best_of(rows_of(batches), numbers.value, start, words, idf, mean_length, k)
+            query, place = np.nonzero(found.score >= 0)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([keys[q] for q in query], pa.string()),
+                pa.array(found.doc[query, place], mask=~found.has[query, place]), pa.array(found.score[query, place]),
+            ], ["key", "doc", "score"])
+
+        # A task goes through several shards, so that it hands on k rows a query, however many shards there are.
+        met = shards.drop("found", "n_texts", "n_words").coalesce(tasks).mapInArrow(meet, "key string, doc bigint, score double")
         part = materialize(met, "search-met")
+        numbers.unpersist()
+        given.unpersist()
         best = part if best is None else best.unionByName(part)
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.col("doc").isNull(), "doc")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

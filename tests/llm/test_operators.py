@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -205,6 +206,59 @@ def test_search_equals_scoring_everything(spark, monkeypatch):
         assert [g[1] for g in got] == pytest.approx([e[1] for e in expected], abs=1e-5)
 
 
+@pytest.mark.parametrize("share, matrix, entries", [(0.0, 1 << 20, 50), (2.0, 1 << 20, 1 << 19), (0.02, 2_000, 7)])
+def test_search_splits_words_off_and_stays_exact(spark, monkeypatch, share, matrix, entries):
+    """All words in the matrix, none, some: the same results, with copies, NULLs, ties and many blocks of texts."""
+    for name, value in (("SPLIT_SHARE", share), ("MATRIX", matrix), ("ENTRIES", entries), ("SUMS", 500), ("BLOCK_TEXTS", 4), ("SHARD_WORDS", 2_000)):
+        monkeypatch.setattr(search, name, value)
+    texts = [(i, prose(i % 50, 5 + i % 40) + (" frequent" if i % 3 else "")) for i in range(150)]
+    texts += [(None, texts[3][1]), (None, texts[3][1]), (500, None), (501, "\x1c ß É"), (502, "É ß")] + [(600 + i, "same words") for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    asked = [(i, t) for i, (_, t) in enumerate(texts[:40:3])] + [(100, "same"), (101, "frequent"), (102, texts[3][1]), (103, "É \x1c")]
+    queries = spark.createDataFrame(asked, "query_id bigint, query_text string")
+    found = search.search(docs, queries, k=7).collect()
+    for number, text in asked:
+        got = [(r.doc_id, r.score) for r in sorted((r for r in found if r.query_id == number), key=lambda r: r["rank"])]
+        expected = plain_search(texts, text, 7)
+        assert [g[0] for g in got] == [e[0] for e in expected]
+        assert [g[1] for g in got] == pytest.approx([e[1] for e in expected], abs=1e-5)
+
+
+def test_a_search_task_hands_on_k_rows_a_query(spark, monkeypatch):
+    """A task has one list of the best for all its shards, not one for each."""
+    monkeypatch.setattr(search, "SHARD_WORDS", 100)
+    written, real = {}, search.materialize
+
+    def watched(df, name):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(search, "materialize", watched)
+    docs = spark.createDataFrame([(i, prose(i % 9, 20)) for i in range(200)], "doc_id bigint, text string").coalesce(1)
+    queries = docs.limit(10).selectExpr("doc_id AS query_id", "text AS query_text")
+    found = search.search(docs, queries, k=3)
+    assert written["search-index"].count() > 20
+    assert written["search-met"].count() <= 9 * 3 and found.count() == 10 * 3
+
+
+def test_search_skips_blocks_that_cannot_pass(monkeypatch):
+    """Texts with the same frequent words are neighbours, so a query meets few blocks."""
+
+    class Here:
+        mapInArrow = staticmethod(lambda build, schema: build)
+
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[i % 2]}{n}" for n in draw.integers(0, 30, 40)) for i in range(640)]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(640), pa.int64()), "text": texts})
+    row, = search.rows_of(b.drop_columns(["n_texts", "n_words"]) for b in search.index(Here())(iter([batch])))
+    wanted = {f"a{n}".encode(): n for n in range(30)}
+    met, live = [], search.Shard.live
+    monkeypatch.setattr(search.Shard, "live", lambda self, *rest: met.append(live(self, *rest)) or met[-1])
+    words, idf = np.arange(30), np.full(30, 0.7)
+    best = search.best_of(iter([row]), wanted, search.starts_of(np.array([30])), words, idf, 40.0, 10)
+    assert (best.doc % 2 == 0).all() and len(met) == 1 and 0 < len(met[0]) <= 14
+
+
 def test_search_of_and_for_nothing(docs, none):
     asked = docs.selectExpr("doc_id AS query_id", "text AS query_text")
     assert search.search(none, asked).count() == 0
