@@ -157,13 +157,16 @@ def groups(units: int) -> np.ndarray:
     return np.unique(np.round((np.arange(number + 1) / number) ** 2 * units).astype(int))
 
 
-def shares(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax at the chosen column of each row; ``z`` becomes the softmax."""
-    z -= z.max(axis=1, keepdims=True)
+def shares(z: np.ndarray, chosen: np.ndarray, softmax: bool = True) -> np.ndarray:
+    """Logarithm of the softmax at the chosen column of each row; ``z`` becomes the softmax if asked for."""
+    # A pass by rows is needed only where e can't be raised to the numbers as they are.
+    if not (z.max() < MOST_LOGIT and z.min() > -MOST_LOGIT):
+        z -= z.max(axis=1, keepdims=True)
     found = z[np.arange(len(z)), chosen]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], dtype=z.dtype)
-    z /= total[:, None]
+    if softmax:
+        z /= total[:, None]
     return found - np.log(total)
 
 
@@ -218,16 +221,18 @@ class Attention:
 
     def states(self, units: np.ndarray):
         """What each place knows of the ids up to it, and what the gradients need."""
-        t = units.shape[1]
-        x = self.embed[units] + self.place[:t]
-        q, k, v = x @ self.query, x @ self.key, x @ self.value
+        (b, t), d = units.shape, WIDTH
+        x = self.embed.take(units.ravel(), axis=0).reshape(b, t, d)
+        x += self.place[:t]
+        rows = x.reshape(-1, d)
+        q, k, v = ((rows @ m).reshape(b, t, d) for m in (self.query * np.float32(d**-0.5), self.key, self.value))
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(WIDTH**-0.5)
-        a[:, ~np.tri(t, dtype=bool)] = -np.inf
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        return x + a @ v, (x, q, k, v, a)
+        np.exp(np.minimum(a, MOST_LOGIT, out=a), out=a)
+        a *= np.tri(t, dtype=a.dtype)
+        a /= (a.reshape(-1, t) @ np.ones(t, dtype=a.dtype)).reshape(b, t, 1)
+        h = a @ v
+        h += x
+        return h, (x, q, k, v, a)
 
     def predicted(self, h: np.ndarray, nexts: np.ndarray, grad: Attention | None = None, dh: np.ndarray | None = None):
         """Log-probabilities of the nexts after the states ``h``: of the group, and within it.
@@ -237,11 +242,12 @@ class Attention:
         group = self.group[nexts]
         z = h @ self.near.T
         z += self.near_bias
-        found = shares(z, group)
+        found = shares(z, group, grad is not None)
         if grad is not None:
             z[np.arange(len(z)), group] -= 1
-            z /= len(h)
-            grad.near[:], grad.near_bias[:], dh[:] = z.T @ h, z.sum(axis=0), z @ self.near
+            z *= z.dtype.type(1 / len(h))
+            grad.near[:], grad.near_bias[:] = z.T @ h, np.ones(len(z), dtype=z.dtype) @ z
+            np.matmul(z, self.near, out=dh)
         order = np.argsort(group.astype(np.int16), kind="stable")
         begins = np.flatnonzero(np.diff(group[order], prepend=-1))
         for rows in np.split(order, begins[1:]):
@@ -251,11 +257,11 @@ class Attention:
             states, chosen = h[rows], nexts[rows] - low
             z = states @ self.out[low:high].T
             z += self.bias[low:high]
-            found[rows] += shares(z, chosen)
+            found[rows] += shares(z, chosen, grad is not None)
             if grad is not None:
                 z[np.arange(len(z)), chosen] -= 1
-                z /= len(h)
-                grad.out[low:high], grad.bias[low:high] = z.T @ states, z.sum(axis=0)
+                z *= z.dtype.type(1 / len(h))
+                grad.out[low:high], grad.bias[low:high] = z.T @ states, np.ones(len(z), dtype=z.dtype) @ z
                 dh[rows] += z @ self.out[low:high]
         return found
 
@@ -272,18 +278,26 @@ class Attention:
         rows = np.flatnonzero(counted)
         flat = lambda m: m.reshape(-1, m.shape[-1])
         dh, part = np.zeros_like(h), np.empty((len(rows), WIDTH), dtype=h.dtype)
-        self.predicted(flat(h)[rows], nexts.ravel()[rows], grad, part)
+        self.predicted(flat(h).take(rows, axis=0), nexts.ravel().take(rows), grad, part)
         flat(dh)[rows] = part
         da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh + dq @ self.query.T + dk @ self.key.T + dv @ self.value.T
+        # The mean of a row of da by its weights is what the state has of the values, times dh.
+        da -= np.einsum("btd,btd->bt", dh, h - x)[:, :, None]
+        da *= a
+        scale = np.float32(WIDTH**-0.5)
+        # The queries are held with the scale on them.
+        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+        dq *= scale
+        dx = flat(dh)
         for name, d in (("query", dq), ("key", dk), ("value", dv)):
             getattr(grad, name)[:] = flat(x).T @ flat(d)
-        grad.place[: x.shape[1]] = dx.sum(axis=0)
-        order = np.argsort(units.ravel(), kind="stable")
-        met, first = np.unique(units.ravel()[order], return_index=True)
-        grad.embed[met] = np.add.reduceat(flat(dx)[order], first)
+            dx += flat(d) @ getattr(self, name).T
+        grad.place[: x.shape[1]] = dh.sum(axis=0)
+        short = units.ravel().astype(np.min_scalar_type(self.units))
+        order = np.argsort(short, kind="stable")
+        short = short.take(order)
+        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+        grad.embed[short.take(first)] = np.add.reduceat(dx.take(order, axis=0), first)
         return grad.flat
 
 
@@ -345,6 +359,18 @@ def unit_table(id_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return unit, smooth[order] / smooth.sum()
 
 
+def seen_units(unit: np.ndarray, share: np.ndarray, id_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The table with one unit for all ids that no training text has, and the number of these ids.
+
+    Nothing learned can tell such ids apart, so each has an equal part of their unit's probability.
+    """
+    seen = int(np.count_nonzero(id_counts))
+    unseen = len(share) - seen
+    if not unseen:
+        return unit, share, 0
+    return np.minimum(unit, seen).astype(unit.dtype), np.append(share[:seen], share[seen:].sum()), unseen
+
+
 def averaged(texts: DataFrame, unit, weights: np.ndarray, units: int) -> np.ndarray | None:
     """One round: steps in every partition from ``weights``, then the mean by windows; None without texts."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
@@ -467,6 +493,8 @@ def scored(docs: DataFrame, head: dict, floor: float, model: dict) -> DataFrame:
                 for inputs, nexts, counted, place in cut(ids, units):
                     value = attention.log_probabilities(inputs, nexts, counted) / np.log(10)
                     totals += np.bincount(owner[place[counted]], value, len(ids))
+                if model["unseen"]:
+                    totals -= np.log10(model["unseen"]) * np.array([np.count_nonzero(i == units - 1) for i in ids])
             columns = list(zip(*texts)) if texts else [[]] * 5
             n, m = len(texts), len(names)
             arrays = [list(columns[0]) + word_keys, *[list(c) + [None] * m for c in columns[1:]],
@@ -512,10 +540,10 @@ def log_probabilities(
 
     top = words.filter(F.col("n") >= head_count(words, HEAD_WORDS)).collect()
     head = {r["word"].encode(): log_of(r["n"]) for r in top} | {None: log_of(ends)}
-    unit, share = unit_table(id_counts)
+    unit, share, unseen = seen_units(*unit_table(id_counts), id_counts)
     weights = fitted(training, unit, share, int(id_counts.sum()))
     model = {
-        "unit": unit, "units": len(share),
+        "unit": unit, "units": len(share), "unseen": unseen,
         "weights": Attention.fresh(share) if weights is None else weights,
     }
     rows = materialize(scored(texts, head, log_of(0), model), "lm-scored")

@@ -754,6 +754,39 @@ def test_every_subword_id_is_input_and_target(spark):
     assert found[60].score > found[61].score + 1
 
 
+def test_weights_follow_the_ids_of_training_texts(spark, monkeypatch):
+    """Ids that no training text has share a unit, in equal parts; they take no weights and no steps."""
+    from pyspark.sql import functions as F
+
+    counts = np.array([0, 5, 0, 9, 0, 1.0])
+    unit, share, unseen = lm.seen_units(*lm.unit_table(counts), counts)
+    assert list(unit) == [3, 1, 3, 0, 3, 2] and unseen == 3 and share.sum() == pytest.approx(1)
+    assert share[3] == pytest.approx(0.3 / 15.6) and lm.seen_units(*lm.unit_table(counts + 1), counts + 1)[2] == 0
+    sizes, real = [], lm.averaged
+
+    def watched(texts, unit, weights, units):
+        sizes.append(len(weights))
+        return real(texts, unit, weights, units)
+
+    monkeypatch.setattr(lm, "averaged", watched)
+    rows = [(i, prose(i, 40)) for i in range(40)] + [(40, "ka lo"), (41, "ka Ω"), (42, "ka Ж")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.score for r in lm.log_probabilities(df, F.col("doc") >= 40).collect()}
+    assert 0 < max(sizes) < 50_000
+    assert found[42] < found[40] < 0 and found[41] < found[40]
+
+
+@pytest.mark.parametrize("high", [5.0, 500.0])
+def test_shares_are_a_softmax(high):
+    """Also where e can't be raised to the numbers as they are."""
+    z = np.array([[high, 0, -1], [-high, -high, -high], [0, high, high]], dtype=np.float32)
+    exact = z.astype(float) - z.max(axis=1, keepdims=True)
+    exact = exact - np.log(np.exp(exact).sum(axis=1, keepdims=True))
+    chosen = np.array([1, 2, 1])
+    assert np.allclose(lm.shares(z.copy(), chosen, False), exact[np.arange(3), chosen], rtol=1e-5)
+    assert np.allclose(lm.shares(z, chosen), exact[np.arange(3), chosen], rtol=1e-5) and np.allclose(z, np.exp(exact))
+
+
 def test_gradients_agree_with_differences():
     draw = np.random.default_rng(3)
     weights = lm.Attention.fresh(np.full(30, 1 / 30)).astype(np.float64)
