@@ -48,12 +48,12 @@ ORDER_WORDS = 64
 SPLIT_SHARE = 0.002
 # Numbers in the matrix of the words split off, in the sums of the queries worked on at once, in the
 # table of their words, and entries of lists taken at once.
-MATRIX, SUMS, MEMBERS, ENTRIES = 1 << 22, 1 << 20, 1 << 24, 1 << 18
+MATRIX, SUMS, MEMBERS, ENTRIES = 1 << 22, 1 << 19, 1 << 23, 1 << 17
 # Tasks for each core that take the queries through the shards.
 TASKS = 2
 
 INDEX = (
-    "doc_ids binary, has_id binary, doc_start binary, lengths binary, words binary, starts binary, found binary, "
+    "doc_ids binary, has_id binary, doc_start binary, lengths binary, words binary, sizes binary, found binary, "
     "texts binary, times binary, n_texts bigint, n_words bigint"
 )
 KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
@@ -123,7 +123,7 @@ def index(docs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.diff(key, prepend=-1))
         times = smallest(np.diff(first, append=len(key)))
         key = key[first]
-        starts = starts_of(np.bincount(key // max(1, n), minlength=len(numbers)))
+        in_list = np.bincount(key // max(1, n), minlength=len(numbers))
         texts = smallest(key % max(1, n))
         del key, first
         # Rows by place of their text and by id, NULL last.
@@ -131,10 +131,10 @@ def index(docs: DataFrame) -> DataFrame:
         ids, owner = np.array([d or 0 for d in docs], np.int64), place[np.array(text_of, np.int64)]
         by_text = np.lexsort((ids, ~has_id, owner))
         copies = np.bincount(owner, minlength=n)
-        found = np.add.reduceat(copies[texts], starts[:-1]) if len(numbers) else np.zeros(0, np.int64)
+        found = np.add.reduceat(copies[texts], starts_of(in_list)[:-1]) if len(numbers) else np.zeros(0, np.int64)
         values = {
             "doc_ids": ids[by_text], "has_id": has_id[by_text], "doc_start": starts_of(copies),
-            "lengths": sizes[order], "starts": starts, "found": found.astype(np.int64), "texts": texts, "times": times,
+            "lengths": sizes[order], "sizes": in_list.astype(np.uint32), "found": found.astype(np.uint32), "texts": texts, "times": times,
         }
         row = {name: [v.tobytes()] for name, v in values.items()}
         row |= {"words": [b"\n".join(numbers)], "n_texts": [len(docs)], "n_words": [int(copies @ sizes[order])]}
@@ -181,7 +181,7 @@ class Shard:
         self.doc_ids, self.has_id = part("doc_ids", np.int64), part("has_id", bool)
         self.doc_start, lengths = part("doc_start", np.int64), part("lengths", np.int64)
         self.n = len(lengths)
-        starts, number = part("starts", np.int64), numbered(row, wanted)
+        starts, number = starts_of(part("sizes", np.uint32)), numbered(row, wanted)
         lists = np.flatnonzero(number >= 0)
         lists = lists[np.argsort(number[lists])]
         words, at = number[lists], ranges(starts, lists)
@@ -192,7 +192,7 @@ class Shard:
         self.start = starts_of(self.sizes)
         texts, times = (np.frombuffer(row[c], KINDS[len(row[c]) // starts[-1]] if starts[-1] else np.uint8) for c in ("texts", "times"))
         self.text, value = texts[at].astype(np.int32), times[at].astype(float)
-        del at
+        del at, starts, number
         lengths = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         below = lengths[self.text]
         below += value
@@ -285,6 +285,7 @@ class Shard:
         matrix = (self.matrix if whole else self.matrix[live]).reshape(len(live) * BLOCK_TEXTS, self.most.shape[1])
         total = asked @ matrix.T
         total += sums if whole else blocks[:, live].reshape(queries, -1)
+        del matrix, sums, blocks
         may = (total >= low[:, None]) & (total > 0)
         many = np.flatnonzero(may.sum(axis=1) > 2 * k)
         if len(many):
@@ -297,7 +298,7 @@ class Shard:
 
 def numbered(row: dict, wanted: dict[bytes, int]) -> np.ndarray:
     """The number of each word of a shard, -1 without one."""
-    names = bytes(row["words"]).split(b"\n") if len(row["starts"]) > 8 else []
+    names = bytes(row["words"]).split(b"\n") if len(row["sizes"]) else []
     return np.fromiter((wanted.get(w, -1) for w in names), np.int32, len(names))
 
 
@@ -407,11 +408,11 @@ def search(
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
-                number, found = numbered(row, numbers.value), np.frombuffer(row["found"], np.int64)
+                number, found = numbered(row, numbers.value), np.frombuffer(row["found"], np.uint32)
                 used = number >= 0
-                yield pa.RecordBatch.from_pydict({"word": pa.array(number[used], pa.int64()), "n": pa.array(found[used])})
+                yield pa.RecordBatch.from_pydict({"word": pa.array(number[used], pa.int64()), "n": pa.array(found[used], pa.int64())})
 
-        lists = shards.select("words", "starts", "found")
+        lists = shards.select("words", "sizes", "found")
         counted = lists.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         n = np.zeros(len(wanted))
         n[counted["word"].to_numpy()] = counted["n"].to_numpy()
@@ -421,6 +422,8 @@ def search(
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, start, words, idf = given.value
+            # A worker still holds what the tasks before took.
+            pa.default_memory_pool().release_unused()
             found = best_of(rows_of(batches), numbers.value, start, words, idf, mean_length, k)
             query, place = np.nonzero(found.score >= 0)
             yield pa.RecordBatch.from_arrays([
