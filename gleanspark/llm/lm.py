@@ -8,7 +8,8 @@ counts.
 texts. One layer of causal self-attention reads ids, each with a vector of its own, and predicts the
 next id. The ids are numbered by falling frequency and cut into groups: the probability of an id
 is that of its group times its share in the group, both softmaxes over what stands before, so that
-a step works on some hundred logits and not on all ids; the product sums to one over all ids. Every
+a step works on some hundred logits and not on all ids; the product sums to one over all ids. Ids
+that no training text has share a unit, each with an equal part of its probability. Every
 training text takes part once, in one of ``ROUNDS`` rounds chosen by a hash: every partition takes
 Adam steps on its windows, and the weights are averaged by window counts after each round. Long texts
 are scored in windows that overlap, and every id counts in one window only.
