@@ -18,7 +18,6 @@ are scored in windows that overlap, and every id counts in one window only.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,6 +49,11 @@ WIDTH = 16
 WINDOW = 32
 CONTEXT = 8
 BATCH = 512
+# Where the blocks of a window's places begin that are attended from at once, and the windows and the rows of
+# logits that are held at once: what a pass works on stays in the processor's cache.
+BLOCKS = (0, CONTEXT)
+CHUNK = 64
+ROWS = 2048
 # Above any score of a trained model, below what float32 can raise e to.
 MOST_LOGIT = 60
 # Weights that Adam changes at a time, and that travel in one row.
@@ -61,25 +65,25 @@ RATE = 0.01
 SEED = 42
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
+def keep_freed_memory() -> None:
+    """Ask the C library not to return the memory of freed arrays: a step would fetch it again page by page.
 
-class Packed(dict):
-    """Ids of a word as bytes of C integers, remembered for ``REMEMBERED`` spellings."""
+    Where it adapts to the sizes that are freed, as glibc does below 32 MB, this bounds what is kept at 64 MB;
+    elsewhere it does nothing.
+    """
+    np.empty(31 << 20, dtype=np.uint8)
 
-    def __init__(self, encoding):
-        self.encoding = encoding
 
-    def __missing__(self, word: bytes) -> bytes:
-        found = array("i", self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes()
-        if len(self) < REMEMBERED:
-            self[word] = found
-        return found
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
 class Subwords:
-    """Ids of words, each with the blank before it; the last id stands for the end."""
+    """Ids of words, each with the blank before it; the last id stands for the end.
+
+    The ids of ``REMEMBERED`` spellings are remembered. The other words of a text are encoded together: a blank
+    stands before each word only, so the ids that begin with one tell where a word's ids begin.
+    """
 
     def __init__(self, ranks: bytes):
         import tiktoken
@@ -88,68 +92,91 @@ class Subwords:
         self.encoding = tiktoken.Encoding("lm", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
         self.end = max(merges.values()) + 1
         self.kind = np.min_scalar_type(self.end)
-        self.packed_end = array("i", [self.end]).tobytes()
-        self.packed = Packed(self.encoding)
+        self.packed_end = self.kind.type(self.end).tobytes()
+        self.begins = np.zeros(self.end, dtype=bool)
+        self.begins[[i for token, i in merges.items() if token.startswith(b" ")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of different words."""
+        found, plain, texts = {}, [], []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            # Blanks of other alphabets may stand in a word, and join with the one before the next.
+            if text.isascii() or text.split() == [text]:
+                plain.append(word)
+                texts.append(text)
+            else:
+                found[word] = np.array(self.encoding.encode_ordinary(" " + text), dtype=self.kind).tobytes()
+        if plain:
+            ids = np.array(self.encoding.encode_ordinary(" " + " ".join(texts)), dtype=self.kind)
+            packed, size = ids.tobytes(), self.kind.itemsize
+            at = [*(np.flatnonzero(self.begins[ids]) * size).tolist(), len(packed)]
+            found.update((word, packed[i:j]) for word, i, j in zip(plain, at, at[1:]))
+        return found
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        each = map(self.packed.__getitem__, words)
-        return np.frombuffer(b"".join(each) + self.packed_end, dtype=np.intc)
+    def packed(self, words: list[bytes]) -> bytes:
+        """The ids of a text, as bytes of the smallest integers that hold them."""
+        each = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(each) if ids is None]
+        if new:
+            found = self.encoded(list({words[i] for i in new}))
+            for i in new:
+                each[i] = found[words[i]]
+            if len(self.known) < REMEMBERED:
+                self.known.update(found)
+        return b"".join(each) + self.packed_end
 
 
-def tokenised(docs: DataFrame, held_out: Column, ranks) -> DataFrame:
+def tokenised(docs: DataFrame, held_out: Column, ranks) -> tuple[DataFrame, DataFrame]:
     """``doc, text, held, turn, ids``, written: the ids packed as the smallest integers that hold them.
 
-    ``turn`` is the round a text trains in.
+    ``turn`` is the round a text trains in. Beside them, from the same pass over the texts that are not
+    held out, (word, id, n): how often each word (id NULL) and each id (word NULL) occurs. The end of a text
+    counts as the word NULL with the id -1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(ranks.value)
-        for batch in batches:
-            for part in slices(batch):
-                packed = [subwords.ids(words_of(t)).astype(subwords.kind).tobytes() for t in utf8(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary())], [*part.schema.names, "ids"])
-
-    turn = F.pmod(F.xxhash64("doc", "text"), F.lit(ROUNDS)).cast("int")
-    rows = docs.select("doc", "text", held_out.alias("held"), turn.alias("turn"))
-    kinds = ", ".join(f"`{n}` {kind}" for n, kind in rows.dtypes)
-    return materialize(rows.mapInArrow(run, f"{kinds}, ids binary"), "lm-ids")
-
-
-def counts(docs: DataFrame, end: int) -> DataFrame:
-    """(word, id, n) of ``tokenised`` texts: how often each word (id NULL) and each id (word NULL) occurs.
-
-    The end of a text counts as the word NULL with the id -1.
-    """
-    kind = np.min_scalar_type(end)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        ids, texts = np.zeros(end + 1, dtype=np.int64), 0
+        counts, texts = np.zeros(subwords.end + 1, dtype=np.int64), 0
+
+        def rows(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
-        def told():
-            yield pa.RecordBatch.from_pydict({
-                "word": pa.array(seen.keys(), pa.binary()).cast(pa.string()),
-                "id": pa.nulls(len(seen), pa.int32()), "n": pa.array(seen.values(), pa.int64()),
-            })
+        def told(schema: pa.Schema):
+            words = pa.array(seen.keys(), pa.binary()).cast(schema.field("word").type)
+            yield rows(schema, word=words, n=pa.array(seen.values(), pa.int64()))
             seen.clear()
 
+        schema = None
         for batch in batches:
-            for text, packed in zip(utf8(batch.column("text")), batch.column("ids")):
-                seen.update(words_of(text))
-                # A short text would cost a pass over all ids.
-                np.add.at(ids, np.frombuffer(packed.as_buffer(), dtype=kind), 1)
-                texts += 1
-                if len(seen) > HELD_WORDS:
-                    yield from told()
-        yield from told()
-        used = np.flatnonzero(ids)
-        yield pa.RecordBatch.from_pydict({
-            "word": pa.nulls(len(used) + 1, pa.string()),
-            "id": pa.array(np.append(used, -1), pa.int32()), "n": pa.array(np.append(ids[used], texts), pa.int64()),
-        })
-
-    told = docs.select("text", "ids").mapInArrow(count, "word string, id int, n bigint")
-    return told.groupBy("word", "id").agg(F.sum("n").alias("n"))
+            schema = pa.schema([*batch.schema, ("ids", pa.binary()), ("word", pa.string()), ("id", pa.int32()), ("n", pa.int64())])
+            for part in slices(batch):
+                packed = []
+                # NULL is no training text, as in a filter.
+                for text, held in zip(utf8(part.column("text")), part.column("held").to_pylist()):
+                    words = words_of(text)
+                    packed.append(subwords.packed(words))
+                    if held is False:
+                        seen.update(words)
+                        np.add.at(counts, np.frombuffer(packed[-1], dtype=subwords.kind), 1)
+                        texts += 1
+                        if len(seen) > HELD_WORDS:
+                            yield from told(schema)
+                yield rows(schema, **dict(zip(part.schema.names, part.columns)), ids=pa.array(packed, pa.binary()))
+        if texts:
+            yield from told(schema)
+            used = np.flatnonzero(counts)
+            yield rows(schema, id=pa.array(np.append(used, -1), pa.int32()), n=pa.array(np.append(counts[used], texts), pa.int64()))
+
+    turn = F.pmod(F.xxhash64("doc", "text"), F.lit(ROUNDS)).cast("int")
+    given = docs.select("doc", "text", held_out.alias("held"), turn.alias("turn"))
+    kinds = ", ".join(f"`{n}` {kind}" for n, kind in given.dtypes)
+    both = materialize(given.mapInArrow(run, f"{kinds}, ids binary, word string, id int, n bigint"), "lm-ids")
+    told = both.filter("turn IS NULL").groupBy("word", "id").agg(F.sum("n").alias("n"))
+    return both.filter("turn IS NOT NULL").select("doc", "text", "held", "turn", "ids"), told
 
 
 def groups(units: int) -> np.ndarray:
@@ -158,16 +185,19 @@ def groups(units: int) -> np.ndarray:
     return np.unique(np.round((np.arange(number + 1) / number) ** 2 * units).astype(int))
 
 
-def shares(z: np.ndarray, chosen: np.ndarray, softmax: bool = True) -> np.ndarray:
-    """Logarithm of the softmax at the chosen column of each row; ``z`` becomes the softmax if asked for."""
+def shares(z: np.ndarray, chosen: np.ndarray, softmax: bool = True, bounded: bool = False) -> np.ndarray:
+    """Logarithm of the softmax at the chosen column of each row; ``z`` becomes the softmax if asked for.
+
+    ``bounded`` says that no number is beyond ``MOST_LOGIT``.
+    """
     # A pass by rows is needed only where e can't be raised to the numbers as they are.
-    if not (z.max() < MOST_LOGIT and z.min() > -MOST_LOGIT):
+    if not bounded and not (z.max() < MOST_LOGIT and z.min() > -MOST_LOGIT):
         z -= z.max(axis=1, keepdims=True)
     found = z[np.arange(len(z)), chosen]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], dtype=z.dtype)
     if softmax:
-        z /= total[:, None]
+        z *= (1 / total)[:, None]
     return found - np.log(total)
 
 
@@ -200,105 +230,159 @@ class Attention:
         within = share / np.repeat(of_group, np.diff(bounds))
         return np.concatenate([start, np.log(of_group), np.log(within)]).astype(np.float32)
 
+    @staticmethod
+    def blocks(counted: np.ndarray) -> Iterator[tuple]:
+        """(windows, first place, end) of the blocks of places in which a window counts any.
+
+        Few windows are picked; where most have such a place, the others are worked on for nothing.
+        """
+        t = counted.shape[1]
+        for low, high in zip(BLOCKS, (*BLOCKS[1:], t)):
+            met = counted[:, low:high].any(axis=1)
+            if met.any():
+                yield slice(None) if 2 * met.sum() > len(met) else np.flatnonzero(met), low, min(high, t)
+
+    def attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, counted: np.ndarray, h: np.ndarray) -> list[tuple]:
+        """Add to ``h`` what each place reads from those up to it; gives the blocks with their shares.
+
+        A block reads the places up to its end only, and windows without a place that counts there are left out.
+        """
+        kept = []
+        for windows, low, high in self.blocks(counted):
+            a = q[windows, low:high] @ k[windows, :high].transpose(0, 2, 1)
+            np.exp(np.minimum(a, MOST_LOGIT, out=a), out=a)
+            a *= np.tri(high - low, high, low, dtype=a.dtype)
+            a /= (a.reshape(-1, high) @ np.ones(high, dtype=a.dtype)).reshape(*a.shape[:2], 1)
+            h[windows, low:high] += a @ v[windows, :high]
+            kept.append((windows, low, high, a))
+        return kept
+
     def log_probabilities(self, units: np.ndarray, nexts: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """Of the nexts that count, row by row; as :meth:`forward`, with fewer passes.
 
         What each unit and each place adds to x and its three projections is worked out once.
         """
-        (b, t), d, one = units.shape, WIDTH, np.float32(1)
-        scale = np.float32(WIDTH**-0.5)
-        mix = np.hstack([np.eye(d, dtype=np.float32), self.query * scale, self.key, self.value])
-        met, at = np.unique(units, return_inverse=True)
-        x = (self.embed[met] @ mix).take(at.ravel(), axis=0).reshape(b, t, 4 * d)
-        x += self.place[:t] @ mix
-        a = x[:, :, d : 2 * d] @ x[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
-        np.exp(np.minimum(a, MOST_LOGIT, out=a), out=a)
-        a *= np.tri(t, dtype=np.float32)
-        seen = a @ x[:, :, 3 * d :]
-        seen /= (a.reshape(-1, t) @ np.full(t, one)).reshape(b, t, 1)
-        seen += x[:, :, :d]
-        rows = np.flatnonzero(counted)
-        return self.predicted(seen.reshape(-1, d).take(rows, axis=0), nexts.ravel().take(rows))
-
-    def states(self, units: np.ndarray):
-        """What each place knows of the ids up to it, and what the gradients need."""
+        t, d = units.shape[1], WIDTH
+        mix = np.hstack([np.eye(d, dtype=np.float32), self.projections()])
+        place, rows, nexts = self.place[:t] @ mix, np.flatnonzero(counted), nexts.ravel()
+        met = self.embed @ mix if units.size > len(self.embed) else None
+        h = np.empty((*units.shape, d), dtype=mix.dtype)
+        for i in range(0, len(units), CHUNK):
+            some = units[i : i + CHUNK]
+            x = (self.embed.take(some.ravel(), axis=0) @ mix if met is None else met.take(some.ravel(), axis=0)).reshape(*some.shape, -1)
+            x += place
+            h[i : i + CHUNK] = x[:, :, :d]
+            self.attend(*(x[:, :, n * d : (n + 1) * d] for n in (1, 2, 3)), counted[i : i + CHUNK], h[i : i + CHUNK])
+        return self.predicted(h.reshape(-1, d).take(rows, axis=0), nexts.take(rows))
+
+    def projections(self) -> np.ndarray:
+        """Those of the queries, which have the scale on them, the keys and the values, side by side."""
+        return np.hstack([self.query * np.float32(WIDTH**-0.5), self.key, self.value])
+
+    def states(self, units: np.ndarray, counted: np.ndarray, h: np.ndarray) -> tuple:
+        """Put into ``h`` what each place that counts knows of the ids up to it; gives what the gradients need."""
         (b, t), d = units.shape, WIDTH
         x = self.embed.take(units.ravel(), axis=0).reshape(b, t, d)
         x += self.place[:t]
-        rows = x.reshape(-1, d)
-        q, k, v = ((rows @ m).reshape(b, t, d) for m in (self.query * np.float32(d**-0.5), self.key, self.value))
-        a = q @ k.transpose(0, 2, 1)
-        np.exp(np.minimum(a, MOST_LOGIT, out=a), out=a)
-        a *= np.tri(t, dtype=a.dtype)
-        a /= (a.reshape(-1, t) @ np.ones(t, dtype=a.dtype)).reshape(b, t, 1)
-        h = a @ v
-        h += x
-        return h, (x, q, k, v, a)
+        qkv = (x.reshape(-1, d) @ self.projections()).reshape(b, t, 3 * d)
+        q, k, v = (qkv[:, :, n * d : (n + 1) * d] for n in range(3))
+        h[:] = x
+        return x, q, k, v, self.attend(q, k, v, counted, h)
 
     def predicted(self, h: np.ndarray, nexts: np.ndarray, grad: Attention | None = None, dh: np.ndarray | None = None):
         """Log-probabilities of the nexts after the states ``h``: of the group, and within it.
 
         With ``grad``, the gradients of their negative mean are put there and into ``dh``.
         """
-        group = self.group[nexts]
-        z = h @ self.near.T
-        z += self.near_bias
-        found = shares(z, group, grad is not None)
-        if grad is not None:
-            z[np.arange(len(z)), group] -= 1
-            z *= z.dtype.type(1 / len(h))
-            grad.near[:], grad.near_bias[:] = z.T @ h, np.ones(len(z), dtype=z.dtype) @ z
-            np.matmul(z, self.near, out=dh)
+        group, one = self.group[nexts], h.dtype.type(1)
+        # By group, so that a group's rows lie side by side; a column of ones carries the biases.
         order = np.argsort(group.astype(np.int16), kind="stable")
-        begins = np.flatnonzero(np.diff(group[order], prepend=-1))
-        for rows in np.split(order, begins[1:]):
-            if not len(rows):
-                continue
-            low, high = self.bounds[group[rows[0]]], self.bounds[group[rows[0]] + 1]
-            states, chosen = h[rows], nexts[rows] - low
-            z = states @ self.out[low:high].T
-            z += self.bias[low:high]
-            found[rows] += shares(z, chosen, grad is not None)
+        group, nexts = group.take(order), nexts.take(order)
+        states = np.empty((len(h), WIDTH + 1), dtype=h.dtype)
+        states[:, :WIDTH], states[:, WIDTH] = h.take(order, axis=0), 1
+        near = np.hstack([self.near, self.near_bias[:, None]])
+        out = np.hstack([self.out, self.bias[:, None]])
+        # No logit is over the product of two lengths.
+        longest = lambda m: np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0))
+        length = longest(states)
+        bounded = length * longest(near) < MOST_LOGIT, length * longest(out) < MOST_LOGIT
+        found, back = np.empty(len(h), dtype=h.dtype), None
+        if grad is not None:
+            back, near_grad = np.empty((len(h), WIDTH), dtype=h.dtype), np.zeros_like(near)
+        for i in range(0, len(h), ROWS):
+            some, chosen = states[i : i + ROWS], group[i : i + ROWS]
+            z = some @ near.T
+            found[i : i + ROWS] = shares(z, chosen, grad is not None, bounded[0])
             if grad is not None:
-                z[np.arange(len(z)), chosen] -= 1
-                z *= z.dtype.type(1 / len(h))
-                grad.out[low:high], grad.bias[low:high] = z.T @ states, np.ones(len(z), dtype=z.dtype) @ z
-                dh[rows] += z @ self.out[low:high]
-        return found
+                z[np.arange(len(z)), chosen] -= one
+                near_grad += z.T @ some
+                np.matmul(z, self.near, out=back[i : i + ROWS])
+        ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+        for first, end in zip([0, *ends], ends):
+            low, high = self.bounds[group[first]], self.bounds[group[first] + 1]
+            some, chosen = states[first:end], nexts[first:end] - low
+            z = some @ out[low:high].T
+            found[first:end] += shares(z, chosen, grad is not None, bounded[1])
+            if grad is not None:
+                z[np.arange(len(z)), chosen] -= one
+                of = z.T @ some
+                grad.out[low:high], grad.bias[low:high] = of[:, :WIDTH], of[:, WIDTH]
+                back[first:end] += z @ self.out[low:high]
+        if grad is not None:
+            grad.near[:], grad.near_bias[:] = near_grad[:, :WIDTH], near_grad[:, WIDTH]
+            back *= one / len(h)
+            dh[order] = back
+            for m in (grad.near, grad.near_bias, grad.out, grad.bias):
+                m *= one / len(h)
+        ordered = np.empty_like(found)
+        ordered[order] = found
+        return ordered
 
     def forward(self, units: np.ndarray):
         """Log-probabilities of every next id at each place, and what the gradients need."""
-        h, kept = self.states(units)
+        h = np.empty((*units.shape, WIDTH), dtype=self.flat.dtype)
+        kept = self.states(units, np.ones(units.shape, dtype=bool), h)
         rows = h.reshape(-1, WIDTH)
         each = [self.predicted(rows, np.full(len(rows), unit)) for unit in range(self.units)]
         return np.stack(each, axis=1).reshape(*units.shape, self.units), kept
 
     def gradient(self, units: np.ndarray, nexts: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        h, (x, q, k, v, a) = self.states(units)
+        d, t = WIDTH, units.shape[1]
         grad = Attention(np.zeros_like(self.flat), self.units)
         rows = np.flatnonzero(counted)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        dh, part = np.zeros_like(h), np.empty((len(rows), WIDTH), dtype=h.dtype)
+        parts = [slice(i, i + CHUNK) for i in range(0, len(units), CHUNK)]
+        h = np.empty((*units.shape, d), dtype=self.flat.dtype)
+        states = [self.states(units[p], counted[p], h[p]) for p in parts]
+        dh, part = np.zeros_like(h), np.empty((len(rows), d), dtype=h.dtype)
         self.predicted(flat(h).take(rows, axis=0), nexts.ravel().take(rows), grad, part)
         flat(dh)[rows] = part
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        # The mean of a row of da by its weights is what the state has of the values, times dh.
-        da -= np.einsum("btd,btd->bt", dh, h - x)[:, :, None]
-        da *= a
-        scale = np.float32(WIDTH**-0.5)
         # The queries are held with the scale on them.
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        dq *= scale
-        dx = flat(dh)
-        for name, d in (("query", dq), ("key", dk), ("value", dv)):
-            getattr(grad, name)[:] = flat(x).T @ flat(d)
-            dx += flat(d) @ getattr(self, name).T
-        grad.place[: x.shape[1]] = dh.sum(axis=0)
+        back = np.ascontiguousarray(self.projections().T)
+        of_projections = np.zeros((d, 3 * d), dtype=h.dtype)
+        for p, (x, q, k, v, kept) in zip(parts, states):
+            dqkv = np.zeros((*x.shape[:2], 3 * d), dtype=h.dtype)
+            dq, dk, dv = (dqkv[:, :, n * d : (n + 1) * d] for n in range(3))
+            dx, seen = dh[p], h[p] - x
+            for windows, low, high, a in kept:
+                dy = dx[windows, low:high]
+                da = dy @ v[windows, :high].transpose(0, 2, 1)
+                # The mean of a row of da by its weights is what the state has of the values, times dy.
+                da -= np.einsum("btd,btd->bt", dy, seen[windows, low:high])[:, :, None]
+                da *= a
+                dv[windows, :high] += a.transpose(0, 2, 1) @ dy
+                dq[windows, low:high] = da @ k[windows, :high]
+                dk[windows, :high] += da.transpose(0, 2, 1) @ q[windows, low:high]
+            of_projections += flat(x).T @ flat(dqkv)
+            flat(dx)[:] += flat(dqkv) @ back
+        grad.query[:], grad.key[:], grad.value[:] = np.split(of_projections, 3, axis=1)
+        grad.query[:] *= np.float32(d**-0.5)
+        grad.place[:t] = dh.sum(axis=0)
         short = units.ravel().astype(np.min_scalar_type(self.units))
         order = np.argsort(short, kind="stable")
         short = short.take(order)
         first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-        grad.embed[short.take(first)] = np.add.reduceat(dx.take(order, axis=0), first)
+        grad.embed[short.take(first)] = np.add.reduceat(flat(dh).take(order, axis=0), first)
         return grad.flat
 
 
@@ -384,6 +468,7 @@ def averaged(texts: DataFrame, unit, weights: np.ndarray, units: int) -> np.ndar
         return pa.RecordBatch.from_arrays(arrays, ["part", "n", "weights"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         model = Attention(shared.value.copy(), units)
         kind = np.min_scalar_type(len(unit.value) - 1)
 
@@ -452,6 +537,18 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, HELD_TEXTS)
 
 
+class Head(dict):
+    """Logarithms of frequent words; another word counts zero here and is noted in ``missed``."""
+
+    def __init__(self, values: dict):
+        super().__init__(values)
+        self.missed: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> float:
+        self.missed.append(word)
+        return 0.0
+
+
 SCORED = (
     "key bigint, doc bigint, n_tokens bigint, n_known bigint, base double, score double, "
     "word string, times bigint"
@@ -468,8 +565,9 @@ def scored(docs: DataFrame, head: dict, floor: float, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        keep_freed_memory()
         head, floor, model = shared.value
-        end = head[None]
+        end, head = head[None], Head(head)
         unit, units = model["unit"], model["units"]
         kind = np.min_scalar_type(len(unit) - 1)
         attention = Attention(model["weights"], units)
@@ -480,11 +578,11 @@ def scored(docs: DataFrame, head: dict, floor: float, model: dict) -> DataFrame:
             for doc, text in zip(batch.column("doc").to_pylist(), utf8(batch.column("text"))):
                 key += 1
                 words = words_of(text)
-                values = list(map(head.get, words))
-                tail = Counter(w for w, v in zip(words, values) if v is None)
-                found = [v for v in values if v is not None]
+                base = sum(map(head.__getitem__, words), end)
                 # A word of the head occurs in training.
-                texts.append([key, doc, len(words) + 1, len(found) + (end > floor), sum(found, end)])
+                texts.append([key, doc, len(words) + 1, len(words) - len(head.missed) + (end > floor), base])
+                tail = Counter(head.missed)
+                head.missed.clear()
                 word_keys += [key] * len(tail)
                 names += tail
                 times += tail.values()
@@ -524,9 +622,9 @@ def log_probabilities(
     with open(tokenizer, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
     end = Subwords(ranks.value).end
-    texts = tokenised(plain, held_out, ranks)
+    texts, told = tokenised(plain, held_out, ranks)
     training = texts.filter(~F.col("held"))
-    counted = materialize(counts(training, end), "lm-counts")
+    counted = materialize(told, "lm-counts")
 
     words = counted.filter("id IS NULL").select("word", "n")
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

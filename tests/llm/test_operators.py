@@ -812,3 +812,56 @@ def test_weights_are_averaged_by_windows(spark, monkeypatch):
     assert found.shape == start.shape and np.isfinite(found).all()
     alone = lm.averaged(df.coalesce(1).limit(2), spark.sparkContext.broadcast(unit), start, 100)
     assert np.allclose(found, alone, atol=1e-5)
+
+
+def test_words_of_a_text_are_encoded_together(monkeypatch):
+    """One call of the tokenizer for the unknown words of a text; the ids are those of each word alone."""
+    monkeypatch.setattr(lm, "REMEMBERED", 3)
+    with open(lm.TOKENIZER, "rb") as file:
+        subwords = lm.Subwords(file.read())
+    real, calls = subwords.encoding, []
+
+    class Watched:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return real.encode_ordinary(text)
+
+    subwords.encoding = Watched()
+    alone = lambda words: [i for w in words for i in real.encode_ordinary(" " + w.decode("utf-8", "replace"))]
+    odd = ["ka lo  mi", "it's 12ab!? 'll x's", "a\x85 \x85b c\x1cd", "x\u00a0 \u00a0y \u2003 z", "\u3000 \u65e5\u672c", ""]
+    for text in [*(t.encode() for t in odd), b"ab\xff\xfe c \xc3 \xe2\x80", " ".join(odd * 2).encode()]:
+        words = lm.words_of(text)
+        assert list(np.frombuffer(subwords.packed(words), dtype=subwords.kind)) == [*alone(words), subwords.end]
+    calls.clear()
+    subwords.packed([b"one", b"two", b"three", b"one"])
+    assert len(calls) == 1
+
+
+def test_places_that_do_not_count_are_not_attended_from(spark):
+    """Windows that begin inside a text work on the places after ``CONTEXT`` only; the scores are the same."""
+    draw = np.random.default_rng(5)
+    model = lm.Attention(lm.Attention.fresh(np.full(30, 1 / 30)) + np.float32(0.2), 30)
+    (units, nexts, counted, _), = lm.cut([draw.integers(0, 30, 1_000)], 30)
+    h = np.empty((*units.shape, lm.WIDTH), dtype=np.float32)
+    blocks = [(low, h[w].shape[0] * (high - low)) for w, low, high, _ in model.states(units, counted, h)[-1]]
+    assert sum(n for _, n in blocks) < 0.8 * units.size
+    whole = np.take_along_axis(model.forward(units)[0], nexts[:, :, None], 2)[:, :, 0]
+    assert np.allclose(model.log_probabilities(units, nexts, counted), whole[counted], atol=1e-4)
+
+
+def test_training_words_and_ids_are_counted_as_texts_are_tokenised(spark, monkeypatch):
+    """One pass gives the ids and the counts; held-out texts, also those of an unknown side, do not count."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "HELD_WORDS", 2)
+    texts = ["Ka lo ka", "ka", None, "mi mi", "lo unseen"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc bigint, text string")
+    held = F.when(F.col("doc") < 3, False).when(F.col("doc") == 3, F.lit(None).cast("boolean")).otherwise(True)
+    with open(lm.TOKENIZER, "rb") as file:
+        ranks = spark.sparkContext.broadcast(file.read())
+    found, told = lm.tokenised(df, held, ranks)
+    assert sorted(r.doc for r in found.collect()) == [0, 1, 2, 3, 4]
+    counts = {(r.word, r.id): r.n for r in told.collect()}
+    end = lm.Subwords(ranks.value).end
+    assert {w: n for (w, i), n in counts.items() if i is None} == {"ka": 3, "lo": 1}
+    assert counts[None, -1] == 3 and counts[None, end] == 3
