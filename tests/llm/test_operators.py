@@ -259,6 +259,63 @@ def test_search_skips_blocks_that_cannot_pass(monkeypatch):
     assert (best.doc % 2 == 0).all() and len(met) == 1 and 0 < len(met[0]) <= 14
 
 
+class Here:
+    """Stands for a table of which a function of batches is wanted, to call it without Spark."""
+
+    mapInArrow = staticmethod(lambda build, schema: build)
+
+
+@pytest.mark.parametrize("factors", [search.FACTORS, (0, 0)])
+def test_search_in_groups_stays_exact(monkeypatch, factors):
+    """Many groups of texts and of queries, several shards, and words that all have the same hash."""
+    small = {"GROUP_TEXTS": 9, "GROUP_QUERIES": 3, "BLOCK_TEXTS": 4, "SHARD_WORDS": 1_500, "MEMBERS": 300, "SUMS": 400, "FIT_ROWS": 16}
+    for name, value in (small | {"SPLIT_SHARE": 0.01, "FACTORS": factors}).items():
+        monkeypatch.setattr(search, name, value)
+    other = lambda text, i: " ".join(f"{w}{'xyz'[i % 3]}" if n % 5 else w for n, w in enumerate(text.split(" ")))
+    texts = [(i, other(prose(i % 60, 6 + i % 33), i)) for i in range(180)]
+    texts += [(None, ""), (None, other(prose(2, 8), 2)), (700, "a-word-of-more-than-eight-bytes \u00e4 a-word-of-more-than-eight-bytez")]
+    asked = [t for _, t in texts[:90:4]] + ["a-word-of-more-than-eight-bytez", "a-word-of-more-than-eight"]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts], pa.int64()), pa.array([t for _, t in texts])], ["doc", "text"])
+    rows = list(search.index(Here())(iter([batch])))
+    shards = list(search.rows_of(b.drop_columns(["n_texts", "n_words"]) for b in rows))
+    wanted: dict = {}
+    words = [np.array([wanted.setdefault(w, len(wanted)) for w in dict.fromkeys(search.words_of(t.encode()))], np.int32) for t in asked]
+    flat, sizes = np.concatenate(words), np.array([len(w) for w in words])
+    order, cuts = search.alike(np.repeat(np.arange(len(words)), sizes), flat, len(words), search.GROUP_QUERIES, len(wanted))
+    known, n = search.Words(wanted), np.zeros(len(wanted))
+    for row in shards:
+        number = known.of(row)
+        n[number[number >= 0]] += np.frombuffer(row["found"], np.uint32)[number >= 0]
+    mean = sum(b["n_words"][0].as_py() for b in rows) / len(texts)
+    idf = np.log(1 + (len(texts) - n + 0.5) / (n + 0.5))
+    start = search.starts_of(sizes[order])
+    best = search.best_of(iter(shards), known, start, np.concatenate([words[i] for i in order]), idf, mean, 6, cuts)
+    assert len(shards) > 2 and len(cuts) > 4
+    for place, number in enumerate(order):
+        some = best.score[place] >= 0
+        got = [d if has else None for d, has in zip(best.doc[place][some], best.has[place][some])]
+        expected = plain_search(texts, asked[number], 6)
+        assert got == [e[0] for e in expected]
+        assert best.score[place][some] == pytest.approx([e[1] for e in expected], abs=1e-5)
+
+
+def test_search_multiplies_only_what_a_group_of_texts_has(monkeypatch):
+    """Two vocabularies: a group's matrix has the words of one, and no product meets the queries of the other."""
+    draw, n = np.random.default_rng(6), 1_600
+    texts = [" ".join(f"{'ab'[i // 5 % 2]}{w}" for w in draw.integers(0, 30, 40)) for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(n), pa.int64()), "text": texts})
+    row, = search.rows_of(b.drop_columns(["n_texts", "n_words"]) for b in search.index(Here())(iter([batch])))
+    wanted = {f"{v}{w}".encode(): w + 30 * (v == "b") for v in "ab" for w in range(30)}
+    met, reach = [], search.Shard.reach
+    monkeypatch.setattr(search.Shard, "reach", lambda self, *rest: met.append((self, reach(self, *rest))) or met[-1][1])
+    words, start = np.concatenate([np.arange(30), np.arange(30, 60)]), np.array([0, 30, 60])
+    best = search.best_of(iter([row]), wanted, start, words, np.full(60, 0.7), 40.0, 10)
+    assert [set(best.doc[q] // 5 % 2) for q in (0, 1)] == [{0}, {1}]
+    (shard, can), = met
+    assert sum(matrix.size for *_, matrix in shard.parts) < 0.7 * shard.width * 60
+    assert can.mean() < 0.6
+
+
 def test_search_of_and_for_nothing(docs, none):
     asked = docs.selectExpr("doc_id AS query_id", "text AS query_text")
     assert search.search(none, asked).count() == 0
