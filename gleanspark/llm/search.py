@@ -51,7 +51,7 @@ GROUP_TEXTS, GROUP_QUERIES, GROUPS, FIT_ROWS, FIT_ROUNDS = 400, 1000, 64, 4096,
 SPLIT_SHARE = 0.001
 # Numbers in the matrix of the words split off, in the sums of the queries worked on at once, in the
 # table of their words, and entries of lists taken at once.
-MATRIX, SUMS, MEMBERS, ENTRIES = 1 << 22, 1 << 19, 1 << 23, 1 << 17
+MATRIX, SUMS, MEMBERS, ENTRIES = 1 << 22, 1 << 19, 1 << 23, 1 << 16
 # Tasks for each core that take the queries through the shards; with fewer, a threshold has seen more shards.
 TASKS = 1
 # Odd factors of the hash of a word.
@@ -155,6 +155,13 @@ class Words:
         # Words of a hash, 1 unless words meet by chance.
         self.most = int(np.diff(same, append=len(words)).max(initial=0))
 
+    @classmethod
+    def again(cls, parts: dict) -> Words:
+        """The words that ``vars`` gave ``parts`` of; a broadcast has these alone, as executors may not have this module."""
+        words = cls.__new__(cls)
+        vars(words).update(parts)
+        return words
+
     def __len__(self) -> int:
         return len(self.number)
 
@@ -563,13 +570,14 @@ def search(
     mean_length, best = n_words / max(1, n_texts), None
     tasks = max(1, TASKS * spark.sparkContext.defaultParallelism)
     for keys, words, wanted, cuts in query_blocks(texts):
-        numbers = spark.sparkContext.broadcast(wanted)
+        numbers = spark.sparkContext.broadcast(vars(wanted))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Summed over the shards of a task, so that it hands on a row a word, however many shards there are.
-            found = np.zeros(len(numbers.value), np.int64)
+            known = Words.again(numbers.value)
+            found = np.zeros(len(known), np.int64)
             for row in rows_of(batches):
-                number = numbers.value.of(row)
+                number = known.of(row)
                 used = number >= 0
                 found[number[used]] += np.frombuffer(row["found"], np.uint32)[used]
             word = np.flatnonzero(found)
@@ -589,7 +597,7 @@ def search(
             keys, start, words, idf, cuts = given.value
             # A worker still holds what the tasks before took.
             pa.default_memory_pool().release_unused()
-            found = best_of(rows_of(batches), numbers.value, start, words, idf, mean_length, k, cuts)
+            found = best_of(rows_of(batches), Words.again(numbers.value), start, words, idf, mean_length, k, cuts)
             query, place = np.nonzero(found.score >= 0)
             yield pa.RecordBatch.from_arrays([
                 pa.array([keys[q] for q in query], pa.string()),

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -316,6 +317,15 @@ def test_search_multiplies_only_what_a_group_of_texts_has(monkeypatch):
     assert can.mean() < 0.6
 
 
+def test_search_broadcasts_plain_data(spark, monkeypatch):
+    """Broadcasts are pickled by reference, and executors may not have the library."""
+    sent, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or real(self, value))
+    docs = spark.createDataFrame([(i, prose(i % 9, 20)) for i in range(40)], "doc_id bigint, text string")
+    assert search.search(docs, docs.limit(3).selectExpr("doc_id AS query_id", "text AS query_text"), k=2).count() == 6
+    assert sent and not any(b"gleanspark" in pickle.dumps(value) for value in sent)
+
+
 def test_search_of_and_for_nothing(docs, none):
     asked = docs.selectExpr("doc_id AS query_id", "text AS query_text")
     assert search.search(none, asked).count() == 0
